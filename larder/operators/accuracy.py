@@ -39,3 +39,9 @@ def mape_accuracy(pairs: DataFrame, actual: Column, predicted: Column, *keys, em
     return pairs.groupBy(*keys).agg(
         F.round(F.when(error.isNotNull(), value).otherwise(F.lit(empty).cast("double")), 4).alias("accuracy")
     )
+
+
+def mape_nonzero(pairs: DataFrame, actual: Column, predicted: Column, *keys) -> DataFrame:
+    """Mean absolute percentage error over non-zero actuals; 0 where there are none."""
+    error = F.avg(F.when(actual != 0, F.abs((actual - predicted) / actual))) * 100
+    return pairs.groupBy(*keys).agg(F.round(F.coalesce(error, F.lit(0.0)), 4).alias("mape"))

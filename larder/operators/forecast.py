@@ -83,3 +83,23 @@ def ingredient_demand(forecast: DataFrame, unit: str = "unit") -> DataFrame:
 
 def demand_total(demand: DataFrame) -> DataFrame:
     return demand.groupBy("ingredient").agg(F.round(F.sum("total_qty_needed"), 2).alias("total_qty_needed"))
+
+
+def history_depth(history: DataFrame, min_days: int = 30) -> DataFrame:
+    """Series with enough distinct days of history."""
+    return (
+        history.groupBy("sku", "outlet")
+        .agg(F.countDistinct("date").alias("days"), F.sum("qty_sold").alias("total_qty"))
+        .where(F.col("days") >= min_days)
+    )
+
+
+def active_combos(recent: DataFrame) -> DataFrame:
+    return recent.groupBy("sku", "outlet").agg(F.sum("qty_sold").alias("qty")).where(F.col("qty") > 0)
+
+
+def top_combos(recent: DataFrame, k: int = 100) -> DataFrame:
+    return (
+        recent.groupBy("sku", "outlet").agg(F.sum("qty_sold").alias("qty"))
+        .orderBy(F.col("qty").desc(), "sku", "outlet").limit(k)
+    )
