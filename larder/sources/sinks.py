@@ -14,12 +14,16 @@ from larder.operators.cleaning import keep_last
 from larder.session import checkpointed, scratch_path
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Insert; on a key conflict the incoming row wins. Both sides are unique per key."""
+def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], version: list[str] | None = None) -> DataFrame:
+    """Insert; on a key conflict the incoming row wins, or the newest ``version`` where one is named.
+
+    Without a version both sides must be unique per key. With one, replaying
+    a batch or receiving it late changes nothing.
+    """
     tagged = existing.withColumn("_batch", F.lit(0)).unionByName(
         incoming.withColumn("_batch", F.lit(1)), allowMissingColumns=True
     )
-    return keep_last(tagged, key, ["_batch"]).drop("_batch")
+    return keep_last(tagged, key, [*(version or []), "_batch"]).drop("_batch")
 
 
 def insert_new(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
@@ -112,9 +116,16 @@ def append_path(source: DataFrame, path: str) -> None:
     matching_columns(source, columns).write.mode("append").parquet(path)
 
 
-def upsert_path(incoming: DataFrame, path: str, key: list[str], partition: str) -> None:
-    """Upsert into a partitioned table, rewriting only the partitions the batch touches."""
+def upsert_path(incoming: DataFrame, path: str, key: list[str], partition: str, version: list[str] | None = None) -> None:
+    """Upsert into a partitioned table, rewriting only the partitions the batch touches.
+
+    ``partition`` must be part of the key, or a row could exist in two partitions.
+    """
+    if partition not in key:
+        raise ValueError(f"partition column {partition} is not part of the key {key}")
     spark = incoming.sparkSession
+    if version:
+        incoming = keep_last(incoming, key, version)
     if not path_exists(spark, path):
         incoming.write.partitionBy(partition).parquet(path)
         return
@@ -122,7 +133,7 @@ def upsert_path(incoming: DataFrame, path: str, key: list[str], partition: str)
     incoming = checkpointed(incoming)
     # A semi join on the partition column is answered by partition pruning.
     touched = stored.join(incoming.select(partition).distinct(), partition, "left_semi")
-    merged = checkpointed(upsert(touched.select(*stored.columns), incoming.select(*stored.columns), key))
+    merged = checkpointed(upsert(touched.select(*stored.columns), incoming.select(*stored.columns), key, version))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
