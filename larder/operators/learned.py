@@ -103,8 +103,13 @@ def recursive(model: GBTRegressionModel, state: DataFrame, cutoff: Column, horiz
 def run(history: DataFrame, start: Column, cutoff: Column, horizon: int, **params) -> DataFrame:
     """Train up to ``cutoff`` and forecast the days after it."""
     frame = checkpointed(training_frame(history, start, cutoff))
-    model = fit(frame, **params)
-    return recursive(model, series_state(frame, cutoff), cutoff, horizon)
+    state = series_state(frame, cutoff)
+    if frame.where(~F.col("is_validation")).isEmpty() or frame.where("is_validation").isEmpty():
+        # No series is long enough to learn from.
+        return state.limit(0).select(
+            F.lit(None).cast("date").alias("forecast_date"), *series.KEYS, F.lit(None).cast("double").alias("qty_predicted")
+        )
+    return recursive(fit(frame, **params), state, cutoff, horizon)
 
 
 def holdout_accuracy(history: DataFrame, start: Column, as_of: Column, days: int = 7, **params) -> DataFrame:

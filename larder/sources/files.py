@@ -128,7 +128,7 @@ def stock_records(rows: DataFrame) -> DataFrame:
     )
 
 
-RECIPE_SCHEMA = T.StructType.fromDDL(
+RECIPE_SCHEMA = (
     "_id string, name array<string>, recipeId array<string>, batchSize double, rUnit string, "
     "ingredients array<struct<product:struct<productTitle:string,baseUnit:string,yieldPercentage:double>,"
     "quantity:double,ingredientUnit:struct<unit:string>>>"
@@ -154,7 +154,7 @@ def flatten_recipes(recipes: DataFrame) -> DataFrame:
     )
 
 
-STOCK_SCHEMA = T.StructType.fromDDL(
+STOCK_SCHEMA = (
     "_id string, name string, outletName string, items array<struct<product:struct<skuProductCode:string,"
     "_id:string,baseUnit:string>,currentStock:double,stock:double,physicalStock:double>>"
 )

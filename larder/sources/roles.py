@@ -91,26 +91,25 @@ class Roles:
             F.format_number("total_price", 2).alias("total_price"),
         )
 
-    def sales_lines(self, since: Column | None = None, until: Column | None = None) -> DataFrame:
-        """Sold lines with product and place. Date bounds apply to the scanned column."""
+    def _sold_lines(self, since: Column | None, until: Column | None) -> DataFrame:
+        """Order lines with their place. Date bounds apply to the scanned column."""
         lines = self.t("lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
         if since is not None:
             lines = lines.where(F.col("l_shipdate") >= since.cast("timestamp_ntz"))
         if until is not None:
             lines = lines.where(F.col("l_shipdate") < F.date_add(until, 1).cast("timestamp_ntz"))
-        parts = self.t("part", "p_partkey", "p_name", "p_type", "p_brand")
-        return (
-            lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-            .join(self.pos_orders().drop("created_at_ist", "total_amount", "order_status"), F.col("l_orderkey") == F.col("id"))
-            .select(
-                F.to_date("l_shipdate").alias("date"),
-                "l_orderkey",
-                F.col("p_partkey").cast("string").alias("sku_code"),
-                "p_name", "p_type", "p_brand", "store_name", "city", "brand_name", "order_date",
-                "l_quantity", "l_extendedprice",
-            )
+        places = self.pos_orders().select("id", "store_name", "city", "brand_name", "order_date")
+        return lines.join(places, F.col("l_orderkey") == F.col("id")).select(
+            F.to_date("l_shipdate").alias("date"), "l_orderkey", "l_partkey",
+            F.col("l_partkey").cast("string").alias("sku_code"),
+            "store_name", "city", "brand_name", "order_date", "l_quantity", "l_extendedprice",
         )
 
+    def sales_lines(self, since: Column | None = None, until: Column | None = None) -> DataFrame:
+        """Sold lines with product and place."""
+        parts = self.t("part", "p_partkey", "p_name", "p_type", "p_brand")
+        return self._sold_lines(since, until).join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
+
     def daily_sales(self, grain: str = "coarse", since: Column | None = None, until: Column | None = None) -> DataFrame:
         """Sales by day. coarse: type x region, mid: brand x region, fine: part x nation."""
         lines = self.sales_lines(since, until)
@@ -129,9 +128,16 @@ class Roles:
         )
 
     def daily_qty(self, grain: str = "coarse", since: Column | None = None, until: Column | None = None) -> DataFrame:
-        """The quantity column alone: no distinct count to carry through the shuffle."""
-        lines = self.sales_lines(since, until)
-        sku, outlet = {"coarse": ("p_type", "city"), "mid": ("p_brand", "city"), "fine": ("sku_code", "store_name")}[grain]
+        """The quantity column alone: no distinct count to carry through the shuffle.
+
+        At the fine grain the item is the line's own part key, so the part
+        table, and the shuffle to reach it, is left out.
+        """
+        if grain == "fine":
+            lines, sku, outlet = self._sold_lines(since, until), "sku_code", "store_name"
+        else:
+            lines, outlet = self.sales_lines(since, until), "city"
+            sku = {"coarse": "p_type", "mid": "p_brand"}[grain]
         return lines.groupBy("date", F.col(sku).alias("sku"), F.col(outlet).alias("outlet")).agg(
             F.sum("l_quantity").alias("qty_sold")
         )

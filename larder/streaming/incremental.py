@@ -93,7 +93,9 @@ def drop_late_duplicates(stream: DataFrame, time: str, key: list[str]) -> DataFr
     For feeds whose files arrive in time order; rows later than the window are
     the batch reload's business, which loses none.
     """
-    return stream.withWatermark(time, f"{OVERLAP_DAYS} day").dropDuplicatesWithinWatermark(key)
+    # A watermark needs an instant; local times are taken as such.
+    timed = stream.withColumn("_event_time", F.col(time).cast("timestamp"))
+    return timed.withWatermark("_event_time", f"{OVERLAP_DAYS} day").dropDuplicatesWithinWatermark(key).drop("_event_time")
 
 
 def tumbling_sales(stream: DataFrame, time: str, key: str, qty: str) -> DataFrame:
@@ -107,11 +109,12 @@ def sliding_mean(stream: DataFrame, time: str, key: str, qty: str) -> DataFrame:
 
 
 def _windowed(df: DataFrame, window: Column, key: str, qty: str) -> DataFrame:
-    out = df.groupBy(window.alias("w"), key).agg(
-        F.count("*").alias("n"), F.round(F.sum(qty), 2).alias("total"), F.round(F.avg(qty), 4).alias("mean")
-    )
+    # Decimal totals are exact, so they do not depend on how the rows were split over batches.
+    exact = F.sum(F.col(qty).cast("decimal(18,4)")).cast("double")
+    out = df.groupBy(window.alias("w"), key).agg(F.count("*").alias("n"), exact.alias("total"))
     return out.select(
-        F.to_date("w.start").alias("window_start"), F.to_date("w.end").alias("window_end"), key, "n", "total", "mean"
+        F.to_date("w.start").alias("window_start"), F.to_date("w.end").alias("window_end"), key, "n", "total",
+        F.try_divide("total", "n").alias("mean"),
     )
 
 

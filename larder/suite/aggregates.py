@@ -127,7 +127,10 @@ def _(r):
 
 
 PICK_SQL = "sku IN ('ECONOMY', 'PROMO') AND outlet IN ('ASIA', 'EUROPE')"
-PICK = F.col("sku").isin("ECONOMY", "PROMO") & F.col("outlet").isin("ASIA", "EUROPE")
+
+
+def picked():
+    return F.col("sku").isin("ECONOMY", "PROMO") & F.col("outlet").isin("ASIA", "EUROPE")
 
 
 @query(
@@ -137,9 +140,9 @@ PICK = F.col("sku").isin("ECONOMY", "PROMO") & F.col("outlet").isin("ASIA", "EUR
     WHERE {PICK_SQL} AND forecast_date >= (SELECT d - 7 FROM ship_day) GROUP BY forecast_date""",
 )
 def _(r):
-    picked = r.forecast().where(PICK & (F.col("forecast_date") >= F.date_sub(r.ship_as_of, 7)))
+    chosen = r.forecast().where(picked() & (F.col("forecast_date") >= F.date_sub(r.ship_as_of, 7)))
     return (
-        picked.groupBy("forecast_date")
+        chosen.groupBy("forecast_date")
         .agg(
             *[F.round(F.sum(c), 2).alias(c) for c in ("qty_predicted", "qty_lower", "qty_upper")],
             F.max("model_run_date").alias("model_run_date"),
@@ -155,7 +158,7 @@ def _(r):
 )
 def _(r):
     days = r.daily_qty(since=F.date_sub(r.ship_as_of, 30), until=F.date_sub(r.ship_as_of, 1))
-    return days.where(PICK).groupBy("date").agg(F.sum("qty_sold").alias("qty_sold")).orderBy("date")
+    return days.where(picked()).groupBy("date").agg(F.sum("qty_sold").alias("qty_sold")).orderBy("date")
 
 
 @query("D13_outlet_array_by_city", "SELECT city, list_sort(list(DISTINCT outlet)) AS outlets FROM dim_outlets GROUP BY city")

@@ -70,7 +70,8 @@ def _(r):
 @query(
     "T4_tumbling_sales",
     """SELECT CAST(ts AS DATE) AS window_start, CAST(ts AS DATE) + 1 AS window_end, event_type, count(*) AS n,
-      round(sum(value), 2) AS total, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2, 3""",
+      CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS mean
+    FROM events GROUP BY 1, 2, 3""",
 )
 def _(r):
     stream = events_stream(r, "ts", "event_type", "value")
@@ -78,13 +79,13 @@ def _(r):
 
 
 SLIDING_SQL = """sliding AS (SELECT CAST(day - CAST(k AS INTEGER) AS DATE) AS window_start, CAST(day - CAST(k AS INTEGER) + 7 AS DATE) AS window_end, event_type,
-    sum(c) AS n, sum(v) AS v FROM (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS c, sum(value) AS v FROM events GROUP BY 1, 2), range(0, 7) t(k)
+    CAST(sum(c) AS BIGINT) AS n, CAST(sum(v) AS DOUBLE) AS v FROM (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS c, sum(CAST(value AS DECIMAL(18,4))) AS v FROM events GROUP BY 1, 2), range(0, 7) t(k)
     GROUP BY 1, 2, 3)"""
 
 
 @query(
     "T5_sliding_spike",
-    f"""WITH {SLIDING_SQL} SELECT window_start, window_end, event_type, CAST(n AS BIGINT) AS n, round(v, 2) AS total, round(v / n, 4) AS mean FROM sliding""",
+    f"""WITH {SLIDING_SQL} SELECT window_start, window_end, event_type, n, v AS total, v / n AS mean FROM sliding""",
 )
 def _(r):
     stream = events_stream(r, "ts", "event_type", "value")
@@ -93,7 +94,7 @@ def _(r):
 
 @query(
     "T5_spike_windows",
-    f"""WITH {SLIDING_SQL}, m AS (SELECT window_start, window_end, event_type, round(v / n, 4) AS mean FROM sliding)
+    f"""WITH {SLIDING_SQL}, m AS (SELECT window_start, window_end, event_type, v / n AS mean FROM sliding)
     SELECT a.window_start, a.window_end, a.event_type, a.mean, b.mean AS base FROM m a JOIN m b
       ON b.window_end = a.window_start AND b.event_type = a.event_type WHERE a.mean > 1.02 * b.mean""",
 )
