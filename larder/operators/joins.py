@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from larder.operators.skew import salted_join
+
 
 def left_or_zero(df: DataFrame, other: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Left join whose missing values are 0."""
@@ -24,7 +26,7 @@ def vendor_left(df: DataFrame, vendors: DataFrame) -> DataFrame:
 
 def tracked_only(df: DataFrame, column: str, tracked: DataFrame) -> DataFrame:
     """Rows whose code is tracked."""
-    return df.join(tracked.select(F.col("code").alias(column)).distinct(), column, "left_semi")
+    return salted_join(df, tracked.select(F.col("code").alias(column)).distinct(), [column], "left_semi")
 
 
 def active_pairs(stock: DataFrame, sold: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def active_pairs(stock: DataFrame, sold: DataFrame) -> DataFrame:
 def with_network_label(skus: DataFrame, forecast: DataFrame, limit: int = 5000) -> DataFrame:
     """Every item, also without a forecast, which then stands for the whole network."""
     return (
-        skus.join(forecast, skus["sku_code"] == forecast["sku"], "left")
+        skus.join(forecast, F.col("sku_code") == F.col("sku"), "left")
         .select(
             "sku_code",
             F.col("sku_name").alias("sku"),

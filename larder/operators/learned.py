@@ -10,6 +10,7 @@ from larder.functions.dates import near_holiday
 from larder.operators import accuracy, series
 from larder.operators.backtest import FOLD_STEP_DAYS, TEST_DAYS
 from larder.operators.forecast import with_band
+from larder.operators.skew import salted_join
 from larder.session import checkpointed
 
 VALIDATION_DAYS = 7
@@ -27,14 +28,21 @@ def training_frame(history: DataFrame, start: Column, cutoff: Column) -> DataFra
     """
     seen = series.enough_history(history.where(F.col("date") <= cutoff))
     frame = series.feature_frame(series.dense_panel(seen, start, cutoff))
-    return _encode(frame, frame).withColumn("is_validation", F.col("date") > F.date_sub(cutoff, VALIDATION_DAYS))
+    return _encode(frame).withColumn("is_validation", F.col("date") > F.date_sub(cutoff, VALIDATION_DAYS))
 
 
-def _encode(df: DataFrame, train: DataFrame) -> DataFrame:
-    for col in ("sku", "outlet"):
-        means = train.groupBy(col).agg(F.avg("qty_sold").alias(f"{col}_mean"))
-        df = df.join(means, col, "left")
-    return df
+def _encode(frame: DataFrame) -> DataFrame:
+    """Mean demand of the item and of the outlet, from per-series totals.
+
+    Totals are one row per series, so only they are shuffled by item and by
+    outlet; the frame stays where its windows put it.
+    """
+    totals = frame.groupBy(*series.KEYS).agg(F.sum("qty_sold").alias("_q"), F.count("*").alias("_n"))
+    codes = totals.select(*series.KEYS)
+    for col in series.KEYS:
+        means = totals.groupBy(col).agg((F.sum("_q") / F.sum("_n")).alias(f"{col}_mean"))
+        codes = salted_join(codes, means, [col])
+    return frame.join(codes, series.KEYS)
 
 
 def _vectors(df: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from larder.operators.skew import salted_join
+
 MIN_VENDOR_ORDERS = 5
 DELAY_TOP = 3
 OVERAGE_TOP = 20
@@ -106,6 +108,6 @@ def receipt_overage(pos: DataFrame, receipts: DataFrame, since: Column, top: int
 def mark_ordered(pos: DataFrame, ordered: DataFrame) -> DataFrame:
     """Open orders of the listed ingredients become ``ordered``."""
     listed = ordered.select(F.lower("ingredient").alias("_i")).distinct().withColumn("_hit", F.lit(True))
-    joined = pos.join(listed, F.lower("ingredient") == F.col("_i"), "left")
+    joined = salted_join(pos.withColumn("_i", F.lower("ingredient")), listed, ["_i"], "left")
     changed = F.col("_hit").isNotNull() & (F.col("status") == "open")
     return joined.withColumn("status", F.when(changed, F.lit("ordered")).otherwise(F.col("status"))).drop("_i", "_hit")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.functions.text import contains_ignore_case, join_key
 from larder.operators.cleaning import keep_first
+from larder.operators.skew import salted_join
 
 RANKING_LIMIT = 100
 LISTING_LIMIT = 2000
@@ -16,8 +17,8 @@ def alias_join(items: DataFrame, alias: DataFrame) -> DataFrame:
 
     The name stays the hash key; the option test is a residual condition.
     """
-    option_fits = alias["pos_option"].isNull() | (alias["pos_option"] == items["option_names"])
-    return items.join(alias, (alias["pos_name"] == items["item_name"]) & option_fits, "inner")
+    option_fits = F.col("pos_option").isNull() | (F.col("pos_option") == F.col("option_names"))
+    return items.join(alias, (F.col("pos_name") == F.col("item_name")) & option_fits, "inner")
 
 
 def recipe_join(aliased: DataFrame, recipes: DataFrame) -> DataFrame:
@@ -34,14 +35,11 @@ def resolve_names(
     df: DataFrame, code: str, skus: DataFrame, ingredients: DataFrame, out: str = "ingredient_name"
 ) -> DataFrame:
     """Display name of a code: first catalog, second catalog, else the code itself."""
-    first = one_per_code(skus, "sku_code", "sku_name").toDF("_c1", "_n1")
-    second = one_per_code(ingredients, "sku", "name").toDF("_c2", "_n2")
-    return (
-        df.join(first, F.lower(code) == F.col("_c1"), "left")
-        .join(second, F.lower(code) == F.col("_c2"), "left")
-        .withColumn(out, F.coalesce("_n1", "_n2", F.col(code)))
-        .drop("_c1", "_n1", "_c2", "_n2")
-    )
+    first = one_per_code(skus, "sku_code", "sku_name").select("code", F.col("name").alias("_n1"))
+    second = one_per_code(ingredients, "sku", "name").select("code", F.col("name").alias("_n2"))
+    names = first.join(second, "code", "full").select(F.col("code").alias("_code"), F.coalesce("_n1", "_n2").alias("_name"))
+    keyed = df.withColumn("_code", F.lower(code))
+    return salted_join(keyed, names, ["_code"], "left").withColumn(out, F.coalesce("_name", F.col(code))).drop("_code", "_name")
 
 
 def expected_usage(
@@ -97,7 +95,7 @@ def explode_recipes(units: DataFrame, recipes: DataFrame, yield_factor: Column |
 def tracked_share(recipes: DataFrame, tracked: DataFrame, limit: int = RANKING_LIMIT) -> DataFrame:
     """Dishes by the share of their quantity that tracked ingredients cover."""
     codes = tracked.select(join_key(F.col("code")).alias("_code")).distinct().withColumn("_hit", F.lit(True))
-    flagged = recipes.join(codes, join_key(F.col("ingredient")) == F.col("_code"), "left")
+    flagged = salted_join(recipes.withColumn("_code", join_key(F.col("ingredient"))), codes, ["_code"], "left")
     hit = F.coalesce("_hit", F.lit(False))
     per_dish = flagged.groupBy("dish_name").agg(
         F.round(F.sum(F.when(hit, F.col("qty_per_unit")).otherwise(0.0)), 4).alias("tracked_qty"),
@@ -115,7 +113,7 @@ def tracked_share(recipes: DataFrame, tracked: DataFrame, limit: int = RANKING_L
 def without_alias(recipes: DataFrame, alias: DataFrame) -> DataFrame:
     """Recipe rows no alias points to."""
     known = alias.select(F.col("recipe_name").alias("dish_name")).distinct()
-    return recipes.join(known, "dish_name", "left_anti")
+    return salted_join(recipes, known, ["dish_name"], "left_anti")
 
 
 def mapped_ingredients(recipes: DataFrame, skus: DataFrame, ingredients: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture for every column expression costs more than planning the queries.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -24,9 +24,14 @@ DEMAND_HORIZON = 8
 class Roles:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
 
     def t(self, name: str, *columns: str) -> DataFrame:
-        return read_table(self.spark, self.folder, name, list(columns) or None)
+        # One file listing and footer read per table, however often a plan scans it.
+        if name not in self._tables:
+            self._tables[name] = read_table(self.spark, self.folder, name)
+        table = self._tables[name]
+        return table.select(*columns) if columns else table
 
     # -- planning dates, each from one narrow scan ---------------------------
     @cached_property

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larder.operators.cleaning import keep_last
+from larder.operators.skew import salted_join
 from larder.session import checkpointed, scratch_path
 
 
@@ -52,8 +53,8 @@ def replace_group(existing: DataFrame, edits: DataFrame, key: str, normalised: l
     """For every group named in ``edits``, the edited rows replace the existing ones."""
     new = edits.withColumns({c: F.lower(F.trim(F.col(c))) for c in normalised})
     touched = new.select(F.col(key).alias("_touched")).distinct()
-    kept = existing.join(touched, F.lower(F.trim(F.col(key))) == F.col("_touched"), "left_anti")
-    return kept.unionByName(new)
+    keyed = existing.withColumn("_touched", F.lower(F.trim(F.col(key))))
+    return salted_join(keyed, touched, ["_touched"], "left_anti").drop("_touched").unionByName(new)
 
 
 def matching_columns(source: DataFrame, target_columns: list[str]) -> DataFrame:
