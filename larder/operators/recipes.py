@@ -66,8 +66,9 @@ def expected_usage(
     per_dish = F.col("quantity") * F.col("multiplier") * F.col("qty_per_unit") + F.coalesce(
         F.col("additive_offset"), F.lit(0.0)
     ) * F.col("lines")
+    # Eight decimals hold six of a recipe quantity and two of a multiplier, and no summation noise.
     return used.groupBy("date", "outlet", join_key(F.col("ingredient_name")).alias("ingredient")).agg(
-        F.max("unit").alias("unit"), F.round(F.sum(per_dish), 4).alias("expected_qty")
+        F.max("unit").alias("unit"), F.round(F.sum(per_dish), 8).alias("expected_qty")
     )
 
 

@@ -37,7 +37,7 @@ def report(expected: DataFrame, actual: DataFrame, display: bool = False) -> Dat
         F.coalesce("actual_qty", F.lit(0.0)).alias("actual_qty"),
         F.coalesce("unit", F.lit("units")).alias("unit"),
     )
-    diff = F.round(F.col("actual_qty") - F.col("expected_qty"), 4)
+    diff = F.round(F.col("actual_qty") - F.col("expected_qty"), 8)
     out = both.where((F.col("expected_qty") > 0) | (F.col("actual_qty") > 0)).withColumn("variance_qty", diff)
     pct = F.when(F.col("expected_qty") > 0, F.col("variance_qty") / F.col("expected_qty") * 100).otherwise(100.0)
     out = out.withColumn("variance_pct", F.round(pct, 4))

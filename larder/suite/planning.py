@@ -14,8 +14,8 @@ from larder.suite.registry import query
 VARIANCE_SQL = f"""{EXPECTED_SQL},
   both_ AS (SELECT date, outlet, ingredient, coalesce(expected_qty, 0.0) AS expected_qty, coalesce(actual_qty, 0.0) AS actual_qty,
     coalesce(unit, 'units') AS unit FROM expected FULL JOIN actual USING (date, outlet, ingredient)),
-  variance AS (SELECT *, round(actual_qty - expected_qty, 4) AS variance_qty,
-    round(CASE WHEN expected_qty > 0 THEN round(actual_qty - expected_qty, 4) / expected_qty * 100 ELSE 100.0 END, 4) AS variance_pct
+  variance AS (SELECT *, round(actual_qty - expected_qty, 8) AS variance_qty,
+    round(CASE WHEN expected_qty > 0 THEN round(actual_qty - expected_qty, 8) / expected_qty * 100 ELSE 100.0 END, 4) AS variance_pct
     FROM both_ WHERE expected_qty > 0 OR actual_qty > 0)"""
 
 
@@ -34,8 +34,8 @@ def _(r):
       settings AS (SELECT DISTINCT lower(p_type) || ' item' AS ing, CAST(10 AS DOUBLE) AS g, CAST(40 AS DOUBLE) AS y FROM part WHERE p_type = 'ECONOMY'),
       mapped AS (SELECT lower(ingredient) AS ingredient FROM recipe_master WHERE ingredient <> 'PROMO' UNION
         SELECT lower(sku_name) FROM dim_sku UNION SELECT lower(name) FROM dim_ingredients WHERE sku <> 'PROMO'),
-      t AS (SELECT date, outlet, ingredient, unit, round(sum(expected_qty), 2) AS expected_qty, round(sum(actual_qty), 2) AS actual_qty,
-        round(sum(variance_qty), 2) AS variance_qty FROM variance GROUP BY 1, 2, 3, 4
+      t AS (SELECT date, outlet, ingredient, unit, CAST(round(CAST(sum(expected_qty) AS DECIMAL(28, 8)), 2) AS DOUBLE) AS expected_qty, CAST(round(CAST(sum(actual_qty) AS DECIMAL(28, 8)), 2) AS DOUBLE) AS actual_qty,
+        CAST(round(CAST(sum(variance_qty) AS DECIMAL(28, 8)), 2) AS DOUBLE) AS variance_qty FROM variance GROUP BY 1, 2, 3, 4
         ORDER BY variance_qty DESC, date, outlet, ingredient LIMIT 5000),
       p AS (SELECT t.*, CASE WHEN expected_qty > 0 THEN variance_qty / expected_qty * 100 WHEN actual_qty > 0 THEN 100.0 ELSE 0.0 END AS pct,
         expected_qty = 0 AND actual_qty > 0 AND ingredient NOT IN (SELECT ingredient FROM mapped) AS unmapped,
