@@ -19,7 +19,7 @@ def usage_of(r) -> tuple[DataFrame, DataFrame]:
     start = F.date_sub(r.order_as_of, WINDOW_DAYS - 1).cast("timestamp_ntz")
     recent = F.col("o_orderdate") >= start
     expected = rc.expected_usage(
-        r.pos_order_items(), r.pos_orders(recent).select("id", "order_date", "store_name"),
+        r.pos_order_items(recent), r.pos_orders(recent).select("id", "order_date", "store_name"),
         r.item_alias(), r.recipe_master(), r.dim_sku(), r.dim_ingredients(),
     )
     return expected, rc.actual_usage(r.actual_usage(recent))

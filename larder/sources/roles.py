@@ -76,10 +76,14 @@ class Roles:
             F.col("o_orderstatus").alias("order_status"),
         )
 
-    def pos_order_items(self) -> DataFrame:
-        items = self.t("lineitem", "l_orderkey", "l_partkey", "l_returnflag", "l_quantity", "l_extendedprice")
+    def pos_order_items(self, recent: Column | None = None) -> DataFrame:
+        """Order items; with a condition on the order, lines of other orders are dropped before the item lookup."""
+        lines = self.t("lineitem", "l_orderkey", "l_partkey", "l_returnflag", "l_quantity", "l_extendedprice")
+        if recent is not None:
+            keys = self.t("orders", "o_orderkey", "o_orderdate").where(recent).select("o_orderkey")
+            lines = lines.join(keys, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
         parts = self.t("part", "p_partkey", "p_name")
-        return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
             F.col("l_orderkey").alias("order_id"),
             F.col("p_name").alias("item_name"),
             F.col("l_returnflag").alias("option_names"),
@@ -87,9 +91,9 @@ class Roles:
             F.col("l_extendedprice").alias("total_price"),
         )
 
-    def pos_items_text(self) -> DataFrame:
+    def pos_items_text(self, recent: Column | None = None) -> DataFrame:
         """Order items as the feed delivers them: numbers as text with thousands separators."""
-        return self.pos_order_items().select(
+        return self.pos_order_items(recent).select(
             "order_id",
             "item_name",
             F.format_number("quantity", 2).alias("quantity"),
@@ -207,10 +211,10 @@ class Roles:
         """Consumption as the stock system reports it: by name, not by code."""
         orders = self.pos_orders(where).select("id", "order_date", "store_name")
         lines = self.t("lineitem", "l_orderkey", "l_partkey", "l_quantity").join(
-            self.t("part", "p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")
+            orders, F.col("l_orderkey") == F.col("id")
         )
         return (
-            lines.join(orders, F.col("l_orderkey") == F.col("id"))
+            lines.join(self.t("part", "p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
             .groupBy(
                 F.col("order_date").alias("date"),
                 F.col("store_name").alias("outlet"),

@@ -29,7 +29,7 @@ def _month(r):
     GROUP BY 1, 2, 3, 4, 5 ORDER BY date DESC, sku, brand, outlet, city LIMIT 5000""",
 )
 def _(r):
-    return sales.pos_detail(r.pos_items_text(), r.pos_orders(_month(r)))
+    return sales.pos_detail(r.pos_items_text(_month(r)), r.pos_orders(_month(r)))
 
 
 def _week(r, grain="fine"):
@@ -68,7 +68,7 @@ def _(r):
     FROM pos_orders WHERE order_date >= (SELECT d - 30 FROM order_day)""",
 )
 def _(r):
-    return sales.order_summary(r.pos_orders(_month(r)), r.pos_order_items())
+    return sales.order_summary(r.pos_orders(_month(r)), r.pos_order_items(_month(r)))
 
 
 @query(

@@ -193,8 +193,8 @@ def spike(r):
 
 
 def no_recipe(r):
-    recent = r.pos_orders(F.col("o_orderdate") >= F.date_sub(r.order_as_of, 7).cast("timestamp_ntz")).select("id")
-    return alerts.no_recipe(r.pos_order_items().join(recent, F.col("order_id") == F.col("id"), "left_semi"), r.item_alias())
+    recent = F.col("o_orderdate") >= F.date_sub(r.order_as_of, 7).cast("timestamp_ntz")
+    return alerts.no_recipe(r.pos_order_items(recent), r.item_alias())
 
 
 def lead(r):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import re
 
 import duckdb
 
@@ -75,3 +76,17 @@ def difference(df, con, sql) -> str | None:
     if bad:
         return f"{len(bad)} of {len(sr)} rows differ, e.g. spark {bad[0][0]} duckdb {bad[0][1]} (columns {sc})"
     return None
+
+
+# These run jobs while being built (streams, learned models, written files); the plan left at the end is a file scan.
+EAGER = re.compile(r"^(T[24567]_|E1[345]_|E16_.*_ml|A(2|3|4|12|14|16|17)_)")
+
+
+def assert_scalable(df) -> None:
+    """No product or nested-loop join, no row-at-a-time Python, no window without a partition key."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BroadcastHashJoin", "BatchEvalPython"):
+        assert node not in plan, node
+    for line in plan.splitlines():
+        if re.search(r"\bWindow \[", line):
+            assert re.search(r"\], \[[a-z_]", line), line
