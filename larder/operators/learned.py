@@ -18,6 +18,7 @@ TAIL_DAYS = 28
 CHECKPOINT_EVERY = 7
 ENCODED = ["sku_mean", "outlet_mean"]
 INPUTS = [*series.FEATURES, *ENCODED]
+RECENT = [c for c in series.FEATURES if c.startswith(("lag_", "roll_mean_"))]
 
 
 def training_frame(history: DataFrame, start: Column, cutoff: Column) -> DataFrame:
@@ -46,22 +47,35 @@ def _encode(frame: DataFrame) -> DataFrame:
 
 
 def _vectors(df: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=INPUTS, outputCol="features", handleInvalid="keep").transform(df)
+    """Assembled inputs, recent quantities relative to the series' own level."""
+    relative = df.withColumns({f"_{c}": F.col(c) / _scale() for c in RECENT}).withColumn("_scale", _scale())
+    inputs = [f"_{c}" if c in RECENT else c for c in INPUTS]
+    vectors = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(relative)
+    return vectors.drop(*[f"_{c}" for c in RECENT])
+
+
+def _scale() -> Column:
+    return F.col("combo_mean") + 1
 
 
 def fit(frame: DataFrame, max_iter: int = 20, max_depth: int = 5, seed: int = 7) -> GBTRegressionModel:
-    """L1 boosting, stopped early on the last week. ``frame`` should be materialised: boosting reads it often."""
+    """L1 boosting, stopped early on the last week. ``frame`` should be materialised: boosting reads it often.
+
+    The target is relative to the level of the series. Steps of an absolute
+    loss all have the same size, which must suit small and large series alike.
+    """
     gbt = GBTRegressor(
-        featuresCol="features", labelCol="qty_sold", lossType="absolute", maxIter=max_iter, maxDepth=max_depth,
+        featuresCol="features", labelCol="_target", lossType="absolute", maxIter=max_iter, maxDepth=max_depth,
         stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=10, seed=seed, validationIndicatorCol="is_validation",
         checkpointInterval=10,
     )
-    return gbt.fit(_vectors(frame))
+    return gbt.fit(_vectors(frame).withColumn("_target", F.col("qty_sold") / F.col("_scale")))
 
 
 def predict(model: GBTRegressionModel, frame: DataFrame) -> DataFrame:
     scored = model.transform(_vectors(frame)).drop("features")
-    return scored.withColumn("qty_predicted", F.greatest(F.col("prediction"), F.lit(0.0))).drop("prediction")
+    quantity = F.greatest(F.col("prediction") * F.col("_scale"), F.lit(0.0))
+    return scored.withColumn("qty_predicted", quantity).drop("prediction", "_scale")
 
 
 def series_state(frame: DataFrame, cutoff: Column) -> DataFrame:
