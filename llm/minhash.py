@@ -21,6 +21,8 @@ PER_LONG = 64 // BITS
 LONGS = -(-HASHES // PER_LONG)
 #: Standard deviations that an estimate may lie below the threshold before a candidate is given up.
 SLACK = 6.0
+#: Rows of a bucket that are compared with each other at once.
+BLOCK = 512
 
 _RANDOM = np.random.default_rng(20240601)
 _FACTORS = _RANDOM.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -166,6 +168,62 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(F.col("both") * 100 >= union * percent).select("a", "b")
 
 
+def _shared_count(a: np.ndarray, b: np.ndarray) -> int:
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def _links_across(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, floor: float) -> DataFrame:
+    """Confirmed links between different components of a bucket; candidate pairs never leave the task.
+
+    A bucket is cut into blocks of about ``BLOCK`` rows and worked off block
+    against block, so a task holds two blocks whatever the bucket's size. A pair
+    is looked at in the first band it shares, and only while its ends are not
+    yet connected.
+    """
+    sized = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    dealt = rows.join(settled(sized, "sized"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    full = dealt.join(classes.select("id", "bands"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
+
+    def link(block: pd.DataFrame) -> pd.DataFrame:
+        ids, own, c = block["id"].to_numpy(), block["own"].to_numpy(), block["c"].to_numpy()
+        within = bool((block["i"] == block["j"]).iloc[0])
+        packed = np.stack(block["packed"].to_list()).view(np.uint64)
+        bands = np.stack(block["bands"].to_list())
+        here = int(np.argmax(bands[0] == block["key"].iloc[0]))
+        shingles = [np.frombuffer(x, np.uint64) for x in block["shingles"]]
+        parent = {v: v for v in c.tolist()}
+
+        def root(v: int) -> int:
+            while parent[v] != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        most_odd = HASHES * (1 - 1 / (1 << BITS)) * (1 - floor) + 1e-9
+        low = np.uint64((1 << 64) // 3)
+        out = []
+        for p in range(len(ids)):
+            rest = np.arange(p + 1, len(ids)) if within else np.flatnonzero(own > own[p])
+            rest = rest[c[rest] != c[p]]
+            differ = packed[rest] ^ packed[p]
+            odd = np.bitwise_count((differ | (differ >> np.uint64(1))) & low).sum(axis=1)
+            rest = rest[odd <= most_odd]
+            rest = rest[(bands[rest, :here] != bands[p, :here]).all(axis=1)]
+            for q in rest.tolist():
+                x, y = root(int(c[p])), root(int(c[q]))
+                if x != y:
+                    both = _shared_count(shingles[p], shingles[q])
+                    if both * 100 >= percent * (len(shingles[p]) + len(shingles[q]) - both):
+                        parent[max(x, y)] = min(x, y)
+                        out.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return full.groupBy("key", "i", "j").applyInPandas(link, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85
 ) -> DataFrame:
@@ -179,9 +237,10 @@ def near_duplicates(
     30 bands of 6 minima propose candidates (a pair at 0.85 is missed with
     probability 7e-7); two low bits of 180 minima, corrected for chance, drop
     candidates six deviations below the threshold, and full sets confirm the
-    rest. Pairs come in two rounds, so that a group of n near copies gives about
-    n pairs: every member of a bucket first meets the bucket's smallest and
-    largest id; then only members whose components still differ meet each other.
+    rest. There are two rounds, so that n near copies give about n pairs: every
+    member of a bucket first meets the bucket's smallest and largest id; then
+    members whose components still differ are compared in blocks, which return
+    links only.
 
     Null or empty texts, and texts without words, have an empty set and no
     links. A null id cannot be linked: its component is null and it is kept.
@@ -222,21 +281,17 @@ def near_duplicates(
 
     # Second round: within buckets that still hold several components, between these.
     placed = members.join(reached, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = settled(
-        placed.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h").select("key"), "mixed"
-    )
-    open_rows = settled(placed.join(mixed, "key", "left_semi").join(bits, "id"), "open")
+    mixed = settled(placed.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h"), "mixed")
+    open_rows = settled(placed.join(mixed.select("key"), "key", "left_semi").join(bits, "id"), "open")
     x = open_rows.select("key", F.struct("id", "c", "packed").alias("x"))
-    y = open_rows.select("key", F.struct("id", "c", "packed").alias("y"))
-    across = (
-        x.join(y, (x["key"] == y["key"]) & (F.col("x.c") < F.col("y.c")) & (_estimate("x", "y") >= floor))
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct()
+    y = open_rows.select("key", F.struct("c", "packed").alias("y"))
+    hopeful = x.join(
+        y, (x["key"] == y["key"]) & (F.col("x.c") != F.col("y.c")) & (_estimate("x", "y") >= floor), "left_semi"
     )
-    second = settled(across.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = settled(ends(second).join(known, "id", "left_anti"), "ends")
-    more_sets = settled(_set_table(docs, more, words), "sets")
-    links = links.unionByName(_confirmed(second, sets.unionByName(more_sets), percent))
+    hopeful = settled(hopeful.select("key", "x.*"), "hopeful")
+    more = settled(hopeful.select("id").distinct().join(known, "id", "left_anti"), "ends")
+    all_sets = sets.unionByName(settled(_set_table(docs, more, words), "sets"))
+    links = settled(links.unionByName(_links_across(hopeful, classes, all_sets, percent, floor)), "confirmed")
     reached = settled(components(links), "reached")
 
     named = settled(
