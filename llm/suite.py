@@ -4,18 +4,63 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.sources.tables import read_table
+from llm.encode import encode_digests
 from llm.minhash import near_duplicates
+from llm.secrets import find_secrets
+from llm.substring import remove_repeats
+from llm.token_counts import token_counts
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+
+
+def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
 def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return near_duplicates(_documents(spark, sf_dir), words=5, percent=85)
+
+
+def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_documents(spark, sf_dir))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def line(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(line(F.filter("spans", lambda s: s["kind"] != "entropy")), 256).alias("base_sha256"),
+        line(F.col("spans")).alias("spans"),
+    )
+
+
+def op10_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(_documents(spark, sf_dir), length=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_trie_bpe": op5_trie_bpe,
+    "op6_prefix_token_counts": op6_prefix_token_counts,
     "op8_bbit_minhash": op8_bbit_minhash,
+    "op9_entropy_secrets": op9_entropy_secrets,
+    "op10_seed_extend": op10_seed_extend,
 }
 
 ORACLES: dict[str, str] = {}
