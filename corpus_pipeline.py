@@ -1,27 +1,59 @@
-"""A cleaning pipeline for a training corpus: each stage reads what its predecessor kept."""
+"""A cleaning pipeline for a training corpus: each stage reads all that its predecessor kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.session import scratch_path
+from larder.sources.tables import read_table
+from llm.decontaminate import without_leaks
+from llm.encode import encode_digests
 from llm.minhash import keep_one_each
+from llm.quality import keep_good
+from llm.secrets import redact
+from llm.suite import quality_model
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier grades good."""
+    return keep_good(docs, quality_model(spark, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one_each(docs)
+    """One document of each group that shares four fifths of its five-word shingles."""
+    return keep_one_each(docs, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked; ``n_chars`` stays that of the text as it came."""
+    return redact(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of what they decode to."""
+    return encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
+    ("quality", quality),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("secrets", secrets),
+    ("encode", encode),
 ]
 
-#: MinHash bands, banded alignment and the fitted classifier are beyond SQL; tests/llm compares with brute force.
+#: The fitted classifier, banded alignment and token encoding are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -18,6 +18,7 @@ import regex
 
 #: A token's final unit, where it closes a word, moves to this private plane, so that every unit is one character.
 _CLOSED = 0xF0000
+_NEVER = 1 << 60
 #: Remembered words; the memory starts anew beyond, which costs time only.
 MEMORY = 500_000
 #: Remembered answers to whether one token may follow another, likewise.
@@ -77,7 +78,7 @@ class Vocabulary:
                     low = self.back[low]
                 self.back[to] = self.step[low].get(unit, 0)
             ends[at] += ends[self.back[at]]
-        self.ends = [tuple(e) for e in ends]
+        self.ends = ends
 
     def _units(self, token: str) -> str:
         if self.closing and token.endswith(self.closing):
@@ -94,8 +95,10 @@ class Vocabulary:
         """Plain merging, lowest rank first, then leftmost; for short strings."""
         parts = list(units)
         while len(parts) > 1:
-            rank, at = min((self.ranks.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
+            ranks = [self.ranks.get(pair, _NEVER) for pair in zip(parts, parts[1:])]
+            rank = min(ranks)
+            at = ranks.index(rank)
+            if rank == _NEVER:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
@@ -141,14 +144,18 @@ class TrieWalk:
                 while state and unit not in step[state]:
                     state = back[state]
                 state = step[state].get(unit, 0)
-                for token, length in ends[state]:
+                options = ends[state]
+                for option in options:
+                    token, length = option
                     start = end - length
-                    before = last[start]
-                    fit = known.get((before << 20) + token)
-                    if fit or fit is None and follows(before, token):
+                    key = (last[start] << 20) + token
+                    if known[key] if key in known else follows(last[start], token):
                         last.append(token)
                         counts.append(counts[start] + 1)
                         states.append(state)
+                        if option is not options[0]:  # what fitted last is tried first next time
+                            options.remove(option)
+                            options.insert(0, option)
                         break
                 else:
                     raise ValueError(f"no token ends at unit {end} of {word!r}")

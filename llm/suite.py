@@ -8,8 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.sources.tables import read_table
+from llm.decontaminate import find_leaks
 from llm.encode import encode_digests
+from llm.licenses import KNOWN, SPELLINGS, license_scan
 from llm.minhash import near_duplicates
+from llm.multi_index import search
+from llm.quality import CumulativeLink, grade_documents, train
+from llm.reputation import Rule, Shrinkage, judge_urls, path_of
 from llm.secrets import find_secrets
 from llm.substring import remove_repeats
 from llm.token_counts import token_counts
@@ -19,6 +24,48 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", ["doc_id", "text"])
 
 
+#: In the order of the contract; the longest that fits wins.
+RULES = [
+    Rule("com/", "allow"),
+    Rule("example.com/en/", "block"),
+    Rule("www.example.com/en/", "allow"),
+    Rule("net/es/", "block"),
+    Rule("net/fr/", "block"),
+]
+
+
+def op1_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item found in it."""
+    return find_leaks(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return search(vectors, vectors.where("vec_id % 50 = 0"), neighbours=5)
+
+
+def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's labels are those of the document that its url numbers."""
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    labels = read_table(spark, sf_dir, "labels")
+    numbered = pages.select("page_id", F.regexp_extract(path_of(F.col("url")), "/([0-9]{1,18})", 1).alias("n"))
+    numbered = numbered.where("n <> ''").select("page_id", F.col("n").cast("long").alias("doc_id"))
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality") == 1, 0)
+    outcomes = numbered.join(labels.select("doc_id", bad.alias("bad")), "doc_id").select("page_id", "bad")
+    return judge_urls(pages, outcomes, RULES, Shrinkage(weight=20.0, deviations=1.0, most_bad=0.25))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> CumulativeLink:
+    """Grades from the labels: toxic 0, low quality 1, good 2."""
+    labels = read_table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    return train(_documents(spark, sf_dir), labels.select("doc_id", grade.alias("grade")), levels=3)
+
+
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_documents(_documents(spark, sf_dir), quality_model(spark, sf_dir))
+
+
 def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -27,6 +74,10 @@ def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_documents(spark, sf_dir))
+
+
 def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), words=5, percent=85)
 
@@ -56,11 +107,78 @@ def op10_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_qgram_leaks": op1_qgram_leaks,
+    "op2_multi_index": op2_multi_index,
+    "op3_host_reputation": op3_host_reputation,
+    "op4_ordinal_quality": op4_ordinal_quality,
     "op5_trie_bpe": op5_trie_bpe,
     "op6_prefix_token_counts": op6_prefix_token_counts,
+    "op7_license_digests": op7_license_digests,
     "op8_bbit_minhash": op8_bbit_minhash,
     "op9_entropy_secrets": op9_entropy_secrets,
     "op10_seed_extend": op10_seed_extend,
 }
 
-ORACLES: dict[str, str] = {}
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = rf"regexp_replace({out}, '(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)|©)[^\n]*', '', 'g')"
+    out = rf"regexp_replace({out}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')"
+    for other, one in SPELLINGS:
+        out = rf"regexp_replace({out}, '\b{other}\b', '{one}', 'g')"
+    return f"sha256(trim({out}))"
+
+
+_KNOWN_SQL = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+
+ORACLES: dict[str, str] = {
+    "op3_host_reputation": r"""
+        WITH parted AS (
+            SELECT page_id,
+                translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        outcome AS (
+            SELECT host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 THEN 0 END AS bad
+            FROM parted JOIN labels ON doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})', 1), '') AS BIGINT)),
+        h AS (SELECT host, count(*) AS n, sum(bad) AS b, string_split(host, '.') AS l FROM outcome WHERE bad IS NOT NULL GROUP BY host),
+        hosts AS (SELECT host, n, b, l[-1] AS suffix, array_to_string(l[-2:], '.') AS domain FROM h),
+        total AS (SELECT CAST(sum(b) AS DOUBLE) / sum(n) AS p FROM hosts),
+        s AS (SELECT suffix, (sum(b) + 20.0::DOUBLE * any_value(p)) / (sum(n) + 20.0::DOUBLE) AS p FROM hosts, total GROUP BY suffix),
+        d AS (SELECT domain, (sum(b) + 20.0::DOUBLE * any_value(p)) / (sum(n) + 20.0::DOUBLE) AS p FROM hosts JOIN s USING (suffix) GROUP BY domain),
+        m AS (SELECT host, n, (b + 20.0::DOUBLE * p) / (n + 20.0::DOUBLE) AS mean FROM hosts JOIN d USING (domain)),
+        bound AS (SELECT host, mean - 1.0::DOUBLE * sqrt(mean * (1 - mean) / (n + 20.0::DOUBLE + 1)) AS low FROM m),
+        rule(prefix, host, path, verdict) AS (VALUES
+            ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+            ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+        fit AS (
+            SELECT page_id, arg_max(prefix, length(prefix)) AS rule, arg_max(verdict, length(prefix)) AS verdict
+            FROM parted p JOIN rule r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+            GROUP BY page_id)
+        SELECT p.page_id, p.host, p.path, fit.rule,
+            coalesce(fit.verdict, CASE WHEN bound.low > 0.25 THEN 'block' ELSE 'allow' END) AS verdict
+        FROM parted p LEFT JOIN fit USING (page_id) LEFT JOIN bound ON bound.host = p.host""",
+    "op7_license_digests": rf"""
+        WITH known AS (SELECT {_canonical_sql("text")} AS digest, min(license) AS license FROM (VALUES {_KNOWN_SQL}) k(license, text) GROUP BY 1),
+        line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+        held AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names
+            FROM line JOIN known ON known.digest = {_canonical_sql("line")} GROUP BY doc_id),
+        whole AS (SELECT doc_id, {_canonical_sql("text")} AS digest FROM documents)
+        SELECT doc_id, whole.digest, license, coalesce(n, 0) AS n_lines, coalesce(names, '') AS line_licenses
+        FROM whole LEFT JOIN known USING (digest) LEFT JOIN held USING (doc_id)""",
+    "op10_seed_extend": r"""
+        WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (
+            SELECT doc_id, s, sha256(array_to_string(w[s:s + 49], ' ')) AS h
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM words WHERE len(w) >= 50)),
+        source AS (SELECT h, min(doc_id) AS lo FROM win GROUP BY h),
+        gone AS (SELECT DISTINCT doc_id, p FROM (
+            SELECT doc_id, unnest(range(s, s + 50)) AS p FROM win JOIN source USING (h) WHERE lo < doc_id)),
+        word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM words),
+        cut AS (
+            SELECT doc_id, count(gone.p) AS n_removed, string_agg(x, ' ' ORDER BY word.p) FILTER (WHERE gone.p IS NULL) AS kept
+            FROM word LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM words LEFT JOIN cut USING (doc_id)""",
+}

@@ -28,12 +28,13 @@ class PrefixCounts:
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
         self.walk = TrieWalk(self.vocab)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.specials = {s.encode(): (1,) for s in self.vocab.special}
+        self.known: dict[str | bytes, tuple[int, ...]] = dict(self.specials)
 
     def trim(self) -> None:
         """Forget the words learnt when there are too many; between batches only."""
         if len(self.known) > MEMORY:
-            self.known.clear()
+            self.known = dict(self.specials)
 
     def learn(self, words: set[str]) -> None:
         for word, _, _, counts in self.walk.words([w for w in words if w not in self.known]):
@@ -55,12 +56,12 @@ class PrefixCounts:
             for part, own in segments(text, self.vocab.special):
                 words += [part.encode()] if own else ByteLevel.split(part)
             out.append(words)
-        self.learn({w for words in out for w in words if type(w) is str})
+        self.learn(set().union(*out) - self.specials.keys())
         return out
 
     def total(self, words: list[str | bytes]) -> int:
         known = self.known
-        return sum([known[w][-1] if type(w) is str else 1 for w in words])
+        return sum([known[w][-1] for w in words])
 
     def _inside(self, part: str) -> list[int]:
         """Counts of the non-empty prefixes of a part without special strings."""
@@ -102,16 +103,22 @@ class PrefixCounts:
 
         Prefixes beyond the first word that ends over the budget cannot return
         under it, unless the word is white space, which a longer run may merge.
+        Before it, counts at word ends only grow, so the prefixes from the last
+        word end but one that keeps the budget decide.
         """
         used = at = 0
+        ends = [(0, 0), (0, 0)]
         for word in words:
             plain = type(word) is str
-            used += self.known[word][-1] if plain else 1
+            used += self.known[word][-1]
             at += len(word) if plain else len(word.decode())
-            if used > budget and not (plain and word.isspace()):
-                break
-        counts = self.counts(text[:at])
-        return max(i for i, c in enumerate(counts) if c <= budget)
+            if not (plain and word.isspace()):
+                if used > budget:
+                    break
+                ends = [ends[1], (at, used)]
+        start, before = ends[0]
+        counts = self.counts(text[start:at])
+        return start + max(i for i, c in enumerate(counts) if before + c <= budget)
 
 
 _COUNTERS: dict[str, PrefixCounts] = {}
