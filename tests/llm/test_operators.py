@@ -215,7 +215,7 @@ def test_secrets_awkward(awkward, empty):
 
 def test_leaks_within_the_edit_budget():
     rnd = random.Random(4)
-    items = [(i, "".join(rnd.choices("abcdefg hijk", k=rnd.randint(60, 300)))) for i in range(20)]
+    items = [(i, "".join(rnd.choices("abcdefghijk", k=rnd.randint(60, 300)))) for i in range(20)]
     ready = Items([(i, plain(t)) for i, t in items], 12, 0.05)
     for i, text in items * 3:
         chars = list(plain(text))
