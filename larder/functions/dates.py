@@ -10,19 +10,19 @@ LOCAL_ZONE = "Asia/Kolkata"
 
 # The holiday calendar, month and day.
 HOLIDAYS = [
-    ("New Year", 1, 1),
-    ("Pongal", 1, 14),
     ("Republic Day", 1, 26),
     ("Holi", 3, 25),
-    ("Eid ul-Fitr", 4, 10),
     ("Good Friday", 4, 18),
+    ("Eid ul-Fitr", 4, 10),
     ("Independence Day", 8, 15),
-    ("Onam", 9, 5),
     ("Gandhi Jayanti", 10, 2),
     ("Navratri", 10, 3),
     ("Dussehra", 10, 12),
     ("Diwali", 10, 20),
     ("Christmas", 12, 25),
+    ("New Year", 1, 1),
+    ("Pongal", 1, 14),
+    ("Onam", 9, 5),
 ]
 HOLIDAY_REACH_DAYS = 1
 

@@ -19,14 +19,15 @@ LIKE_PATTERNS = {
 # Literal keywords of the warehouse plan.
 PLAN_WORDS = [
     "warehouse", " wh", "wh ", "_wh", "hub", "central",
-    "cluster store", "cluster kitchen", "store/wh", "smoodies_store",
+    "cluster store", "cluster kitchen", "store/wh",
 ]
 
 
-def is_warehouse(name: Column, variant: str = "plan") -> Column:
+def is_warehouse(name: Column, variant: str = "plan", more_words: tuple[str, ...] = ()) -> Column:
+    """Whether a name is that of a warehouse; ``more_words`` are the caller's own keywords for the plan."""
     low = F.lower(name)
     if variant == "plan":
-        tests = [F.contains(low, F.lit(word)) for word in PLAN_WORDS]
+        tests = [F.contains(low, F.lit(word)) for word in [*PLAN_WORDS, *more_words]]
     else:
         tests = [low.like(pattern) for pattern in LIKE_PATTERNS[variant]]
     return reduce(lambda a, b: a | b, tests)

@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from larder.operators.skew import salted_join
 
 
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """The whole result, or as many leading rows as the caller asks for."""
+    return df if limit is None else df.limit(limit)
+
+
 def left_or_zero(df: DataFrame, other: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Left join whose missing values are 0."""
     return df.join(other, key, "left").withColumns({v: F.coalesce(F.col(v), F.lit(0.0)) for v in values})
@@ -37,9 +42,9 @@ def active_pairs(stock: DataFrame, sold: DataFrame) -> DataFrame:
     )
 
 
-def with_network_label(skus: DataFrame, forecast: DataFrame, limit: int = 5000) -> DataFrame:
+def with_network_label(skus: DataFrame, forecast: DataFrame, limit: int | None = None) -> DataFrame:
     """Every item, also without a forecast, which then stands for the whole network."""
-    return (
+    labelled = (
         skus.join(forecast, F.col("sku_code") == F.col("sku"), "left")
         .select(
             "sku_code",
@@ -48,8 +53,8 @@ def with_network_label(skus: DataFrame, forecast: DataFrame, limit: int = 5000)
             F.coalesce("total_predicted", F.lit(0.0)).alias("total_predicted"),
         )
         .orderBy(F.col("total_predicted").desc(), "sku_code", "outlet")
-        .limit(limit)
     )
+    return first_rows(labelled, limit)
 
 
 def with_city(df: DataFrame, outlets: DataFrame, outlet: str = "outlet") -> DataFrame:

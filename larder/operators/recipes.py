@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.functions.text import contains_ignore_case, join_key
 from larder.operators.cleaning import keep_first
+from larder.operators.joins import first_rows
 from larder.operators.skew import salted_join
 
-RANKING_LIMIT = 100
-LISTING_LIMIT = 2000
-
 
 def alias_join(items: DataFrame, alias: DataFrame) -> DataFrame:
     """Items with their recipe. An alias without option fits every option; exact and general both match.
@@ -53,19 +51,22 @@ def expected_usage(
     """Ingredient use implied by sold dishes, per day and outlet.
 
     The sum is linear in the quantity, so order lines are added up per day,
-    outlet, dish and option before they meet aliases and recipes: the fan-out
-    multiplies daily dish totals, never order lines, however popular a dish is.
+    outlet, dish and option before they meet aliases, and again per recipe
+    before they meet its ingredients: the fan-out multiplies daily recipe totals,
+    never order lines, however popular a dish is.
     """
     sold = (
         items.join(orders, F.col("order_id") == F.col("id"))
         .groupBy(F.col("order_date").alias("date"), join_key(F.col("store_name")).alias("outlet"), "item_name", "option_names")
         .agg(F.sum("quantity").alias("quantity"), F.count("*").alias("lines"))
     )
+    offset = F.coalesce(F.col("additive_offset"), F.lit(0.0))
+    cooked = alias_join(sold, alias).groupBy("date", "outlet", "recipe_name").agg(
+        F.sum(F.col("quantity") * F.col("multiplier")).alias("portions"), F.sum(F.col("lines") * offset).alias("extra")
+    )
     names = resolve_names(recipes, "ingredient", skus, ingredients)
-    used = recipe_join(alias_join(sold, alias), names)
-    per_dish = F.col("quantity") * F.col("multiplier") * F.col("qty_per_unit") + F.coalesce(
-        F.col("additive_offset"), F.lit(0.0)
-    ) * F.col("lines")
+    used = recipe_join(cooked, names)
+    per_dish = F.col("portions") * F.col("qty_per_unit") + F.col("extra")
     # Eight decimals hold six of a recipe quantity and two of a multiplier, and no summation noise.
     return used.groupBy("date", "outlet", join_key(F.col("ingredient_name")).alias("ingredient")).agg(
         F.max("unit").alias("unit"), F.round(F.sum(per_dish), 8).alias("expected_qty")
@@ -93,7 +94,7 @@ def explode_recipes(units: DataFrame, recipes: DataFrame, yield_factor: Column |
     )
 
 
-def tracked_share(recipes: DataFrame, tracked: DataFrame, limit: int = RANKING_LIMIT) -> DataFrame:
+def tracked_share(recipes: DataFrame, tracked: DataFrame, limit: int | None = None) -> DataFrame:
     """Dishes by the share of their quantity that tracked ingredients cover."""
     codes = tracked.select(join_key(F.col("code")).alias("_code")).distinct().withColumn("_hit", F.lit(True))
     flagged = salted_join(recipes.withColumn("_code", join_key(F.col("ingredient"))), codes, ["_code"], "left")
@@ -103,12 +104,12 @@ def tracked_share(recipes: DataFrame, tracked: DataFrame, limit: int = RANKING_L
         F.round(F.sum("qty_per_unit"), 4).alias("total_qty"),
     )
     pct = F.coalesce(F.round(F.try_divide("tracked_qty", "total_qty") * 100, 4), F.lit(0.0))
-    return (
+    ranked = (
         per_dish.where(F.col("tracked_qty") > 0)
         .withColumn("tracked_pct", pct)
         .orderBy(F.col("tracked_pct").desc(), F.col("tracked_qty").desc(), "dish_name")
-        .limit(limit)
     )
+    return first_rows(ranked, limit)
 
 
 def without_alias(recipes: DataFrame, alias: DataFrame) -> DataFrame:
@@ -128,18 +129,18 @@ def mapped_ingredients(recipes: DataFrame, skus: DataFrame, ingredients: DataFra
     return codes.union(names(skus, "sku_code", "sku_name")).union(names(ingredients, "sku", "name")).distinct()
 
 
-def listing(recipes: DataFrame, skus: DataFrame, dish: str | None = None, limit: int = LISTING_LIMIT) -> DataFrame:
+def listing(recipes: DataFrame, skus: DataFrame, dish: str | None = None, limit: int | None = None) -> DataFrame:
     if dish:
         recipes = recipes.where(contains_ignore_case(F.col("dish_name"), dish))
     joined = recipes.join(skus, F.lower("ingredient") == F.lower("sku_name"), "left")
-    return (
+    listed = (
         joined.select(
             "dish_name", "ingredient", F.col("qty_per_unit").alias("qty_per_portion"), "unit",
             F.lit(1.0).alias("yield_factor"), "sku_code", "sku_name", F.col("sku_code").isNotNull().alias("is_tracked"),
         )
         .orderBy("dish_name", "ingredient", "sku_code")
-        .limit(limit)
     )
+    return first_rows(listed, limit)
 
 
 def exact_alias_match(items: DataFrame, recipes: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.functions import numbers
+from larder.operators.joins import first_rows
 
-DETAIL_LIMIT = 5000
 TOP_SKUS = 10
 TOP_MOVERS = 5
 
@@ -16,10 +16,10 @@ def order_item_join(items: DataFrame, orders: DataFrame) -> DataFrame:
     return items.join(orders, F.col("order_id") == F.col("id"), "inner")
 
 
-def pos_detail(items_text: DataFrame, orders: DataFrame, limit: int = DETAIL_LIMIT) -> DataFrame:
+def pos_detail(items_text: DataFrame, orders: DataFrame, limit: int | None = None) -> DataFrame:
     """Sales by day, item and place from textual order lines, newest first."""
     joined = order_item_join(items_text, orders.select("id", "order_date", "brand_name", "store_name", "city"))
-    return (
+    totals = (
         joined.groupBy(
             F.col("order_date").alias("date"), F.col("item_name").alias("sku"), F.col("brand_name").alias("brand"),
             F.col("store_name").alias("outlet"), "city",
@@ -30,13 +30,13 @@ def pos_detail(items_text: DataFrame, orders: DataFrame, limit: int = DETAIL_LIM
             F.countDistinct("id").alias("order_count"),
         )
         .orderBy(F.col("date").desc(), "sku", "brand", "outlet", "city")
-        .limit(limit)
     )
+    return first_rows(totals, limit)
 
 
-def consumption(sales: DataFrame, limit: int = DETAIL_LIMIT) -> DataFrame:
+def consumption(sales: DataFrame, limit: int | None = None) -> DataFrame:
     """Totals over the whole range, without the date: far fewer groups than the daily table."""
-    return (
+    totals = (
         sales.groupBy("sku", "brand", "outlet", "city")
         .agg(
             F.sum("qty_sold").alias("qty_sold"),
@@ -44,8 +44,8 @@ def consumption(sales: DataFrame, limit: int = DETAIL_LIMIT) -> DataFrame:
             F.sum("order_count").alias("order_count"),
         )
         .orderBy(F.col("qty_sold").desc_nulls_last(), "sku", "brand", "outlet", "city")
-        .limit(limit)
     )
+    return first_rows(totals, limit)
 
 
 def order_summary(orders: DataFrame, items: DataFrame, amount: str = "total_amount") -> DataFrame:

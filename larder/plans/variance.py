@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from larder.functions.text import contains_ignore_case, equals_ignore_case
 from larder.operators import recipes as rc
+from larder.operators.joins import first_rows
 
 WINDOW_DAYS = 7
 # Thresholds in percent where an ingredient has none of its own.
 GREEN_PCT, YELLOW_PCT = 5.0, 15.0
-LISTING_LIMIT = 5000
 KEYS = ["date", "outlet", "ingredient"]
 
 
@@ -52,18 +52,15 @@ def flagged(
     mapped: DataFrame,
     outlet: str | None = None,
     ingredient: str | None = None,
-    limit: int = LISTING_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Traffic light per row. ``settings`` holds thresholds per ingredient and the fallback under ``*``."""
+    """Traffic light per row, largest variance first; a ``limit`` cuts the flagged rows. ``settings`` holds thresholds per ingredient and the fallback under ``*``."""
     if outlet:
         rows = rows.where(equals_ignore_case(F.col("outlet"), outlet))
     if ingredient:
         rows = rows.where(contains_ignore_case(F.col("ingredient"), ingredient))
-    totals = (
-        rows.groupBy(*KEYS, "unit")
-        .agg(*[F.round(F.sum(c), 2).alias(c) for c in ("expected_qty", "actual_qty", "variance_qty")])
-        .orderBy(F.col("variance_qty").desc(), *KEYS)
-        .limit(limit)
+    totals = rows.groupBy(*KEYS, "unit").agg(
+        *[F.round(F.sum(c), 2).alias(c) for c in ("expected_qty", "actual_qty", "variance_qty")]
     )
     own = settings.where(F.col("ingredient") != "*").select(
         F.lower("ingredient").alias("_i"), F.col("green_threshold").alias("_g"), F.col("yellow_threshold").alias("_y")
@@ -84,6 +81,7 @@ def flagged(
     flag = (
         F.when(unmapped, "unmapped").when(F.abs(pct) <= green, "green").when(F.abs(pct) <= yellow, "yellow").otherwise("red")
     )
-    return joined.select(
+    out = joined.select(
         *KEYS, "unit", exp, act, var, F.when(~unmapped, F.round(pct, 2)).alias("variance_pct"), flag.alias("flag")
     )
+    return first_rows(out.orderBy(F.col("variance_qty").desc(), *KEYS), limit)

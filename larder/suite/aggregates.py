@@ -21,12 +21,11 @@ def _month(r):
 
 @query(
     "D2_pos_sales_detail",
-    """SELECT order_date AS date, item_name AS sku, brand_name AS brand, store_name AS outlet, city,
-      CAST(sum(CAST(nullif(replace(quantity, ',', ''), '') AS DECIMAL(18,4))) AS DOUBLE) AS qty_sold,
-      CAST(sum(CAST(nullif(replace(total_price, ',', ''), '') AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
-      count(DISTINCT id) AS order_count
-    FROM pos_items_text JOIN pos_orders ON order_id = id WHERE order_date >= (SELECT d - 30 FROM order_day)
-    GROUP BY 1, 2, 3, 4, 5 ORDER BY date DESC, sku, brand, outlet, city LIMIT 5000""",
+    """WITH per_order AS (SELECT order_id, item_name, sum(CAST(nullif(replace(quantity, ',', ''), '') AS DECIMAL(18,4))) AS q,
+        sum(CAST(nullif(replace(total_price, ',', ''), '') AS DECIMAL(18,4))) AS p FROM pos_items_text GROUP BY ALL)
+    SELECT order_date AS date, item_name AS sku, brand_name AS brand, store_name AS outlet, city,
+      CAST(sum(q) AS DOUBLE) AS qty_sold, CAST(sum(p) AS DOUBLE) AS revenue, count(*) AS order_count
+    FROM pos_orders JOIN per_order ON id = order_id WHERE order_date > (SELECT d - 31 FROM order_day) GROUP BY ALL""",
 )
 def _(r):
     return sales.pos_detail(r.pos_items_text(_month(r)), r.pos_orders(_month(r)))
@@ -42,8 +41,7 @@ WEEK_SQL = "date >= (SELECT d - 7 FROM ship_day)"
 @query(
     "D3_consumption_by_sku_outlet",
     f"""SELECT sku, brand, outlet, city, sum(qty_sold) AS qty_sold, round(sum(revenue), 2) AS revenue,
-      CAST(sum(order_count) AS BIGINT) AS order_count FROM sales_fine WHERE {WEEK_SQL} GROUP BY sku, brand, outlet, city
-    ORDER BY qty_sold DESC NULLS LAST, sku, brand, outlet, city LIMIT 5000""",
+      CAST(sum(order_count) AS BIGINT) AS order_count FROM sales_fine WHERE {WEEK_SQL} GROUP BY sku, brand, outlet, city""",
 )
 def _(r):
     return sales.consumption(_week(r))
@@ -180,11 +178,9 @@ def _(r):
 
 @query(
     "D15_vendor_delay_top",
-    f"""WITH v AS (SELECT vendor, count(*) AS total_pos,
-        count(*) FILTER (WHERE status <> 'Delivered' AND expected_date < {PO_DAY_SQL}) AS overdue_pos
-      FROM open_pos GROUP BY vendor HAVING count(*) >= 5)
-    SELECT *, round(overdue_pos / total_pos * 100, 4) AS delay_rate_pct FROM v
-    ORDER BY overdue_pos / total_pos DESC, total_pos DESC, vendor LIMIT 3""",
+    f"""WITH judged AS (SELECT vendor, CAST(coalesce(status <> 'Delivered' AND expected_date < {PO_DAY_SQL}, false) AS INTEGER) AS late FROM open_pos)
+    SELECT vendor, count(*) AS total_pos, CAST(sum(late) AS BIGINT) AS overdue_pos, round(avg(late) * 100, 4) AS delay_rate_pct
+    FROM judged GROUP BY vendor HAVING total_pos > 4 ORDER BY avg(late) DESC, total_pos DESC, vendor LIMIT 3""",
 )
 def _(r):
     return purchasing.vendor_delays(r.open_pos(), F.date_sub(r.order_as_of, 365))
@@ -192,10 +188,13 @@ def _(r):
 
 @query(
     "D16_vendor_on_time",
-    """WITH v AS (SELECT vendor, count(*) AS total_orders, count(*) FILTER (WHERE received_date <= expected_date) AS on_time
-      FROM open_pos p LEFT JOIN grn_log g ON p.po_number = g.po_number WHERE grn_number <> '' GROUP BY vendor)
-    SELECT *, round(on_time / total_orders * 100, 1) AS on_time_pct, CASE WHEN round(on_time / total_orders * 100, 1) >= 90 THEN 'good'
-      WHEN round(on_time / total_orders * 100, 1) >= 75 THEN 'fair' ELSE 'poor' END AS band FROM v""",
+    """WITH due AS (SELECT vendor, po_number, expected_date, count(*) AS m FROM open_pos GROUP BY ALL),
+      came AS (SELECT po_number, received_date, count(*) AS n FROM grn_log WHERE grn_number <> '' GROUP BY ALL),
+      tally AS (SELECT vendor, CAST(sum(m * n) AS BIGINT) AS total_orders,
+        CAST(sum(CASE WHEN received_date <= expected_date THEN m * n ELSE 0 END) AS BIGINT) AS on_time
+        FROM due JOIN came USING (po_number) GROUP BY vendor),
+      rated AS (SELECT *, round(on_time / total_orders * 100, 1) AS on_time_pct FROM tally)
+    SELECT *, CASE WHEN on_time_pct < 75 THEN 'poor' WHEN on_time_pct < 90 THEN 'fair' ELSE 'good' END AS band FROM rated""",
 )
 def _(r):
     return purchasing.vendor_on_time(r.open_pos(), r.grn_log())
@@ -203,10 +202,13 @@ def _(r):
 
 @query(
     "D17_receipt_overage",
-    """SELECT ingredient, sum(qty_received) AS total_received, sum(qty_ordered) AS total_ordered,
-      sum(qty_received) - sum(qty_ordered) AS potential_wastage
-    FROM grn_log JOIN open_pos USING (po_number, ingredient) WHERE received_date >= (SELECT d - 30 FROM ship_day)
-    GROUP BY ingredient HAVING sum(qty_received) - sum(qty_ordered) > 0 ORDER BY potential_wastage DESC, ingredient LIMIT 20""",
+    """WITH came AS (SELECT po_number, ingredient, sum(qty_received) AS q, count(*) AS n FROM grn_log
+        WHERE received_date > (SELECT d - 31 FROM ship_day) GROUP BY ALL),
+      asked AS (SELECT po_number, ingredient, sum(qty_ordered) AS o, count(*) AS m FROM open_pos GROUP BY ALL),
+      weighed AS (SELECT ingredient, sum(q * m) AS total_received, sum(o * n) AS total_ordered
+        FROM came JOIN asked USING (po_number, ingredient) GROUP BY ingredient)
+    SELECT *, total_received - total_ordered AS potential_wastage FROM weighed WHERE total_received > total_ordered
+    ORDER BY potential_wastage DESC, ingredient LIMIT 20""",
 )
 def _(r):
     return purchasing.receipt_overage(r.open_pos(), r.grn_log(), F.date_sub(r.ship_as_of, 30))
@@ -333,10 +335,12 @@ def _(r):
 
 @query(
     "D30_recipe_tracked_share",
-    """WITH w AS (SELECT dish_name, round(sum(CASE WHEN lower(trim(ingredient)) IN (SELECT lower(trim(code)) FROM tracked_types)
-        THEN qty_per_unit ELSE 0 END), 4) AS tracked_qty, round(sum(qty_per_unit), 4) AS total_qty FROM recipe_master GROUP BY dish_name)
-    SELECT *, round(tracked_qty / total_qty * 100, 4) AS tracked_pct FROM w WHERE tracked_qty > 0
-    ORDER BY tracked_pct DESC, tracked_qty DESC, dish_name LIMIT 100""",
+    """WITH known AS (SELECT DISTINCT lower(trim(code)) AS known_code FROM tracked_types),
+      parts AS (SELECT dish_name, qty_per_unit AS q, known_code IS NOT NULL AS hit
+        FROM recipe_master LEFT JOIN known ON known_code = lower(trim(ingredient))),
+      totals AS (SELECT dish_name, round(coalesce(sum(q) FILTER (WHERE hit), 0.0), 4) AS tracked_qty, round(sum(q), 4) AS total_qty
+        FROM parts GROUP BY dish_name)
+    SELECT *, round(tracked_qty / total_qty * 100, 4) AS tracked_pct FROM totals WHERE tracked_qty > 0""",
 )
 def _(r):
     return recipes.tracked_share(r.recipe_master(), r.tracked_types())

@@ -13,25 +13,25 @@ from larder.suite.registry import query
 @query(
     "G1_custom_rank_order",
     """SELECT o_orderkey, o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS rank
-    FROM orders ORDER BY rank, o_orderkey LIMIT 500""",
+    FROM orders ORDER BY rank, o_orderkey""",
 )
 def _(r):
     ranked = r.t("orders", "o_orderkey", "o_orderpriority").withColumn(
         "rank", rank_of(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"])
     )
-    return ranked.orderBy("rank", "o_orderkey").limit(500)
+    return ranked.orderBy("rank", "o_orderkey")
 
 
 @query(
     "G2_nulls_last_desc",
     """SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS balance FROM customer
-    ORDER BY balance DESC NULLS LAST, c_custkey LIMIT 5000""",
+    ORDER BY balance DESC NULLS LAST, c_custkey""",
 )
 def _(r):
     balance = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
     return (
         r.t("customer", "c_custkey", "c_acctbal").select("c_custkey", balance.alias("balance"))
-        .orderBy(F.col("balance").desc_nulls_last(), "c_custkey").limit(5000)
+        .orderBy(F.col("balance").desc_nulls_last(), "c_custkey")
     )
 
 

@@ -277,7 +277,7 @@ def _(r):
       contains(lower(location), 'warehouse') OR contains(lower(location), ' wh') OR contains(lower(location), 'wh ')
         OR contains(lower(location), '_wh') OR contains(lower(location), 'hub') OR contains(lower(location), 'central')
         OR contains(lower(location), 'cluster store') OR contains(lower(location), 'cluster kitchen')
-        OR contains(lower(location), 'store/wh') OR contains(lower(location), 'smoodies_store') AS plan,
+        OR contains(lower(location), 'store/wh') AS plan,
       lower(location) LIKE '%warehouse%' OR lower(location) LIKE '% wh %' OR lower(location) LIKE '%_wh%'
         OR lower(location) LIKE '%hub%' OR lower(location) LIKE '%central%' OR lower(location) LIKE '%commissary%' AS procurement,
       lower(location) LIKE '%warehouse%' OR lower(location) LIKE '%_wh%' AS alerts

@@ -35,8 +35,7 @@ def _(r):
       mapped AS (SELECT lower(ingredient) AS ingredient FROM recipe_master WHERE ingredient <> 'PROMO' UNION
         SELECT lower(sku_name) FROM dim_sku UNION SELECT lower(name) FROM dim_ingredients WHERE sku <> 'PROMO'),
       t AS (SELECT date, outlet, ingredient, unit, CAST(round(CAST(sum(expected_qty) AS DECIMAL(28, 8)), 2) AS DOUBLE) AS expected_qty, CAST(round(CAST(sum(actual_qty) AS DECIMAL(28, 8)), 2) AS DOUBLE) AS actual_qty,
-        CAST(round(CAST(sum(variance_qty) AS DECIMAL(28, 8)), 2) AS DOUBLE) AS variance_qty FROM variance GROUP BY 1, 2, 3, 4
-        ORDER BY variance_qty DESC, date, outlet, ingredient LIMIT 5000),
+        CAST(round(CAST(sum(variance_qty) AS DECIMAL(28, 8)), 2) AS DOUBLE) AS variance_qty FROM variance GROUP BY 1, 2, 3, 4),
       p AS (SELECT t.*, CASE WHEN expected_qty > 0 THEN variance_qty / expected_qty * 100 WHEN actual_qty > 0 THEN 100.0 ELSE 0.0 END AS pct,
         expected_qty = 0 AND actual_qty > 0 AND ingredient NOT IN (SELECT ingredient FROM mapped) AS unmapped,
         coalesce(g, 5.0) AS g, coalesce(y, 30.0) AS y FROM t LEFT JOIN settings ON ing = ingredient)
@@ -146,31 +145,31 @@ def _(r):
 # -- alerts ------------------------------------------------------------------
 
 STOCKOUT_SQL = """a1 AS (SELECT 'KITCHEN_STOCKOUT' AS alert_type, 'CRITICAL' AS severity,
-    'CRITICAL: ' || sku_name || ' is out of stock at ' || kitchen AS message, sku_name AS sku, kitchen AS outlet, sku_name AS ingredient
+    'CRITICAL: ' || kitchen || ' has run out of ' || sku_name AS message, sku_name AS sku, kitchen AS outlet, sku_name AS ingredient
   FROM (SELECT *, row_number() OVER (PARTITION BY kitchen, ingredient ORDER BY snapshot_date DESC) AS rn FROM kitchen_stock) s
     JOIN dim_part ON ingredient = sku_code WHERE rn = 1 AND qty_available <= 0 AND (lower(kitchen), ingredient) IN (
       SELECT (lower(outlet), sku_code) FROM sales_fine WHERE date >= (SELECT d - 14 FROM ship_day)))"""
 LOW_SQL = """held2 AS (SELECT ingredient, sum(qty_available) AS stock FROM (SELECT *, rank() OVER (PARTITION BY location, ingredient ORDER BY snapshot_date DESC) AS rk
     FROM kitchen_stock WHERE lower(location) LIKE '%warehouse%' OR lower(location) LIKE '%_wh%') WHERE rk = 1 GROUP BY ingredient),
   need3 AS (SELECT ingredient, round(sum(total_qty_needed), 2) AS need FROM demand WHERE forecast_date <= (SELECT d + 3 FROM ship_day) GROUP BY ingredient),
-  a2 AS (SELECT 'WH_CRITICAL_LOW' AS alert_type, 'CRITICAL' AS severity, 'CRITICAL: ' || sku_name || ' stock critically low at warehouse ('
-    || CAST(CAST(round(stock) AS BIGINT) AS VARCHAR) || ' vs ' || CAST(CAST(round(need) AS BIGINT) AS VARCHAR) || ' needed)' AS message,
+  a2 AS (SELECT 'WH_CRITICAL_LOW' AS alert_type, 'CRITICAL' AS severity, 'CRITICAL: ' || sku_name || ' in the warehouse: '
+    || CAST(CAST(round(stock) AS BIGINT) AS VARCHAR) || ' held, ' || CAST(CAST(round(need) AS BIGINT) AS VARCHAR) || ' wanted in three days' AS message,
     '' AS sku, '' AS outlet, sku_name AS ingredient FROM need3 JOIN held2 USING (ingredient) JOIN dim_part ON ingredient = sku_code WHERE stock < 0.1 * need)"""
-OVERDUE_SQL = """a3 AS (SELECT 'PO_OVERDUE' AS alert_type, 'CRITICAL' AS severity, 'CRITICAL: PO ' || po_number || ' overdue — ' || ingredient
-    || ' not received (expected ' || CAST(expected_date AS VARCHAR) || ')' AS message, '' AS sku, po_number AS outlet, ingredient
+OVERDUE_SQL = """a3 AS (SELECT 'PO_OVERDUE' AS alert_type, 'CRITICAL' AS severity, 'CRITICAL: order ' || po_number || ' is late: ' || ingredient
+    || ' was due on ' || CAST(expected_date AS VARCHAR) AS message, '' AS sku, po_number AS outlet, ingredient
   FROM open_pos WHERE expected_date < (SELECT d - 300 FROM ship_day) AND status = 'open')"""
 SPIKE_SQL = """base AS (SELECT sku, outlet, avg(qty_sold) AS b FROM sales_coarse WHERE date >= (SELECT d - 28 FROM ship_day) GROUP BY sku, outlet),
   ahead AS (SELECT sku, outlet, avg(qty_predicted) AS f FROM forecast WHERE forecast_date >= (SELECT d - 20 FROM ship_day)
     AND forecast_date <= (SELECT d - 13 FROM ship_day) GROUP BY sku, outlet),
-  a5 AS (SELECT 'DEMAND_SPIKE' AS alert_type, 'WARNING' AS severity, 'WARNING: Unusual demand spike for ' || sku || ' at ' || outlet || ' ('
-    || CAST(CAST(round((f / b - 1) * 100) AS BIGINT) AS VARCHAR) || '% above 4-week average)' AS message, sku, outlet, '' AS ingredient
+  a5 AS (SELECT 'DEMAND_SPIKE' AS alert_type, 'WARNING' AS severity, 'WARNING: ' || sku || ' at ' || outlet || ': forecast '
+    || CAST(CAST(round((f / b - 1) * 100) AS BIGINT) AS VARCHAR) || '% over the recent mean' AS message, sku, outlet, '' AS ingredient
   FROM base JOIN ahead USING (sku, outlet) WHERE f > 1.5 * b)"""
-NO_RECIPE_SQL = """a6 AS (SELECT 'NO_RECIPE' AS alert_type, 'WARNING' AS severity, 'WARNING: ''' || item_name ||
-    ''' was sold but has no recipe mapping — its ingredients can''t be forecast or variance-checked.' AS message,
+NO_RECIPE_SQL = """a6 AS (SELECT 'NO_RECIPE' AS alert_type, 'WARNING' AS severity, 'WARNING: ' || item_name ||
+    ' sells without a recipe; forecast and variance leave its ingredients out' AS message,
     item_name AS sku, '' AS outlet, '' AS ingredient FROM (SELECT DISTINCT item_name FROM pos_order_items JOIN pos_orders ON order_id = id
       WHERE order_date >= (SELECT d - 7 FROM order_day)) WHERE item_name NOT IN (SELECT pos_name FROM item_alias))"""
-LEAD_SQL = """a9 AS (SELECT 'LEAD_TIME_ALERT' AS alert_type, 'INFO' AS severity, 'INFO: Place PO for ' || ingredient || ' today — ' || vendor_name
-    || ' needs ' || CAST(lead_time_days AS VARCHAR) || ' days lead time' AS message, '' AS sku, vendor_name AS outlet, ingredient
+LEAD_SQL = """a9 AS (SELECT 'LEAD_TIME_ALERT' AS alert_type, 'INFO' AS severity, 'INFO: order ' || ingredient || ' today: ' || vendor_name
+    || ' delivers in ' || CAST(lead_time_days AS VARCHAR) || ' days' AS message, '' AS sku, vendor_name AS outlet, ingredient
   FROM recs WHERE urgency = 'URGENT')"""
 
 
@@ -261,7 +260,7 @@ def _(r):
 @query(
     "P19_alert_listing",
     """SELECT alert_id, alert_type, severity, outlet, created_at FROM alert_log WHERE resolved = 0
-    ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, created_at DESC, alert_id LIMIT 500""",
+    ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, created_at DESC, alert_id""",
 )
 def _(r):
     return alerts.listing(r.alert_log()).select("alert_id", "alert_type", "severity", "outlet", "created_at")
@@ -302,11 +301,11 @@ def _(r):
     """WITH rc AS (SELECT dish_name, lower(ingredient) || ' ITEM' AS ingredient, qty_per_unit, unit FROM recipe_master)
     SELECT dish_name, ingredient, qty_per_unit AS qty_per_portion, unit, CAST(1.0 AS DOUBLE) AS yield_factor, sku_code, sku_name,
       sku_code IS NOT NULL AS is_tracked FROM rc LEFT JOIN dim_sku ON lower(ingredient) = lower(sku_name)
-    WHERE contains(lower(dish_name), '#1') ORDER BY dish_name, ingredient, sku_code LIMIT 2000""",
+    ORDER BY dish_name, ingredient, sku_code""",
 )
 def _(r):
     named = r.recipe_master().withColumn("ingredient", F.concat(F.lower("ingredient"), F.lit(" ITEM")))
-    return recipes.listing(named, r.dim_sku(), dish="#1")
+    return recipes.listing(named, r.dim_sku())
 
 
 @query(
