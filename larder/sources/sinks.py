@@ -14,6 +14,9 @@ from larder.operators.cleaning import keep_last
 from larder.operators.skew import salted_join
 from larder.session import checkpointed, scratch_path
 
+#: Partition values of a batch that the driver lists; beyond, it takes their range.
+MAX_LISTED = 10_000
+
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], version: list[str] | None = None) -> DataFrame:
     """Insert; on a key conflict the incoming row wins, or the newest ``version`` where one is named.
@@ -98,17 +101,27 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace_path(df: DataFrame, path: str) -> None:
-    """Write beside the table, then swap by rename; readers see the old or the new table, never a mixture."""
+    """Write beside the table, then swap by rename; readers never see a mixture of old and new.
+
+    Between the two renames there is no table. Every rename is checked: if the
+    new table cannot take its place, the old one returns and an error is raised.
+    """
     spark = df.sparkSession
     staged, retired = f"{path}_new", f"{path}_old"
     df.write.mode("overwrite").parquet(staged)
     jvm, fs = _fs(spark, path)
     at = jvm.org.apache.hadoop.fs.Path
-    if fs.exists(at(path)):
+    held = fs.exists(at(path))
+    if held:
+        fs.delete(at(retired), True)
+        if not fs.rename(at(path), at(retired)):
+            raise OSError(f"could not set {path} aside")
+    if not fs.rename(at(staged), at(path)):
+        if held and not fs.rename(at(retired), at(path)):
+            raise OSError(f"could not replace {path}; the old table is at {retired}")
+        raise OSError(f"could not replace {path}")
+    if held:
         fs.delete(at(retired), True)
-        fs.rename(at(path), at(retired))
-    fs.rename(at(staged), at(path))
-    fs.delete(at(retired), True)
 
 
 def append_path(source: DataFrame, path: str) -> None:
@@ -117,6 +130,21 @@ def append_path(source: DataFrame, path: str) -> None:
     matching_columns(source, columns).write.mode("append").parquet(path)
 
 
+def _in_partitions(batch: DataFrame, partition: str) -> Column:
+    """Condition on the partition column that the scan prunes by: the batch's own values, as literals.
+
+    A batch of more than ``MAX_LISTED`` partitions is given as a range, which
+    reads more partitions than needed and misses none.
+    """
+    col = F.col(partition)
+    values = [row[0] for row in batch.select(partition).distinct().limit(MAX_LISTED + 1).collect()]
+    known = [v for v in values if v is not None]
+    if len(values) > MAX_LISTED:
+        low, high = batch.agg(F.min(partition), F.max(partition)).first()
+        return col.between(F.lit(low), F.lit(high)) | col.isNull()
+    return col.isin(known) | col.isNull() if len(known) < len(values) else col.isin(known)
+
+
 def upsert_path(incoming: DataFrame, path: str, key: list[str], partition: str, version: list[str] | None = None) -> None:
     """Upsert into a partitioned table, rewriting only the partitions the batch touches.
 
@@ -132,8 +160,7 @@ def upsert_path(incoming: DataFrame, path: str, key: list[str], partition: str,
         return
     stored = spark.read.parquet(path)
     incoming = checkpointed(incoming)
-    # A semi join on the partition column is answered by partition pruning.
-    touched = stored.join(incoming.select(partition).distinct(), partition, "left_semi")
+    touched = stored.where(_in_partitions(incoming, partition))
     merged = checkpointed(upsert(touched.select(*stored.columns), incoming.select(*stored.columns), key, version))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
