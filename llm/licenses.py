@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from llm.tables import id_and_text
@@ -38,23 +40,35 @@ KNOWN = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    """Lower case A-Z, no copyright lines, one spelling, words and digits joined by one space."""
-    out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    out = F.regexp_replace(out, r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)|©)[^\n]*", "")
-    out = F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    for other, one in SPELLINGS:
-        out = F.regexp_replace(out, rf"\b{other}\b", one)
-    return F.trim(out)
+_MARKS = r"\x00-\x1F\x21-\x2F\x3A-\x60\x7B-\x7F"
+
+
+def _any_of(text: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def with_digest(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with ``digest`` in place of the text: that of its canonical form.
+
+    The canonical form has lower case A-Z, no copyright lines, one spelling, and
+    words and digits joined by one space. Few texts hold a copyright line or
+    another spelling, so plain searches decide whether the patterns run at all.
+    """
+    t = F.col("_t")
+    out = df.withColumn("_t", F.translate(F.coalesce(text_col, F.lit("")), UPPER, LOWER))
+    notice = F.regexp_replace(t, r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)|©)[^\n]*", "")
+    out = out.withColumn("_t", F.when(_any_of(t, ["copyright", "(c)", "©"]), notice).otherwise(t))
+    # A run that is one space already stays as it is.
+    out = out.withColumn("_t", F.regexp_replace(t, rf"[{_MARKS}][{_MARKS} ]*| [{_MARKS} ]+", " "))
+    spelt = reduce(lambda s, pair: F.regexp_replace(s, rf"\b{pair[0]}\b", pair[1]), SPELLINGS, t)
+    out = out.withColumn("_t", F.when(_any_of(t, [other for other, _ in SPELLINGS]), spelt).otherwise(t))
+    # Never null, and never compared with a literal by its user: a filter on it that Spark moves below would repeat the work.
+    return out.withColumn("digest", F.coalesce(F.sha2(F.trim(t), 256), F.lit(""))).drop("_t", text_col)
 
 
 def known_digests(known: DataFrame) -> DataFrame:
     """``license, digest`` of ``known(license, text)``; a digest of two names goes to the first in order."""
-    return known.select("license", digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    return with_digest(known.select("license", "text"), "text").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
@@ -77,10 +91,11 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     """
     docs = id_and_text(docs, id_col, text_col)
     table = known_digests(known if known is not None else known_texts(docs.sparkSession))
-    table = table.where(F.col("digest") != F.sha2(F.lit(""), 256))
-    whole = docs.select("doc_id", digest(F.col("text")).alias("digest")).join(table, "digest", "left")
+    empty = docs.sparkSession.range(1).select(F.sha2(F.lit(""), 256).alias("digest"))
+    table = table.join(empty, "digest", "left_anti")
+    whole = with_digest(docs, "text").join(table, "digest", "left")
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    held = lines.select("doc_id", digest(F.col("line")).alias("digest")).join(table, "digest")
+    held = with_digest(lines, "line").join(table, "digest")
     held = held.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("line_licenses"))
     return whole.join(held, "doc_id", "left").select(
         "doc_id", "digest", "license", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("line_licenses", F.lit("")).alias("line_licenses")
