@@ -48,7 +48,7 @@ def _any_of(text: Column, words: list[str]) -> Column:
 
 
 def with_digest(df: DataFrame, text_col: str) -> DataFrame:
-    """``df`` with ``digest`` in place of the text: that of its canonical form.
+    """``df`` with ``digest`` and ``has_words`` of the canonical form in place of the text.
 
     The canonical form has lower case A-Z, no copyright lines, one spelling, and
     words and digits joined by one space. Few texts hold a copyright line or
@@ -63,12 +63,13 @@ def with_digest(df: DataFrame, text_col: str) -> DataFrame:
     spelt = reduce(lambda s, pair: F.regexp_replace(s, rf"\b{pair[0]}\b", pair[1]), SPELLINGS, t)
     out = out.withColumn("_t", F.when(_any_of(t, [other for other, _ in SPELLINGS]), spelt).otherwise(t))
     # Never null, and never compared with a literal by its user: a filter on it that Spark moves below would repeat the work.
-    return out.withColumn("digest", F.coalesce(F.sha2(F.trim(t), 256), F.lit(""))).drop("_t", text_col)
+    out = out.withColumn("has_words", F.trim(t) != "").withColumn("digest", F.coalesce(F.sha2(F.trim(t), 256), F.lit("")))
+    return out.drop("_t", text_col)
 
 
 def known_digests(known: DataFrame) -> DataFrame:
-    """``license, digest`` of ``known(license, text)``; a digest of two names goes to the first in order."""
-    return with_digest(known.select("license", "text"), "text").groupBy("digest").agg(F.min("license").alias("license"))
+    """``license, digest`` of ``known(license, text)``, texts without words left out; a digest of two names goes to the first in order."""
+    return with_digest(known.select("license", "text"), "text").where("has_words").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
@@ -91,8 +92,6 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     """
     docs = id_and_text(docs, id_col, text_col)
     table = known_digests(known if known is not None else known_texts(docs.sparkSession))
-    empty = docs.sparkSession.range(1).select(F.sha2(F.lit(""), 256).alias("digest"))
-    table = table.join(empty, "digest", "left_anti")
     whole = with_digest(docs, "text").join(table, "digest", "left")
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     held = with_digest(lines, "line").join(table, "digest")
