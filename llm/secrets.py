@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -100,9 +102,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def secret_spans(text: str) -> list[tuple[str, int, int]]:
     """Base spans, and entropy spans that no base span holds already."""
     base = base_spans(text)
-    more = [
-        ("entropy", a, b) for a, b in entropy_spans(text) if not any(s <= a and b <= e for _, s, e in base)
-    ]
+    starts = [s for _, s, _ in base]
+    reach = [0, *accumulate((e for *_, e in base), max)]  # how far the spans that start so early reach
+    more = [("entropy", a, b) for a, b in entropy_spans(text) if b > reach[bisect_right(starts, a)]]
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

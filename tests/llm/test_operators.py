@@ -189,6 +189,17 @@ def test_secrets_base_patterns():
     assert kinds == [("assign", "password='hunter2hunter"), ("access", "AKIA" + "A1" * 8), ("hex", "0a" * 12)]
 
 
+def test_entropy_spans_inside_base_spans_are_left_out():
+    rnd = random.Random(9)
+    bits = ["password=", "AKIA", " ", "q7Zk93LmPw0RtYx82VbNc5", "0a1b2c3d4e5f60718293a4b5", "token: ", "/+", "=", "-", "Q8W3E5R7T1Y9U2I4O6P0"]
+    for _ in range(300):
+        text = "".join(rnd.choices(bits, k=rnd.randint(1, 12)))
+        found = secret_spans(text)
+        base = [s for s in found if s[0] != "entropy"]
+        outside = [(a, b) for a, b in entropy_spans(text) if not any(s <= a and b <= e for _, s, e in base)]
+        assert [(a, b) for k, a, b in found if k == "entropy"] == outside
+
+
 def test_entropy_counts_are_incremental():
     rnd = random.Random(1)
     text = "".join(rnd.choices("abcdef0123456789", k=300)) + "a" * 60
