@@ -53,6 +53,22 @@ def forecasts(inputs: Inputs, as_of: Column, model: str, horizon: int, **params)
     )
 
 
+def keep_forecasts(fresh: DataFrame, folder: str) -> DataFrame:
+    """Add a run to the forecasts kept by run date; for each series and day the newest run's forecast.
+
+    A repeated run replaces its own partition. The newest run is picked by a
+    pre-aggregated maximum, so runs that overlap for weeks add no wide shuffle.
+    """
+    path = f"{folder}/forecast_history"
+    writer = fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("model_run_date").parquet(path)
+    kept = fresh.sparkSession.read.schema(fresh.schema).parquet(path)
+    keys = ["sku", "outlet", "forecast_date"]
+    rest = [c for c in fresh.columns if c not in keys]
+    newest = kept.groupBy(*keys).agg(F.max_by(F.struct(*rest), "model_run_date").alias("_f"))
+    return newest.select(*keys, "_f.*")
+
+
 def raise_alerts(new: DataFrame, folder: str) -> DataFrame:
     """Append the alerts whose key is not pending already; a repeated run adds nothing."""
     spark, path = new.sparkSession, f"{folder}/alerts"
@@ -68,9 +84,11 @@ def run(
     """Run all planning steps into ``folder`` and return the published tables.
 
     ``as_of`` is the last sales day; ``order_day`` the last complete order day.
+    Accuracy compares the days up to ``as_of`` with what earlier runs forecast.
     """
     out: dict[str, DataFrame] = {}
     out["fact_forecast"] = _publish(forecasts(inputs, as_of, model, horizon, **params), folder, "fact_forecast")
+    known = keep_forecasts(out["fact_forecast"], folder)
 
     recent = F.col("order_date").between(F.date_sub(order_day, variance.WINDOW_DAYS - 1), order_day)
     expected = rc.expected_usage(
@@ -110,9 +128,9 @@ def run(
 
     cached = {
         "dashboard_summary": (
-            reports.dashboard(inputs.sales, out["fact_forecast"], recs, inputs.pos, out["alerts"], as_of, as_of), [],
+            reports.dashboard(inputs.sales, known, recs, inputs.pos, out["alerts"], as_of, as_of), [],
         ),
-        "reports_accuracy": (accuracy.wmape_weekly(accuracy.scored(out["fact_forecast"], inputs.sales)), ["week"]),
+        "reports_accuracy": (accuracy.wmape_weekly(accuracy.scored(known, inputs.sales)), ["week"]),
         "reports_stockouts": (alerts.stockouts_weekly(out["alerts"], F.date_sub(as_of, 90)), ["week"]),
         "reports_wastage": (
             purchasing.receipt_overage(inputs.pos, inputs.receipts, F.date_sub(as_of, 30)), ["ingredient"],

@@ -72,7 +72,7 @@ def _(r):
 
 @query(
     "P5_warehouse_api_view",
-    """WITH need AS (SELECT lower(trim(ingredient)) AS ingredient, unit, round(sum(total_qty_needed), 2) AS total_qty_needed FROM demand GROUP BY 1, 2),
+    """WITH need AS (SELECT lower(trim(ingredient)) AS ingredient, unit, round(sum(qty_per_unit), 4) AS total_qty_needed FROM recipe_master GROUP BY 1, 2),
       held AS (SELECT lower(trim(ingredient)) AS ingredient, sum(qty_available) AS warehouse_stock FROM (SELECT *, rank() OVER (
         PARTITION BY location, ingredient ORDER BY snapshot_date DESC) AS rk FROM kitchen_stock) WHERE rk = 1 GROUP BY 1),
       j AS (SELECT n.ingredient, unit, total_qty_needed, coalesce(warehouse_stock, 0.0) AS warehouse_stock,
@@ -81,8 +81,7 @@ def _(r):
       AND (warehouse_stock - total_qty_needed) / greatest(total_qty_needed, 1.0) < 0.1 THEN 'YELLOW' ELSE 'GREEN' END AS status FROM j""",
 )
 def _(r):
-    need = r.demand().groupBy("ingredient", "unit").agg(F.round(F.sum("total_qty_needed"), 2).alias("total_qty_needed"))
-    return supply.warehouse_view(need, r.kitchen_stock())
+    return supply.warehouse_view(recipes.demand_per_ingredient(r.recipe_master()), r.kitchen_stock())
 
 
 @query("P6_procurement_plan", f"WITH {PROCUREMENT_SQL} SELECT * FROM recs")

@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from larder.plans import nightly
 from larder.session import scratch_path
 from larder.sources.roles import Roles
@@ -28,3 +30,16 @@ def test_run_publishes_every_table_and_is_repeatable(spark):
     assert len(payload["reports_wastage"]) <= 20
     again = nightly.run(inputs(r), folder, r.ship_as_of, r.order_as_of, model="moving_average")
     assert {name: df.count() for name, df in again.items()} == counts
+
+
+def test_accuracy_scores_what_earlier_runs_forecast(spark):
+    r = Roles(spark, "/root/testdata/sf0.001")
+    folder = scratch_path(spark, "nightly")
+    for back in (21, 14, 0, 0):
+        out = nightly.run(inputs(r), folder, F.date_sub(r.ship_as_of, back), r.order_as_of, model="moving_average")
+    payload = {row.endpoint: json.loads(row.payload) for row in out["app_cache"].collect()}
+    assert payload["reports_accuracy"] and all(0 <= week["accuracy"] <= 100 for week in payload["reports_accuracy"])
+    assert payload["dashboard_summary"][0]["forecast_accuracy_percent"] is not None
+    kept = spark.read.parquet(f"{folder}/forecast_history")
+    assert kept.select("model_run_date").distinct().count() == 3
+    assert kept.groupBy("model_run_date", "sku", "outlet", "forecast_date").count().where("count > 1").count() == 0
