@@ -60,17 +60,18 @@ def test_components(spark):
     assert found == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 130)}, 150: 150, 200: 150}
 
 
-def test_near_duplicates_brute_force(documents):
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_brute_force(documents, percent):
     texts = {r.doc_id: r.text or "" for r in documents.collect()}
     sets = {i: shingles(t) for i, t in texts.items()}
     group = {i: i for i in sets}
     for a in sorted(sets):
         for b in sorted(sets):
             both = len(sets[a] & sets[b])
-            if a < b and sets[a] and sets[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if a < b and sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = group[a], group[b]
                 group = {k: min(x, y) if v in (x, y) else v for k, v in group.items()}
-    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(documents).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(documents, percent=percent).collect()}
     assert found == {i: (len(sets[i]), group[i], group[i] == i) for i in sets}
 
 
@@ -336,3 +337,29 @@ def test_pipeline_stage_by_stage(spark):
     assert masked.count() == clean.count() and not [r for r in masked.collect() if secret_spans(r.text)]
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.count() == masked.count() and len(hashlib.sha256().hexdigest()) == len(out.first().ids_sha256)
+
+
+def test_pipeline_encoding_equals_the_library(spark, documents):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = {}
+    for r in documents.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        expected[r.doc_id] = (len(ids), *[hashlib.sha256(b).hexdigest() for b in (np.array(ids, "<u4").tobytes(), decoded.encode())])
+    assert {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.encode(spark, documents, FOLDER).collect()} == expected
+
+
+def test_pipeline_stages_on_nulls_and_no_rows(spark, documents):
+    """Rows without id or text pass every stage that does not judge them; nothing gives nothing."""
+    nothing = [None] * (len(documents.columns) - 2)
+    at = {c: i for i, c in enumerate(["doc_id", "text", *[c for c in documents.columns if c not in ("doc_id", "text")]])}
+    rows = [(i, t, *nothing) for i, t in [(None, None), (None, "one two"), (7, None), (7, None), (8, ""), (9, LONG)]]
+    schema = documents.schema
+    odd = spark.createDataFrame([tuple(row[at[c]] for c in documents.columns) for row in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, FOLDER)
+        if name != "encode":
+            assert out.columns == documents.columns
+        if name != "quality":
+            assert out.count() == len(rows), name
+        assert stage(spark, documents.limit(0), FOLDER).count() == 0, name
