@@ -42,10 +42,6 @@ def latest(df: DataFrame, col: str, as_of: AsOf = None) -> Column:
     return F.lit(str(as_of)).cast("date")
 
 
-def days_before(day: Column, n: int) -> Column:
-    return F.date_sub(day, n)
-
-
 def to_local(col: Column) -> Column:
     """UTC text to local time; malformed text to NULL."""
     return F.from_utc_timestamp(F.try_to_timestamp(col), LOCAL_ZONE)
@@ -78,19 +74,3 @@ def near_holiday(day: Column) -> Column:
     }
     codes = sorted(month * 100 + dom for month, dom in pairs)
     return (F.month(day) * 100 + F.dayofmonth(day)).isin(codes).cast("int")
-
-
-def holiday_calendar(days: DataFrame, col: str = "date") -> DataFrame:
-    """One row per holiday, offset and year spanned by ``days`` (a bounded, generated table)."""
-    years = days.select(
-        F.explode(F.sequence(F.year(F.min(col)), F.year(F.max(col)))).alias("year")
-    )
-    fixed = F.array(
-        *[F.struct(F.lit(n).alias("holiday"), F.lit(m).alias("m"), F.lit(d).alias("d")) for n, m, d in HOLIDAYS]
-    )
-    named = years.select("year", F.explode(fixed).alias("h"))
-    return named.select(
-        F.col("h.holiday").alias("holiday"),
-        F.explode(F.array(*[F.lit(k) for k in range(-HOLIDAY_REACH_DAYS, HOLIDAY_REACH_DAYS + 1)])).alias("day_offset"),
-        F.make_date("year", F.col("h.m"), F.col("h.d")).alias("holiday_date"),
-    ).select("holiday", "day_offset", F.date_add("holiday_date", F.col("day_offset")).alias("date"))

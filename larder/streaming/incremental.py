@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from larder.functions.dates import days_before
 from larder.operators.cleaning import keep_first
 from larder.plans.alerts import KEY as ALERT_KEY, suppress_known
 from larder.session import scratch_path
