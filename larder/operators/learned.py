@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from larder.functions.dates import near_holiday
 from larder.operators import accuracy, series
 from larder.operators.backtest import FOLD_STEP_DAYS, TEST_DAYS
-from larder.operators.forecast import with_band
+from larder.operators.forecast import recent_mean, with_band
 from larder.operators.skew import salted_join
 from larder.session import checkpointed
 
@@ -123,7 +123,7 @@ def recursive(model: GBTRegressionModel, state: DataFrame, cutoff: Column, horiz
 
 
 def run(history: DataFrame, start: Column, cutoff: Column, horizon: int, **params) -> DataFrame:
-    """Train up to ``cutoff`` and forecast the days after it."""
+    """Train up to ``cutoff`` and forecast the days after it, for the series with enough history."""
     frame = checkpointed(training_frame(history, start, cutoff))
     state = series_state(frame, cutoff)
     if frame.where(~F.col("is_validation")).isEmpty() or frame.where("is_validation").isEmpty():
@@ -134,10 +134,51 @@ def run(history: DataFrame, start: Column, cutoff: Column, horizon: int, **param
     return recursive(fit(frame, **params), state, cutoff, horizon)
 
 
+def forecast_all(history: DataFrame, start: Column, cutoff: Column, horizon: int, **params) -> DataFrame:
+    """Every series times every day of the horizon: the model where it applies, else the recent mean.
+
+    ``run`` leaves out series with little history, or all of them when there
+    is nothing to learn from. Those get a flat forecast, so that new and rarely
+    sold items do not vanish from demand.
+    """
+    seen = checkpointed(history.where(F.col("date") <= cutoff).select(*series.KEYS, "date", "qty_sold"))
+    learnt = checkpointed(run(seen, start, cutoff, horizon, **params))
+    keys = learnt.select(*series.KEYS).distinct()
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"k.{c}")) for c in series.KEYS]
+    levels = recent_mean(seen, series.KEYS).alias("l").join(keys.alias("k"), same, "left_anti")
+    days = F.explode(F.sequence(F.date_add(cutoff, 1), F.date_add(cutoff, horizon)))
+    flat = levels.select(
+        days.alias("forecast_date"), *series.KEYS, F.greatest("level", F.lit(0.0)).alias("qty_predicted")
+    )
+    return learnt.unionByName(flat)
+
+
+def fitted_week(history: DataFrame, start: Column, as_of: Column, **params) -> DataFrame:
+    """Sold and predicted quantity of every series on each day of the held-out week.
+
+    Series that the model leaves out are predicted by their recent mean before
+    that week, and by zero when it holds their first sale.
+    """
+    seen = checkpointed(history.where(F.col("date") <= as_of).select(*series.KEYS, "date", "qty_sold"))
+    frame = checkpointed(training_frame(seen, start, as_of))
+    columns = [*series.KEYS, "date", "qty_sold", "qty_predicted"]
+    held_out = F.date_sub(as_of, VALIDATION_DAYS)
+    if frame.where(~F.col("is_validation")).isEmpty() or frame.where("is_validation").isEmpty():
+        short, learnt = seen, None
+    else:
+        short = series.few_days(seen)
+        learnt = predict(fit(frame, **params), frame.where("is_validation")).select(*columns)
+    levels = recent_mean(short.where(F.col("date") <= held_out), series.KEYS)
+    week = series.dense_panel(short, start, as_of).where(F.col("date") > held_out)
+    level = F.greatest(F.coalesce("level", F.lit(0.0)), F.lit(0.0))
+    flat = week.join(levels, series.KEYS, "left").withColumn("qty_predicted", level).select(*columns)
+    return flat if learnt is None else learnt.unionByName(flat)
+
+
 def holdout_accuracy(history: DataFrame, start: Column, as_of: Column, days: int = 7, **params) -> DataFrame:
     """Accuracy per series on the last ``days`` days, which the model has not seen."""
     cutoff = F.date_sub(as_of, days)
-    predicted = run(history, start, cutoff, days, **params)
+    predicted = forecast_all(history, start, cutoff, days, **params)
     actual = history.where(F.col("date") > cutoff)
     return accuracy.wmape(accuracy.scored(predicted, actual), *series.KEYS, out="holdout_accuracy")
 
@@ -145,7 +186,7 @@ def holdout_accuracy(history: DataFrame, start: Column, as_of: Column, days: int
 def production_forecast(history: DataFrame, start: Column, as_of: Column, horizon: int = 30, **params) -> DataFrame:
     """Two passes: score a held-out week, then retrain on everything and forecast, with the score attached."""
     score = holdout_accuracy(history, start, as_of, **params)
-    ahead = with_band(run(history, start, as_of, horizon, **params))
+    ahead = with_band(forecast_all(history, start, as_of, horizon, **params))
     return ahead.withColumn("model_run_date", as_of).join(score, series.KEYS, "left")
 
 

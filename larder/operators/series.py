@@ -29,6 +29,12 @@ def enough_history(history: DataFrame, min_days: int = MIN_HISTORY_DAYS) -> Data
     return history.withColumn("_days", days).where(F.col("_days") >= min_days).drop("_days")
 
 
+def few_days(history: DataFrame, min_days: int = MIN_HISTORY_DAYS) -> DataFrame:
+    """The rows that ``enough_history`` leaves out."""
+    days = F.count("date").over(W.partitionBy(*KEYS))
+    return history.withColumn("_days", days).where(F.col("_days") < min_days).drop("_days")
+
+
 def dense_panel(history: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
     """One row per series and day of [start, end], days without sales as 0.
 

@@ -163,14 +163,12 @@ SMALL = {"max_iter": 10, "max_depth": 4}
 @query("E13_global_ml_forecast")
 def _(r):
     """Fitted values of the last, held-out week."""
-    frame = learned.checkpointed(learned.training_frame(r.history(), _start(r), r.ship_as_of))
-    model = learned.fit(frame, **SMALL)
-    return learned.predict(model, frame.where("is_validation")).select("sku", "outlet", "date", "qty_sold", "qty_predicted")
+    return learned.fitted_week(r.history(), _start(r), r.ship_as_of, **SMALL)
 
 
 @query("E14_recursive_forecast")
 def _(r):
-    return fc.with_band(learned.run(r.history(), _start(r), r.ship_as_of, 30, **SMALL))
+    return fc.with_band(learned.forecast_all(r.history(), _start(r), r.ship_as_of, 30, **SMALL))
 
 
 @query("E15_holdout_accuracy")

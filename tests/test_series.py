@@ -105,3 +105,23 @@ def test_recursive_forecast_feeds_itself(spark):
 def test_learning_from_nothing_gives_no_rows(spark):
     out = learned.run(history(spark, [(1, 1)]), lit(START), lit(START + dt.timedelta(days=60)), 3)
     assert out.count() == 0 and out.columns == ["forecast_date", "sku", "outlet", "qty_predicted"]
+
+
+def test_short_series_are_forecast_beside_learned_ones(spark):
+    rows = history(spark, [(d, 10 + d % 7) for d in range(120)]).unionByName(
+        history(spark, [(40, 3), (60, 5), (118, 7)], sku="rare")
+    ).unionByName(history(spark, [(119, 4)], sku="new"))
+    cutoff = lit(START + dt.timedelta(days=119))
+    out = learned.forecast_all(rows, lit(START), cutoff, 3, max_iter=3, max_depth=2).collect()
+    assert sorted((r.sku, (r.forecast_date - START).days) for r in out) == [
+        (s, d) for s in ("new", "rare", "s") for d in (120, 121, 122)
+    ]
+    assert {r.qty_predicted for r in out if r.sku == "rare"} == {5.0}
+    assert {r.qty_predicted for r in out if r.sku == "new"} == {4.0}
+    ahead = learned.production_forecast(rows, lit(START), cutoff, 3, max_iter=3, max_depth=2)
+    assert {r.sku: r["count"] for r in ahead.groupBy("sku").count().collect()} == {"new": 3, "rare": 3, "s": 3}
+    week = learned.fitted_week(rows, lit(START), cutoff, max_iter=3, max_depth=2).collect()
+    assert {(r.sku, r.qty_predicted) for r in week if r.sku != "s"} == {("rare", 4.0), ("new", 0.0)} and len(week) == 21
+    assert sum(r.qty_sold for r in week if r.sku != "s") == 11.0
+    nothing = learned.forecast_all(history(spark, [(1, 1)]), lit(START), cutoff, 3)
+    assert [r.qty_predicted for r in nothing.collect()] == [1.0] * 3
