@@ -191,7 +191,12 @@ def production_forecast(history: DataFrame, start: Column, as_of: Column, horizo
 
 
 def backtest(daily: DataFrame, as_of: Column, folds: int = 12, lookback: int = 120, **params) -> DataFrame:
-    """Scored rows of weekly rolling-origin folds; test features come from predictions, never from test actuals."""
+    """Scored rows of weekly rolling-origin folds; test features come from predictions, never from test actuals.
+
+    The daily series is written once, cut to the folds' days, and reread by each fold.
+    """
+    first = F.date_sub(as_of, TEST_DAYS + (folds - 1) * FOLD_STEP_DAYS + lookback)
+    daily = checkpointed(daily.where(F.col("date").between(first, as_of)))
     out = None
     for fold in range(1, folds + 1):
         cutoff = F.date_sub(as_of, TEST_DAYS + (folds - fold) * FOLD_STEP_DAYS)

@@ -157,23 +157,20 @@ def _start(r):
     return F.date_sub(r.ship_as_of, 365)
 
 
-SMALL = {"max_iter": 10, "max_depth": 4}
-
-
 @query("E13_global_ml_forecast")
 def _(r):
     """Fitted values of the last, held-out week."""
-    return learned.fitted_week(r.history(), _start(r), r.ship_as_of, **SMALL)
+    return learned.fitted_week(r.history(), _start(r), r.ship_as_of)
 
 
 @query("E14_recursive_forecast")
 def _(r):
-    return fc.with_band(learned.forecast_all(r.history(), _start(r), r.ship_as_of, 30, **SMALL))
+    return fc.with_band(learned.forecast_all(r.history(), _start(r), r.ship_as_of, 30))
 
 
 @query("E15_holdout_accuracy")
 def _(r):
-    return learned.holdout_accuracy(r.history(), _start(r), r.ship_as_of, **SMALL)
+    return learned.holdout_accuracy(r.history(), _start(r), r.ship_as_of)
 
 
 @query(
@@ -193,8 +190,8 @@ def _(r):
 
 @query("E16_rolling_origin_backtest_ml")
 def _(r):
-    daily = r.daily_qty(since=F.date_sub(r.ship_as_of, 120 + 6 + 7))
-    return accuracy.wmape(learned.backtest(daily, r.ship_as_of, folds=2, **SMALL), "fold")
+    daily = r.daily_qty(since=F.date_sub(r.ship_as_of, 120 + 6 + 11 * 7))
+    return accuracy.wmape(learned.backtest(daily, r.ship_as_of), "fold")
 
 
 @query(

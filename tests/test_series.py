@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from larder.operators import accuracy, backtest, forecast as fc, learned, series, series_models
+from larder.suite import all_queries
 
 START = dt.date(2024, 1, 1)
 
@@ -125,3 +126,17 @@ def test_short_series_are_forecast_beside_learned_ones(spark):
     assert sum(r.qty_sold for r in week if r.sku != "s") == 11.0
     nothing = learned.forecast_all(history(spark, [(1, 1)]), lit(START), cutoff, 3)
     assert [r.qty_predicted for r in nothing.collect()] == [1.0] * 3
+
+
+def test_registered_learned_backtest_runs_every_fold_at_full_strength(spark, monkeypatch):
+    asked = []
+
+    def flat(window, start, cutoff, horizon, **params):
+        asked.append(params)
+        return fc.over_horizon(fc.recent_mean(window.where(F.col("date") <= cutoff), series.KEYS), cutoff, horizon).select(
+            "forecast_date", *series.KEYS, F.col("level").alias("qty_predicted")
+        )
+
+    monkeypatch.setattr(learned, "run", flat)
+    out = all_queries()["E16_rolling_origin_backtest_ml"](spark, "/root/testdata/sf0.01")
+    assert sorted(r.fold for r in out.collect()) == list(range(1, 13)) and asked == [{}] * 12
