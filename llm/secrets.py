@@ -22,17 +22,26 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[A-Za-z0-9+/_-]{20,}=*")
 
 
 @dataclass(frozen=True)
 class CharacterClass:
-    """A window of ``window`` characters is suspect at ``bits`` of entropy per character or more."""
+    """A window of ``window`` characters is suspect at ``bits`` of entropy per character or more.
+
+    A shorter candidate is one window, its bits scaled as the largest entropy of so many characters.
+    """
 
     name: str
     pattern: re.Pattern
     window: int
     bits: float
 
+    def suspects(self, text: str) -> list[tuple[int, int]]:
+        window = min(self.window, len(text))
+        bits = self.bits if window == self.window else self.bits * math.log2(window) / math.log2(self.window)
+        return suspect_windows(text, window, bits)
+
 
 #: The narrowest class that holds the whole candidate decides.
 CLASSES = (
@@ -40,7 +49,7 @@ CLASSES = (
     CharacterClass("letters and digits", re.compile(r"[A-Za-z0-9]+"), 20, 3.6),
     CharacterClass("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 24, 3.9),
 )
-#: Candidates that hold one of these are documentation, not secrets.
+#: Candidates, or their parts between ``=``, that hold one of these are documentation, not secrets.
 ALLOWED = ("example", "sample", "placeholder", "xxxxxx", "0123456789", "abcdefghij")
 
 
@@ -75,18 +84,25 @@ def suspect_windows(text: str, window: int, bits: float) -> list[tuple[int, int]
     return spans
 
 
+def _parts(run: str, allowed: tuple[str, ...]) -> Iterator[tuple[int, str]]:
+    """The whole candidate, or where it holds an allowed word, its parts between ``=`` that hold none; with their starts."""
+    if not any(a in run.lower() for a in allowed):
+        yield 0, run
+        return
+    for m in PART.finditer(run):
+        if not any(a in m.group().lower() for a in allowed):
+            yield m.start(), m.group()
+
+
 def entropy_spans(text: str, allowed: tuple[str, ...] = ALLOWED) -> list[tuple[int, int]]:
     """Suspect spans of the candidates that mix letters and digits and are not on the allow-list."""
     found = []
     for m in CANDIDATE.finditer(text):
-        own = m.group()
-        if own.isalpha() or own.isdigit() or not any(c.isdigit() for c in own) or not any(c.isalpha() for c in own):
-            continue
-        lowered = own.lower()
-        if any(a in lowered for a in allowed):
-            continue
-        kind = next(k for k in CLASSES if k.pattern.fullmatch(own))
-        found += [(m.start() + a, m.start() + b) for a, b in suspect_windows(own, kind.window, kind.bits)]
+        for at, own in _parts(m.group(), allowed):
+            if own.isalpha() or own.isdigit() or not any(c.isdigit() for c in own) or not any(c.isalpha() for c in own):
+                continue
+            kind = next(k for k in CLASSES if k.pattern.fullmatch(own))
+            found += [(m.start() + at + a, m.start() + at + b) for a, b in kind.suspects(own)]
     return found
 
 

@@ -22,7 +22,7 @@ from llm.minhash import near_duplicates
 from llm.multi_index import search
 from llm.quality import grade_documents, train
 from llm.reputation import Rule, judge_urls
-from llm.secrets import entropy_spans, find_secrets, redact, secret_spans, suspect_windows
+from llm.secrets import entropy_spans, find_secrets, masked, redact, secret_spans, suspect_windows
 from llm.substring import maximal_repeats, remove_repeats
 from llm.token_counts import PrefixCounts, token_counts
 
@@ -218,6 +218,20 @@ def test_entropy_allow_list_and_prose():
     assert not entropy_spans("x exampleq7Zk93LmPw0RtYx82VbNc5 y") and not entropy_spans("internationalisationprocedures 12345678901234567890123")
 
 
+def test_entropy_of_short_base64_keys_and_of_values_after_sample_names():
+    rnd = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    keys = ["".join(rnd.choices(letters, k=n)) for n in (20, 21, 22, 23) for _ in range(250)]
+    assert sum(entropy_spans(f"see {k} there") == [(4, 4 + len(k))] for k in keys) > 0.96 * len(keys)
+    assert not entropy_spans("aaaa-bbbb-1111-aaaa-b") and not entropy_spans("a1-a1-a1-a1-a1-a1-a1-a1")
+    key = "q7Zk93LmPw0RtYx82VbN"
+    for text in (f"SAMPLE_DB_KEY={key}", f"SAMPLE_DB_KEY={key}==", f"{key}=example_key"):
+        at = text.index(key)
+        assert any(a <= at and at + len(key) <= b for a, b in entropy_spans(text)), text
+        assert key not in masked(text, "[SECRET]")
+    assert not entropy_spans("KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY") and not entropy_spans(f"key=sample{key}")
+
+
 def test_secrets_awkward(awkward, empty):
     assert [r.spans for r in find_secrets(awkward).collect()].count([]) >= 6
     out = redact(awkward)
