@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -21,7 +23,7 @@ SPELLINGS = [
     ("favour", "favor"),
     ("organisation", "organization"),
 ]
-#: Whole texts that stand for a licence: fixed values.
+#: Notices that stand for a licence, beside the whole texts: fixed values.
 KNOWN = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -39,6 +41,23 @@ KNOWN = [
     ),
 ]
 
+#: ``NAME.txt`` is the body of a short licence, without title and copyright lines; ``digests.tsv`` has the canonical digests of long ones.
+FOLDER = Path(__file__).parent / "license_texts"
+#: Titles that the bodies appear under, besides none.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "BSD License"],
+    "BSD-3-Clause": [
+        "BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "BSD License",
+    ],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng license"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"],
+}
+RESERVED = "All rights reserved."
 
 _MARKS = r"\x00-\x1F\x21-\x2F\x3A-\x60\x7B-\x7F"
 
@@ -72,8 +91,28 @@ def known_digests(known: DataFrame) -> DataFrame:
     return with_digest(known.select("license", "text"), "text").where("has_words").groupBy("digest").agg(F.min("license").alias("license"))
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """``license, text`` of the short licences: each title or none, rights reserved or not, conditions numbered or not."""
+    out = []
+    for path in sorted(FOLDER.glob("*.txt")):
+        body = path.read_text(encoding="utf-8")
+        for text in dict.fromkeys([body, re.sub(r"(?m)^[ \t]*[0-9][.)][ \t]", "", body)]):
+            for title in ["", *TITLES.get(path.stem, [])]:
+                out += [(path.stem, f"{title}\n{rights}\n{text}") for rights in ("", RESERVED)]
+    return out
+
+
 def known_texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, text string")
+    return spark.createDataFrame([*KNOWN, *whole_texts()], "license string, text string")
+
+
+def known_table(spark: SparkSession) -> DataFrame:
+    """``license, digest`` of the notices, the short licences and the long ones."""
+    rows = [tuple(line.split("\t")) for line in (FOLDER / "digests.tsv").read_text(encoding="utf-8").splitlines()]
+    long = spark.createDataFrame(rows, "license string, digest string")
+    both = known_digests(known_texts(spark)).unionByName(long)
+    # A local table, so that neither of its two uses digests the texts again.
+    return spark.createDataFrame(both.groupBy("digest").agg(F.min("license").alias("license")).collect(), "digest string, license string")
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,12 +125,13 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     texts have the digest of the empty string and no licence; so do known texts
     without words, which are ignored. One row for each row, repeated ids too.
 
-    The known digests are a table of the caller's; below Spark's own size
+    The known digests come from the caller's ``known(license, text)``, else from
+    ``known_table``; below Spark's own size
     threshold it is broadcast, else both sides are shuffled. Lines that are no
     licence leave before anything is grouped.
     """
     docs = id_and_text(docs, id_col, text_col)
-    table = known_digests(known if known is not None else known_texts(docs.sparkSession))
+    table = known_digests(known) if known is not None else known_table(docs.sparkSession)
     whole = with_digest(docs, "text").join(table, "digest", "left")
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     held = with_digest(lines, "line").join(table, "digest")

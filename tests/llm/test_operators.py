@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -17,7 +18,7 @@ from llm.bpe import vocabulary
 from llm.decontaminate import Items, _codes, budget, find_leaks, plain, regions
 from llm.encode import Encoder, encode_texts
 from llm.graph import components
-from llm.licenses import license_scan
+from llm.licenses import FOLDER as LICENSE_TEXTS, known_table, license_scan
 from llm.minhash import near_duplicates
 from llm.multi_index import search
 from llm.quality import grade_documents, train
@@ -315,6 +316,32 @@ def test_licenses(spark, empty):
     assert license_scan(docs).count() == 5 and license_scan(empty).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    """The usual files: titles, copyright lines, other case and spelling, other wrapping, numbers left out."""
+    body = {n: (LICENSE_TEXTS / f"{n}.txt").read_text(encoding="utf-8") for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense")}
+    holder = "Copyright (c) 1999-2024, The Authors <a@b.c>"
+    rows = [
+        ("MIT", f"The MIT License (MIT)\n\n{holder}\n\n{body['MIT']}"),
+        ("MIT", " ".join(body["MIT"].upper().replace("SUBLICENSE", "SUBLICENCE").split())),
+        ("BSD-3-Clause", f"{holder}\nAll rights reserved.\n\n{body['BSD-3-Clause']}"),
+        ("BSD-3-Clause", f"BSD 3-Clause License\n\n{holder}\n\n" + re.sub(r"(?m)^[123]\. ", "* ", body["BSD-3-Clause"])),
+        ("BSD-2-Clause", f"{holder}\n{holder}\n{body['BSD-2-Clause']}"),
+        ("ISC", f"ISC License\n\n{holder}\n\n{body['ISC'].lower()}"),
+        ("Zlib", f"{holder}\n\n{body['Zlib']}"),
+        ("Unlicense", body["Unlicense"]),
+        (None, body["MIT"].replace("free of charge", "for a charge")),
+        (None, body["MIT"][:-30]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert [r.license for r in license_scan(docs).orderBy("doc_id").collect()] == [n for n, _ in rows]
+    table = known_table(spark).collect()
+    assert len({r.digest for r in table}) == len(table) and {"Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0"} <= {r.license for r in table}
+    apache = Path("/usr/share/common-licenses/Apache-2.0")
+    if apache.exists():
+        docs = spark.createDataFrame([(1, apache.read_text(encoding="utf-8"))], "doc_id long, text string")
+        assert license_scan(docs).first().license == "Apache-2.0"
+
+
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
