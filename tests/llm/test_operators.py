@@ -308,6 +308,14 @@ def test_urls(spark):
     assert judge_urls(pages, outcomes.limit(0), suite.RULES).where("verdict = 'block'").count() == 2
 
 
+def test_hosts_without_outcomes_take_the_prior_of_domain_or_suffix(spark):
+    urls = ["http://a.bad.org/", "http://new.bad.org/", "http://a.good.net/", "http://new.good.net/", "http://other.org/", "http://other.net/", "x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = spark.createDataFrame([(0, 1)] * 300 + [(2, 0)] * 300, "page_id long, bad int")
+    found = {r.page_id: r.verdict for r in judge_urls(pages, outcomes, []).collect()}
+    assert found == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "block", 5: "allow", 6: "allow"}
+
+
 def test_licenses(spark, empty):
     text = "Copyright (c) 2020 Somebody\n  RELEASED under the M.I.T. licence!"
     docs = spark.createDataFrame([(1, text.replace("M.I.T.", "MIT")), (2, "prose\nLicensed under CC BY-NC 4.0.\n\n"), (3, None), (4, ""), (4, "")], "doc_id long, text string").withColumn("license", F.lit(0))
