@@ -12,12 +12,15 @@ from llm.decontaminate import find_leaks
 from llm.encode import encode_digests
 from llm.licenses import KNOWN, SPELLINGS, license_scan
 from llm.minhash import near_duplicates
+from llm.mixing import mix_sources
 from llm.multi_index import search
 from llm.quality import CumulativeLink, grade_documents, train
 from llm.reputation import Rule, Shrinkage, judge_urls, path_of
 from llm.secrets import find_secrets
+from llm.spelling import spelling_variants
 from llm.substring import remove_repeats
 from llm.token_counts import token_counts
+from llm.va_clusters import cluster_vectors
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +109,18 @@ def op10_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_bloom_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_documents(spark, sf_dir))
+
+
+def op12_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
+
+
+def op13_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_qgram_leaks": op1_qgram_leaks,
     "op2_multi_index": op2_multi_index,
@@ -117,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bbit_minhash": op8_bbit_minhash,
     "op9_entropy_secrets": op9_entropy_secrets,
     "op10_seed_extend": op10_seed_extend,
+    "op11_bloom_variants": op11_bloom_variants,
+    "op12_entropy_mix": op12_entropy_mix,
+    "op13_va_clusters": op13_va_clusters,
 }
 
 
@@ -132,6 +150,35 @@ def _canonical_sql(text: str) -> str:
 
 _KNOWN_SQL = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _clusters_sql(k: int, rounds: int, dims: int) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        d{r} AS MATERIALIZED (
+            SELECT row, c, sum((e.x - m.x) * (e.x - m.x)) AS d FROM e JOIN m{r} m USING (j) GROUP BY row, c),
+        a{r} AS MATERIALIZED (SELECT row, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{r} GROUP BY row)""")
+        if r < rounds:
+            steps.append(f"""
+        m{r + 1} AS MATERIALIZED (
+            SELECT m.c, m.j, coalesce(n.x, m.x) AS x FROM m{r} m LEFT JOIN (
+                SELECT c, j, CAST(CASE WHEN sum(x) >= 0 THEN sum(x) // count(*) ELSE -((-sum(x) + count(*) - 1) // count(*)) END AS BIGINT) AS x
+                FROM e JOIN a{r} USING (row) GROUP BY c, j) n USING (c, j))""")
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+        e AS MATERIALIZED (SELECT row, unnest(x) AS x, unnest(range({dims})) AS j FROM v),
+        start AS (SELECT row, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM v QUALIFY c < {k}),
+        m0 AS MATERIALIZED (SELECT c, j, x FROM e JOIN start USING (row)),{",".join(steps)},
+        name AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM m{rounds} GROUP BY c)
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+            CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM a{rounds} JOIN v USING (row) JOIN name USING (c)"""
+
+
 ORACLES: dict[str, str] = {
     "op3_host_reputation": r"""
         WITH parted AS (
@@ -181,4 +228,37 @@ ORACLES: dict[str, str] = {
             FROM word LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM words LEFT JOIN cut USING (doc_id)""",
+    "op11_bloom_variants": rf"""
+        WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (
+            SELECT i, list_reduce([i] || range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+        run AS (
+            SELECT doc_id, run, count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+        coded AS (
+            SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+                lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS bytes
+            FROM run WHERE length(run) >= 5),
+        hashed AS (
+            SELECT run, n, xor(list_reduce([CAST(4294967295 AS BIGINT)] || bytes, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h FROM coded, tab),
+        word AS (
+            SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+        v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM word WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        hole AS MATERIALIZED (
+            SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        gone AS (SELECT DISTINCT hole.word, hole.n, v.word AS other, v.n AS other_n FROM hole JOIN v ON v.word = a || b),
+        near AS (
+            SELECT x.word, x.n, y.word AS other, y.n AS other_n FROM hole x JOIN hole y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+            UNION ALL SELECT * FROM gone UNION ALL SELECT other, other_n, word, n FROM gone),
+        best AS (
+            SELECT word, any_value(n) AS n, count(*) AS n_near, max(other_n) AS top, min(other) FILTER (WHERE other_n = m) AS form
+            FROM (SELECT *, max(other_n) OVER (PARTITION BY word) AS m FROM near) GROUP BY word),
+        f AS MATERIALIZED (
+            SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * v.n THEN form END AS form, CASE WHEN top >= 2 * v.n THEN top END AS form_n
+            FROM v LEFT JOIN best USING (word)),
+        chain AS (
+            WITH RECURSIVE step AS (SELECT word, word AS here, 0 AS k FROM f
+                UNION ALL SELECT s.word, f.form, k + 1 FROM step s JOIN f ON f.word = s.here WHERE f.form IS NOT NULL)
+            SELECT word, arg_max(here, k) AS root FROM step GROUP BY word)
+        SELECT f.word, form, root, f.n, n_near, form_n FROM f JOIN chain USING (word)""",
+    "op13_va_clusters": _clusters_sql(k=8, rounds=10, dims=64),
 }

@@ -7,14 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from larder.session import scratch_path
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared scratch folder and read back.
+def settled(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write to the shared scratch folder, in one folder per value of ``by`` if given, and read back.
 
     Cuts the lineage into storage that outlives lost executors, and gives both
     inputs of a later join plain shuffles, which AQE may split when a key is hot.
     """
     path = scratch_path(df.sparkSession, f"llm-{label}")
-    df.write.parquet(path)
+    writer = df.write
+    if by is not None:
+        writer = writer.partitionBy(by)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
