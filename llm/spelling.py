@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from llm.textscan import _powers, mix
 
 LETTERS = np.array([*range(ord("a"), ord("z") + 1), *range(0xC0, 0x100)], dtype=np.int64)
 _RUN, _BREAK = re.compile("[a-zÀ-ÿ]+"), re.compile("[^a-zÀ-ÿ]")
-PIECE, DISTINCT = 1 << 20, 500_000
+PIECE, DISTINCT, ROWS = 1 << 18, 200_000, 1 << 14
 
 LANES = 8
 #: Blocks of 64 bytes in one broadcast page of the filters: 16 MB, whatever the vocabulary.
@@ -25,7 +26,7 @@ PAGE_BLOCKS = 1 << 18
 #: Words of this length or more share a shard; there each word gets a block of its own.
 LONGEST = 32
 BITS, LONG_BITS = 16, 512
-WORDS_CHARS, EDIT_CHARS = 1 << 14, 1 << 13
+WORDS_CHARS, EDIT_CHARS = 1 << 13, 1 << 11
 
 _SECOND = np.uint64(0xA0761D6478BD642F)
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
@@ -37,10 +38,12 @@ def corpus_words(docs: DataFrame, least_chars: int = 5, drop_every: int = 97) ->
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            held = iter(total.items())
+            while part := list(islice(held, ROWS)):
+                words, counts = zip(*part)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
             total.clear()
-            return out
 
         for batch in batches:
             for key, value in zip(batch.column(0), batch.column(1).cast(pa.binary())):
@@ -68,8 +71,8 @@ def corpus_words(docs: DataFrame, least_chars: int = 5, drop_every: int = 97) ->
                             continue
                     total[run] += n
                 if len(total) >= DISTINCT:
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
 
     counted = docs.mapInArrow(scan, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
