@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -45,21 +49,60 @@ def _csv(spark: SparkSession, path, names: list[str], header: bool) -> DataFrame
     return df.where(F.col(f"`{OVERFLOW}`").isNull()).drop(OVERFLOW)
 
 
+def layouts(spark: SparkSession, path, threads: int = 8) -> dict[tuple[str, ...], list[str]]:
+    """Files under a path or glob by their header, byte-order marks and outer spaces removed; files without one are left out.
+
+    One small job per file reads its first line, a few at a time.
+    """
+    paths = sorted(spark.read.text(path).inputFiles())
+
+    def header(file: str) -> tuple[str, ...]:
+        return tuple(c.replace(BOM, "").strip() for c in spark.read.option("header", True).csv(file).columns)
+
+    with ThreadPoolExecutor(threads) as pool:
+        headers = list(pool.map(inheritable_thread_target(spark)(header), paths))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for file, names in zip(paths, headers):
+        if names:
+            out.setdefault(names, []).append(file)
+    return out
+
+
 def read_csv_bom(spark: SparkSession, path) -> DataFrame:
-    """CSV files of one layout under a path or glob, all columns as text."""
-    header = spark.read.option("header", True).csv(path).columns
-    return _csv(spark, path, [c.replace(BOM, "").strip() for c in header], header=True)
+    """CSV files under a path or glob, all columns as text, matched by name.
+
+    Files are grouped by their header and each group is one scan, so files of
+    another column order, or with columns of their own, are read by their own
+    header. A column that a file doesn't have is NULL there.
+    """
+    parts = [_csv(spark, files, list(names), header=True) for names, files in layouts(spark, path).items()]
+    if not parts:
+        raise ValueError(f"no file with a header under {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_consumption(spark: SparkSession, path, default_outlet: str = "Unknown") -> DataFrame:
-    """Consumption CSV of unknown column names: (date, sku, outlet, qty_sold), invalid rows dropped."""
-    raw = read_csv_bom(spark, path)
+    """Consumption CSVs of unknown column names: (date, sku, outlet, qty_sold), invalid rows dropped.
+
+    The columns are found for each layout among the files. A layout without a
+    date, an item or a quantity is an error that names its files.
+    """
+    parts = [
+        _consumption(_csv(spark, files, list(names), header=True), files, default_outlet)
+        for names, files in layouts(spark, path).items()
+    ]
+    if not parts:
+        raise ValueError(f"no file with a header under {path}")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _consumption(raw: DataFrame, files: list[str], default_outlet: str) -> DataFrame:
     day = find_column(raw.columns, "date")
     item = find_column(raw.columns, "name", "ingredient", "item")
     outlet = find_column(raw.columns, "kitchen", "outlet", "store")
     qty = find_column(raw.columns, "qty", "quantity", "demand")
     if not (day and item and qty):
-        raise ValueError(f"no date, item or quantity column among {raw.columns}")
+        raise ValueError(f"no date, item or quantity column among {raw.columns} of {files}")
     text_day = F.col(f"`{day}`")
     parsed = raw.select(
         F.coalesce(

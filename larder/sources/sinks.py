@@ -8,7 +8,11 @@ folder before the target is overwritten.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import json
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from larder.operators.cleaning import keep_last
 from larder.operators.skew import salted_join
@@ -124,6 +128,89 @@ def replace_path(df: DataFrame, path: str) -> None:
         fs.delete(at(retired), True)
 
 
+def _put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file in one step: written beside it, then renamed over it."""
+    jvm = spark.sparkContext._jvm
+    at, conf = jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    fresh = at(f"{path}.{uuid.uuid4().hex}")
+    out = fresh.getFileSystem(conf).create(fresh, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), conf).rename(fresh, at(path), how)
+
+
+def _get_text(spark: SparkSession, path: str) -> str | None:
+    if not path_exists(spark, path):
+        return None
+    jvm, fs = _fs(spark, path)
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(path))
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+CURRENT, VERSIONS, COLUMNS, ROWS = "_current", "versions", "_columns", "rows"
+
+
+def publish(df: DataFrame, path: str, keep_seconds: float = 86_400) -> str:
+    """Store ``df`` as a new version of the table and point readers to it; returns the version's name.
+
+    A version is a folder of its own, and a small file names the current one.
+    That file is replaced in one step after the version is complete, so a
+    reader finds one whole version at any time, and a failed write leaves the
+    old one in place. Versions replaced more than ``keep_seconds`` ago are then
+    removed; keep them longer than the longest query runs.
+    """
+    spark = df.sparkSession
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path}/{VERSIONS}/{version}")
+    _put_text(spark, f"{path}/{CURRENT}", version)
+    jvm, fs = _fs(spark, path)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{VERSIONS}")))
+    # A version is out of use since the next one was begun.
+    for name, later in zip(names, names[1:]):
+        if later <= version and time.time_ns() - int(later.split("-")[0]) >= keep_seconds * 1e9:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{VERSIONS}/{name}"), True)
+    return version
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table that ``publish`` writes."""
+    version = _get_text(spark, f"{path}/{CURRENT}")
+    if version is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path}/{VERSIONS}/{version}")
+
+
+def append_evolving(df: DataFrame, path: str) -> None:
+    """Append files to a table whose columns may grow; its column list is stored beside them.
+
+    Columns of the list keep their type, and what can't be cast is NULL; columns
+    that the table has not seen are added as text. The list is replaced before
+    the files are added, so no stored file holds a column that it lacks.
+    """
+    spark = df.sparkSession
+    stored = _get_text(spark, f"{path}/{COLUMNS}")
+    types = {f.name: f.dataType for f in T.StructType.fromJson(json.loads(stored)).fields} if stored else {}
+    fields = {f.name: types.get(f.name, T.StringType() if stored else f.dataType) for f in df.schema.fields}
+    if set(fields) - set(types):
+        grown = T.StructType([T.StructField(n, t) for n, t in {**types, **fields}.items()])
+        _put_text(spark, f"{path}/{COLUMNS}", grown.json())
+    df.select(*[F.col(f"`{n}`").try_cast(t).alias(n) for n, t in fields.items()]).write.mode("append").parquet(f"{path}/{ROWS}")
+
+
+def read_evolving(spark: SparkSession, path: str) -> DataFrame:
+    """All rows under the stored column list; a file without a column has NULL there, and no footers are merged."""
+    stored = _get_text(spark, f"{path}/{COLUMNS}")
+    if stored is None:
+        raise FileNotFoundError(f"no column list at {path}")
+    return spark.read.schema(T.StructType.fromJson(json.loads(stored))).parquet(f"{path}/{ROWS}")
+
+
 def append_path(source: DataFrame, path: str) -> None:
     """Append the columns the stored table knows."""
     columns = source.sparkSession.read.parquet(path).columns

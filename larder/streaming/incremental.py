@@ -8,11 +8,13 @@ version per key.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larder.operators.cleaning import keep_first
-from larder.plans.alerts import KEY as ALERT_KEY, suppress_known
+from larder.plans.alerts import KEY as ALERT_KEY
 from larder.session import scratch_path
 from larder.sources.sinks import insert_new, path_exists, upsert_path
 
@@ -74,16 +76,17 @@ def file_stream(
     return reader.parquet(f"{folder.rstrip('/')}/{name}.parque[t]")
 
 
-def drain(stream: DataFrame, write_batch, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over everything available now, then stop."""
-    (
+def drain(stream: DataFrame, write_batch, checkpoint: str, mode: str = "append") -> list:
+    """Run a stream over everything available now, then stop; returns the progress of its batches."""
+    query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(write_batch)
         .start()
-        .awaitTermination()
     )
+    query.awaitTermination()
+    return query.recentProgress
 
 
 def drop_late_duplicates(stream: DataFrame, time: str, key: list[str]) -> DataFrame:
@@ -97,20 +100,22 @@ def drop_late_duplicates(stream: DataFrame, time: str, key: list[str]) -> DataFr
     return timed.withWatermark("_event_time", f"{OVERLAP_DAYS} day").dropDuplicatesWithinWatermark(key).drop("_event_time")
 
 
-def tumbling_sales(stream: DataFrame, time: str, key: str, qty: str) -> DataFrame:
-    """Daily totals as one-day windows."""
-    return _windowed(stream, F.window(time, "1 day"), key, qty)
+def tumbling_sales(stream: DataFrame, time: str, key: str, qty: str, delay: str = "1 day") -> DataFrame:
+    """Daily totals as one-day windows, kept open for rows up to ``delay`` behind the newest."""
+    return _windowed(stream, time, ["1 day"], key, qty, delay)
 
 
-def sliding_mean(stream: DataFrame, time: str, key: str, qty: str) -> DataFrame:
+def sliding_mean(stream: DataFrame, time: str, key: str, qty: str, delay: str = "1 day") -> DataFrame:
     """Seven-day totals and means, advancing by a day."""
-    return _windowed(stream, F.window(time, "7 days", "1 day"), key, qty)
+    return _windowed(stream, time, ["7 days", "1 day"], key, qty, delay)
 
 
-def _windowed(df: DataFrame, window: Column, key: str, qty: str) -> DataFrame:
+def _windowed(df: DataFrame, time: str, window: list[str], key: str, qty: str, delay: str) -> DataFrame:
+    # A watermark needs an instant; local times are taken as such.
+    timed = df.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", delay)
     # Decimal totals are exact, so they do not depend on how the rows were split over batches.
     exact = F.sum(F.col(qty).cast("decimal(18,4)")).cast("double")
-    out = df.groupBy(window.alias("w"), key).agg(F.count("*").alias("n"), exact.alias("total"))
+    out = timed.groupBy(F.window("_at", *window).alias("w"), key).agg(F.count("*").alias("n"), exact.alias("total"))
     return out.select(
         F.to_date("w.start").alias("window_start"), F.to_date("w.end").alias("window_end"), key, "n", "total",
         F.try_divide("total", "n").alias("mean"),
@@ -124,33 +129,68 @@ def spikes(windows: DataFrame, key: str, ratio: float) -> DataFrame:
     return joined.where(F.col("mean") > ratio * F.col("base")).select("window_start", "window_end", key, "mean", "base")
 
 
-def run_aggregate(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """Drain a stream of windowed aggregates and return the final table."""
-    out = scratch_path(spark, "windows")
+def run_aggregate(spark: SparkSession, stream: DataFrame, key: str) -> DataFrame:
+    """Drain a stream of windowed aggregates and return the final table.
+
+    In update mode a batch brings only the windows it changed, with their new
+    totals; they replace their rows in a table partitioned by window start, so a
+    replayed batch writes the same again. Windows behind the watermark leave the
+    state, which holds no more than the open ones.
+    """
+    table = scratch_path(spark, "windows")
 
     def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        upsert_path(batch, table, ["window_start", key], "window_start")
+
+    drain(stream, write, scratch_path(spark, "stream"), mode="update")
+    return spark.read.parquet(table).select(*stream.columns)
 
-    drain(stream, write, scratch_path(spark, "stream"), mode="complete")
-    return spark.read.parquet(out)
+
+ALERT_STATE = T.StructType([T.StructField("alert_id", T.StringType()), T.StructField("created_at", T.TimestampType())])
+
+
+def raised_alerts(stream: DataFrame) -> DataFrame:
+    """Alerts that open: unresolved, of a key without an open one.
+
+    The state of a key is its open alert and nothing else: a resolved row
+    removes it, so the state is as large as the list of open alerts. Rows of a
+    batch are taken in order of time, then id; batches should come in order.
+    """
+    columns = [f.name for f in stream.schema.fields]
+
+    def step(key, frames, state: GroupState):
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["created_at", "alert_id"], kind="stable")
+        held, opened = (state.get if state.exists else None), []
+        for at, row in enumerate(rows.itertuples(index=False)):
+            if row.resolved:
+                held = None
+            elif held is None:
+                held = (row.alert_id, row.created_at.to_pydatetime())
+                opened.append(at)
+        if held is not None:
+            state.update(held)
+        elif state.exists:
+            state.remove()
+        yield rows.iloc[opened][columns]
+
+    return stream.groupBy(*ALERT_KEY).applyInPandasWithState(step, stream.schema, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_alert_dedup(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """Drain an alert stream into a log that holds one unresolved alert per key."""
+    """Drain an alert stream into a log of the alerts that opened.
+
+    A batch writes its own partition of the log; a replay overwrites it. Earlier
+    batches are never read, as what they left open is in the state.
+    """
     log = scratch_path(spark, "alerts")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = keep_first(batch.where(F.col("resolved") == 0), ALERT_KEY, ["created_at", "alert_id"])
-        if path_exists(spark, log):
-            # A replayed batch must not see what it wrote itself.
-            before = spark.read.parquet(log).where(F.col("batch") != batch_id)
-            fresh = suppress_known(fresh, before)
-        fresh.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("batch").parquet(log)
 
-    drain(stream, write, scratch_path(spark, "stream"))
-    return spark.read.parquet(log).drop("batch")
+    drain(raised_alerts(stream), write, scratch_path(spark, "stream"))
+    return spark.read.schema(stream.schema).parquet(log).drop("batch")
 
 
 def run_upsert(spark: SparkSession, stream: DataFrame, key: list[str], partition: str, version: list[str]) -> DataFrame:

@@ -173,6 +173,25 @@ def _(r):
     return learned.holdout_accuracy(r.history(), _start(r), r.ship_as_of)
 
 
+@query(
+    "E15_learned_against_means",
+    f"""WITH cut AS (SELECT CAST(d - 7 AS DATE) AS c, CAST(d - 372 AS DATE) AS lo, d FROM ship_day),
+      h AS (SELECT sku, outlet, date, qty_sold FROM hist_coarse, cut WHERE date >= d - 365),
+      seen AS (SELECT *, row_number() OVER (PARTITION BY sku, outlet ORDER BY date DESC) AS rn,
+        count(*) OVER (PARTITION BY sku, outlet) AS n FROM h, cut WHERE date <= c),
+      lv AS (SELECT sku, outlet, avg(qty_sold) AS m, avg(CASE WHEN rn <= 14 THEN qty_sold END) AS l FROM seen WHERE n >= 30 GROUP BY sku, outlet),
+      rows_ AS (SELECT lv.*, coalesce(h.qty_sold, 0.0) AS q FROM lv CROSS JOIN cut CROSS JOIN (SELECT unnest(range(1, 8)) AS k) ahead
+        LEFT JOIN h ON h.sku = lv.sku AND h.outlet = lv.outlet AND h.date = cut.c + CAST(k AS INTEGER))
+    SELECT count(*) AS n_rows, round(100 * (1 - sum(abs(l - q)) / sum(q)), 4) AS recent_mean_accuracy,
+      round(100 * (1 - sum(abs(m - q)) / sum(q)), 4) AS series_mean_accuracy, TRUE AS learned_no_worse FROM rows_""",
+)
+def _(r):
+    """The held-out week: the model must do no worse than the recent mean, up to a point of noise."""
+    found = learned.against_means(r.history(), _start(r), r.ship_as_of)
+    no_worse = F.coalesce(F.col("learned_accuracy") >= F.col("recent_mean_accuracy") - 1, F.lit(True))
+    return found.select("n_rows", "recent_mean_accuracy", "series_mean_accuracy", no_worse.alias("learned_no_worse"))
+
+
 @query(
     "E16_rolling_origin_backtest",
     """WITH folds AS (SELECT CAST(i AS INTEGER) AS fold, CAST((SELECT d FROM ship_day) - CAST(6 + (12 - i) * 7 AS INTEGER) AS DATE) AS cutoff FROM range(1, 13) t(i)),

@@ -45,13 +45,26 @@ def _(r):
     )
     surplus = F.when(F.col("l_returnflag") == "A", F.lit(",surplus")).otherwise(F.lit(""))
     path = scratch_path(r.spark, "csv")
-    # The last column carries an unquoted extra field on some lines: those are malformed.
-    lines.select(
-        F.date_format("l_shipdate", "dd-MM-yyyy").alias(f"{files.BOM}planDate"),
-        F.col("p_name").alias("ingredientName"),
-        F.concat(F.lit("Kitchen "), F.col("l_suppkey").cast("string")).alias("kitchenName"),
-        F.concat(F.col("l_quantity").cast("string"), surplus).alias("plannedDemand"),
-    ).write.option("header", True).option("quote", "\u0000").csv(path)
+    fields = {
+        "planDate": F.date_format("l_shipdate", "dd-MM-yyyy"),
+        "ingredientName": F.col("p_name"),
+        "kitchenName": F.concat(F.lit("Kitchen "), F.col("l_suppkey").cast("string")),
+        "plannedDemand": F.col("l_quantity").cast("string"),
+        "remark": F.lit("x"),
+    }
+    # Three layouts in one folder: a column order, another one, and one with a column more.
+    orders = [
+        ["planDate", "ingredientName", "kitchenName", "plannedDemand"],
+        ["plannedDemand", "planDate", "ingredientName", "kitchenName"],
+        ["remark", "ingredientName", "planDate", "kitchenName", "plannedDemand"],
+    ]
+    for n, names in enumerate(orders):
+        # The last column carries an unquoted extra field on some lines: those are malformed.
+        cells = [fields[c] if c != names[-1] else F.concat(fields[c], surplus) for c in names]
+        marked = [files.BOM + names[0], *names[1:]]
+        lines.where(F.col("l_suppkey") % 3 == n).select(*[c.alias(name) for c, name in zip(cells, marked)]).write.mode(
+            "append"
+        ).option("header", True).option("quote", "\u0000").csv(path)
     return files.read_consumption(r.spark, f"{path}/*.csv")
 
 
@@ -227,10 +240,11 @@ def _(r):
 
 @query("A12_replace_table", "SELECT dish_name, ingredient, qty_per_unit * 2 AS qty_per_unit, unit FROM recipe_master")
 def _(r):
-    path = sinks.round_trip(r.recipe_master(), "swap")
-    doubled = r.recipe_master().withColumn("qty_per_unit", F.col("qty_per_unit") * 2)
-    sinks.replace_path(doubled, path)
-    return r.spark.read.parquet(path)
+    path = scratch_path(r.spark, "published")
+    sinks.publish(r.recipe_master(), path)
+    doubled = sinks.read_published(r.spark, path).withColumn("qty_per_unit", F.col("qty_per_unit") * 2)
+    sinks.publish(doubled, path)
+    return sinks.read_published(r.spark, path)
 
 
 @query(
@@ -270,17 +284,19 @@ def _(r):
 
 @query(
     "A15_schema_evolve_append",
-    """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, NULL AS priority, NULL AS total FROM orders WHERE o_orderstatus = 'F'
-    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority, CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderstatus <> 'F'""",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS priority,
+      CASE WHEN o_orderstatus <> 'F' THEN CAST(o_custkey AS VARCHAR) END AS total, CASE WHEN o_orderstatus = 'P' THEN o_orderstatus || '!' END AS note FROM orders""",
 )
 def _(r):
+    """Three appended batches, each with columns that the table has not seen."""
     orders = r.t("orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
     key, status = F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status")
-    stored = orders.where(F.col("o_orderstatus") == "F").select(key, status)
-    incoming = orders.where(F.col("o_orderstatus") != "F").select(
-        key, status, F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("total")
-    )
-    return sinks.evolve_append(stored, incoming)
+    priority, total = F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("total")
+    note = F.concat("o_orderstatus", F.lit("!")).alias("note")
+    path = scratch_path(r.spark, "evolving")
+    for value, columns in (("F", [key, status]), ("O", [key, status, priority, total]), ("P", [note, total, status, priority, key])):
+        sinks.append_evolving(orders.where(F.col("o_orderstatus") == value).select(*columns), path)
+    return sinks.read_evolving(r.spark, path)
 
 
 @query(

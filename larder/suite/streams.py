@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larder.session import scratch_path
 from larder.streaming import incremental as inc
 from larder.suite.registry import query
 
@@ -13,6 +14,21 @@ def events_stream(r, *columns):
     return inc.file_stream(r.spark, r.folder, "events", schema).select(*columns)
 
 
+FEED_FILES = 5
+
+
+def feed(r, *columns, late_hours: int = 12):
+    """The events as a folder of files in order of time, some rows up to ``late_hours`` late in a later file; one file a batch."""
+    events = r.t("events").withColumn("_late", F.when(F.col("event_id") % 7 == 0, late_hours * 3600).otherwise(0))
+    span = events.agg(F.min(F.unix_timestamp("ts")).alias("lo"), F.max(F.unix_timestamp("ts")).alias("hi")).first()
+    step = (span.hi - span.lo + late_hours * 3600) // FEED_FILES + 1
+    arrives = F.floor((F.unix_timestamp("ts") + F.col("_late") - span.lo) / step)
+    folder = scratch_path(r.spark, "feed")
+    for n in range(FEED_FILES):  # one after another, as files are read by their age
+        events.where(arrives == n).drop("_late").coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    return inc.file_stream(r.spark, folder, "events", r.t("events").schema, max_files=1).select(*columns)
+
+
 @query(
     "T1_incremental_high_water",
     """SELECT event_id, user_id, event_type FROM events WHERE ts > (SELECT max(ts) FROM events
@@ -74,8 +90,8 @@ def _(r):
     FROM events GROUP BY 1, 2, 3""",
 )
 def _(r):
-    stream = events_stream(r, "ts", "event_type", "value")
-    return inc.run_aggregate(r.spark, inc.tumbling_sales(stream, "ts", "event_type", "value"))
+    stream = feed(r, "ts", "event_type", "value")
+    return inc.run_aggregate(r.spark, inc.tumbling_sales(stream, "ts", "event_type", "value"), "event_type")
 
 
 SLIDING_SQL = """sliding AS (SELECT CAST(day - CAST(k AS INTEGER) AS DATE) AS window_start, CAST(day - CAST(k AS INTEGER) + 7 AS DATE) AS window_end, event_type,
@@ -88,8 +104,8 @@ SLIDING_SQL = """sliding AS (SELECT CAST(day - CAST(k AS INTEGER) AS DATE) AS wi
     f"""WITH {SLIDING_SQL} SELECT window_start, window_end, event_type, n, v AS total, v / n AS mean FROM sliding""",
 )
 def _(r):
-    stream = events_stream(r, "ts", "event_type", "value")
-    return inc.run_aggregate(r.spark, inc.sliding_mean(stream, "ts", "event_type", "value"))
+    stream = feed(r, "ts", "event_type", "value")
+    return inc.run_aggregate(r.spark, inc.sliding_mean(stream, "ts", "event_type", "value"), "event_type")
 
 
 @query(
@@ -99,22 +115,29 @@ def _(r):
       ON b.window_end = a.window_start AND b.event_type = a.event_type WHERE a.mean > 1.02 * b.mean""",
 )
 def _(r):
-    stream = events_stream(r, "ts", "event_type", "value")
-    windows = inc.run_aggregate(r.spark, inc.sliding_mean(stream, "ts", "event_type", "value"))
+    stream = feed(r, "ts", "event_type", "value")
+    windows = inc.run_aggregate(r.spark, inc.sliding_mean(stream, "ts", "event_type", "value"), "event_type")
     return inc.spikes(windows, "event_type", 1.02)
 
 
-@query("T6_stateful_alert_dedup", "SELECT DISTINCT alert_type, severity, outlet FROM alert_log WHERE resolved = 0")
+@query(
+    "T6_stateful_alert_dedup",
+    """SELECT alert_id, alert_type, severity, outlet FROM (SELECT CAST(event_id AS VARCHAR) AS alert_id, event_type AS alert_type,
+      CASE event_type WHEN 'error' THEN 'CRITICAL' WHEN 'purchase' THEN 'WARNING' ELSE 'INFO' END AS severity, CAST(user_id AS VARCHAR) AS outlet,
+      event_id % 2 AS resolved, lag(event_id % 2) OVER (PARTITION BY event_type, user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS before FROM events)
+    WHERE resolved = 0 AND coalesce(before, 1) = 1""",
+)
 def _(r):
+    """Alerts that open over five batches: an open key stays quiet, a resolved one may be raised again."""
     kind = F.col("event_type")
-    stream = events_stream(
+    stream = feed(
         r,
         F.col("event_id").cast("string").alias("alert_id"), kind.alias("alert_type"),
         F.when(kind == "error", "CRITICAL").when(kind == "purchase", "WARNING").otherwise("INFO").alias("severity"),
         F.lit("").alias("sku"), F.col("user_id").cast("string").alias("outlet"), F.lit("").alias("ingredient"),
-        F.col("ts").alias("created_at"), (F.col("event_id") % 2).cast("int").alias("resolved"),
+        F.col("ts").cast("timestamp").alias("created_at"), (F.col("event_id") % 2).cast("int").alias("resolved"), late_hours=0,
     )
-    return inc.run_alert_dedup(r.spark, stream).select("alert_type", "severity", "outlet")
+    return inc.run_alert_dedup(r.spark, stream).select("alert_id", "alert_type", "severity", "outlet")
 
 
 @query(

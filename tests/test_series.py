@@ -94,7 +94,7 @@ def test_recursive_forecast_feeds_itself(spark):
         history(spark, [(d, 30 + d % 7) for d in range(120)], sku="t")
     )
     cutoff = lit(START + dt.timedelta(days=119))
-    out = learned.run(rows, lit(START), cutoff, 9, max_iter=5, max_depth=3)
+    out = learned.run(rows, lit(START), cutoff, 9, most_trees=5, max_depth=3)
     got = out.orderBy("sku", "forecast_date").collect()
     assert len(got) == 18
     assert got[0].forecast_date == START + dt.timedelta(days=120)
@@ -105,7 +105,7 @@ def test_recursive_forecast_feeds_itself(spark):
 
 def test_learning_from_nothing_gives_no_rows(spark):
     out = learned.run(history(spark, [(1, 1)]), lit(START), lit(START + dt.timedelta(days=60)), 3)
-    assert out.count() == 0 and out.columns == ["forecast_date", "sku", "outlet", "qty_predicted"]
+    assert out.count() == 0 and out.columns == ["forecast_date", "sku", "outlet", "qty_predicted", "n_trees"]
 
 
 def test_short_series_are_forecast_beside_learned_ones(spark):
@@ -113,30 +113,32 @@ def test_short_series_are_forecast_beside_learned_ones(spark):
         history(spark, [(40, 3), (60, 5), (118, 7)], sku="rare")
     ).unionByName(history(spark, [(119, 4)], sku="new"))
     cutoff = lit(START + dt.timedelta(days=119))
-    out = learned.forecast_all(rows, lit(START), cutoff, 3, max_iter=3, max_depth=2).collect()
+    out = learned.forecast_all(rows, lit(START), cutoff, 3, most_trees=3, max_depth=2).collect()
     assert sorted((r.sku, (r.forecast_date - START).days) for r in out) == [
         (s, d) for s in ("new", "rare", "s") for d in (120, 121, 122)
     ]
     assert {r.qty_predicted for r in out if r.sku == "rare"} == {5.0}
     assert {r.qty_predicted for r in out if r.sku == "new"} == {4.0}
-    ahead = learned.production_forecast(rows, lit(START), cutoff, 3, max_iter=3, max_depth=2)
+    ahead = learned.production_forecast(rows, lit(START), cutoff, 3, most_trees=3, max_depth=2)
     assert {r.sku: r["count"] for r in ahead.groupBy("sku").count().collect()} == {"new": 3, "rare": 3, "s": 3}
-    week = learned.fitted_week(rows, lit(START), cutoff, max_iter=3, max_depth=2).collect()
+    week = learned.fitted_week(rows, lit(START), cutoff, most_trees=3, max_depth=2).collect()
     assert {(r.sku, r.qty_predicted) for r in week if r.sku != "s"} == {("rare", 4.0), ("new", 0.0)} and len(week) == 21
     assert sum(r.qty_sold for r in week if r.sku != "s") == 11.0
     nothing = learned.forecast_all(history(spark, [(1, 1)]), lit(START), cutoff, 3)
     assert [r.qty_predicted for r in nothing.collect()] == [1.0] * 3
 
 
-def test_registered_learned_backtest_runs_every_fold_at_full_strength(spark, monkeypatch):
+def test_registered_learned_backtest_runs_every_fold(spark, monkeypatch):
+    """The folds and their scoring alone; the model itself is tested in test_learned.py."""
     asked = []
 
-    def flat(window, start, cutoff, horizon, **params):
-        asked.append(params)
+    def flat(window, start, cutoff, horizon, trees=None, **params):
+        asked.append((trees, params))
         return fc.over_horizon(fc.recent_mean(window.where(F.col("date") <= cutoff), series.KEYS), cutoff, horizon).select(
             "forecast_date", *series.KEYS, F.col("level").alias("qty_predicted")
         )
 
     monkeypatch.setattr(learned, "run", flat)
+    monkeypatch.setattr(learned, "choose", lambda *_, **params: learned.Length(11, 1.0))
     out = all_queries()["E16_rolling_origin_backtest_ml"](spark, "/root/testdata/sf0.01")
-    assert sorted(r.fold for r in out.collect()) == list(range(1, 13)) and asked == [{}] * 12
+    assert sorted(r.fold for r in out.collect()) == list(range(1, 13)) and asked == [(11, {})] * 12

@@ -67,3 +67,54 @@ def test_json_without_known_wrapper(spark, tmp_path):
     file.write_text('{"count": 2, "rows": [{"outlet": "k", "item": "i", "qty": 3}, {"outlet": "k", "item": "j", "qty": null}]}')
     out = files.stock_records(files.read_json_records(spark, str(file), multi_line=True))
     assert rows(out, "kitchen", "ingredient", "qty_available", "unit") == [("k", "i", 3.0, "g"), ("k", "j", 0.0, "g")]
+
+
+def test_publishing_never_leaves_a_gap(spark, monkeypatch):
+    path = scratch_path(spark, "t")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_published(spark, path)
+    sinks.publish(spark.createDataFrame([(1,)], "v int"), path)
+    held = sinks.read_published(spark, path)
+    failing = spark.createDataFrame([(2,)], "v int").select(F.raise_error(F.lit("broken")).cast("int").alias("v"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.publish(failing, path)
+    assert rows(sinks.read_published(spark, path), "v") == [(1,)]
+    seen, put = [], sinks._put_text
+
+    def watched(s, file, text):
+        seen.append(rows(sinks.read_published(s, path), "v"))  # the new version is complete, the pointer still the old one
+        put(s, file, text)
+        seen.append(rows(sinks.read_published(s, path), "v"))
+
+    monkeypatch.setattr(sinks, "_put_text", watched)
+    sinks.publish(spark.createDataFrame([(3,)], "v int"), path)
+    assert seen == [[(1,)], [(3,)]] and rows(held, "v") == [(1,)]
+    sinks.publish(spark.createDataFrame([(4,)], "v int"), path, keep_seconds=0)
+    jvm, fs = sinks._fs(spark, path)
+    assert len(fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{sinks.VERSIONS}"))) == 1
+    assert rows(sinks.read_published(spark, path), "v") == [(4,)]
+
+
+def test_stored_columns_grow_and_keep_their_type(spark):
+    path = scratch_path(spark, "t")
+    sinks.append_evolving(spark.createDataFrame([(1, "a")], "k int, s string"), path)
+    sinks.append_evolving(spark.createDataFrame([("2", 5), ("x", 6)], "k string, more int"), path)
+    sinks.append_evolving(spark.createDataFrame([(7,)], "more long"), path)
+    out = sinks.read_evolving(spark, path)
+    assert out.dtypes == [("k", "int"), ("s", "string"), ("more", "string")]
+    assert sorted(map(str, rows(out.fillna(-1).fillna("-"), *out.columns))) == sorted(
+        map(str, [(1, "a", "-"), (2, "-", "5"), (-1, "-", "6"), (-1, "-", "7")])
+    )
+
+
+def test_csv_files_of_several_layouts(spark):
+    path = scratch_path(spark, "t")
+    for lines in (["a,b", "1,2"], ["b,a", "3,4"], ["﻿a , c", "5,6", "7"], []):
+        spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.mode("append").text(path)
+    out = files.read_csv_bom(spark, path)
+    assert sorted(out.columns) == ["a", "b", "c"] and len(files.layouts(spark, path)) == 3
+    assert sorted(map(str, rows(out, "a", "b", "c"))) == sorted(
+        map(str, [("1", "2", None), ("4", "3", None), ("5", None, "6"), ("7", None, None)])
+    )
+    with pytest.raises(ValueError, match="no date"):
+        files.read_consumption(spark, path)

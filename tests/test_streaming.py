@@ -29,9 +29,22 @@ def rows(df):
 def test_windows_equal_batch(spark):
     folder, batch = landed(spark)
     for op in (inc.tumbling_sales, inc.sliding_mean):
-        assert rows(inc.run_aggregate(spark, op(stream(spark, folder), "ts", "event_type", "value"))) == rows(
-            op(batch, "ts", "event_type", "value")
-        )
+        windows = op(stream(spark, folder), "ts", "event_type", "value", delay="30 days")
+        assert rows(inc.run_aggregate(spark, windows, "event_type")) == rows(op(batch, "ts", "event_type", "value"))
+
+
+def test_closed_windows_leave_the_state(spark):
+    """Twenty daily files: late rows within the delay count, and the state holds the open windows only."""
+    base, folder = dt.datetime(2024, 1, 1), scratch_path(spark, "feed")
+    days = [[(n * 10 + k, base + dt.timedelta(days=n, hours=k * 2 - (10 if k == 9 else 0)), 1, "view", 1.0) for k in range(10)] for n in range(20)]
+    days[10].append((999, base + dt.timedelta(days=9, hours=23), 1, "view", 1.0))  # a day late
+    for n in days:
+        spark.createDataFrame(n, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    windows = inc.tumbling_sales(stream(spark, folder), "ts", "event_type", "value")
+    progress = inc.drain(windows, lambda b, _: b.count(), scratch_path(spark, "ck"), mode="update")
+    assert max(p.stateOperators[0].numRowsTotal for p in progress) <= 4
+    table = inc.run_aggregate(spark, inc.tumbling_sales(stream(spark, folder), "ts", "event_type", "value"), "event_type")
+    assert rows(table) == rows(inc.tumbling_sales(spark.read.parquet(f"{folder}/events.parquet"), "ts", "event_type", "value"))
 
 
 def test_upsert_keeps_newest_whatever_the_arrival_order(spark):
@@ -47,16 +60,28 @@ def test_insert_new_has_one_row_per_key(spark):
     assert got.count() == 200 and rows(got) == rows(batch.distinct())
 
 
-def test_alert_dedup_across_batches(spark):
-    folder, batch = landed(spark)
-    as_alert = [
-        F.col("event_id").cast("string").alias("alert_id"), F.col("event_type").alias("alert_type"), F.lit("").alias("sku"),
-        F.col("user_id").cast("string").alias("outlet"), F.lit("").alias("ingredient"), F.col("ts").alias("created_at"),
-        (F.col("event_id") % 3 == 0).cast("int").alias("resolved"),
+def test_alerts_open_once_and_again_after_they_were_resolved(spark):
+    """Five batches against a walk over the rows; the state holds open alerts only."""
+    base, folder = dt.datetime(2024, 1, 1), scratch_path(spark, "feed")
+    schema = "alert_id string, alert_type string, sku string, outlet string, ingredient string, created_at timestamp, resolved int"
+    batches = [
+        [(f"{n}-{k:02}", "low", "s", f"o{k % 4}", None, base + dt.timedelta(days=n, minutes=(k * 7) % 20), int((k * 5 + n) % 3 == 0)) for k in range(20)]
+        for n in range(5)
     ]
-    got = inc.run_alert_dedup(spark, stream(spark, folder).select(*as_alert))
-    keys = batch.select(*as_alert).where("resolved = 0").select("alert_type", "outlet").distinct()
-    assert rows(got.select("alert_type", "outlet")) == rows(keys)
+    batches.append([("9", "low", "s", f"o{k}", None, base + dt.timedelta(days=9), 1) for k in range(4)])
+    is_open, expected = set(), []
+    for rows_ in batches:
+        for r in sorted(rows_, key=lambda r: (r[5], r[0])):
+            if r[6]:
+                is_open.discard(r[3])
+            elif r[3] not in is_open:
+                is_open.add(r[3])
+                expected.append(r[0])
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    got = inc.run_alert_dedup(spark, stream(spark, folder))
+    assert sorted(r.alert_id for r in got.collect()) == sorted(expected) and len(expected) > 8
+    progress = inc.drain(inc.raised_alerts(stream(spark, folder)), lambda b, _: b.count(), scratch_path(spark, "ck"))
+    assert len(progress) >= 6 and progress[-1].stateOperators[0].numRowsTotal == 0
 
 
 def test_watermarked_dedup_of_an_ordered_feed(spark):
