@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from larder.operators.series_models import additive_holiday
+
 FOLDS = 12
 FOLD_STEP_DAYS = 7
 TEST_DAYS = 6
@@ -54,3 +58,37 @@ def moving_average_backtest(daily: DataFrame, as_of: Column, n: int = 14, folds:
     )
     test = rows.where(F.col("date") > F.col("cutoff"))
     return test.join(level, series).withColumn("abs_err", F.abs(F.col("qty_predicted") - F.col("qty_sold")))
+
+
+def per_series_backtest(daily: DataFrame, as_of: Column, folds: int = FOLDS) -> DataFrame:
+    """Scored test rows of the holiday regression, fitted anew for every (fold, series) on its training days.
+
+    All folds are one shuffle on (fold, series); a group holds one look-back
+    window of a series. Series of under 30 training days are left out; a fit
+    that fails or is too slow predicts its recent mean. The days to predict come
+    from the calendar, so no test quantity reaches a fit.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        days, y = pdf["date"].to_numpy(dtype="datetime64[D]"), pdf["qty_sold"].to_numpy(dtype=float)
+        future = np.datetime64(pdf["cutoff"].iloc[0], "D") + np.arange(1, TEST_DAYS + 1)
+        try:
+            level = additive_holiday(days, y, future)[0]
+            if not np.isfinite(level).all():
+                raise ValueError("not finite")
+            name = "additive_holiday"
+        except (ValueError, np.linalg.LinAlgError):
+            level, name = np.full(TEST_DAYS, y[-14:].mean()), "moving_average"
+        first = {c: pdf[c].iloc[0] for c in ("fold", "sku", "outlet")}
+        return pd.DataFrame({**first, "date": pd.DatetimeIndex(future).date, "qty_predicted": np.clip(level, 0, None).round(2), "model_name": name})
+
+    rows = by_fold(daily.where(F.col("qty_sold").isNotNull()), as_of, folds)
+    series = ["fold", "sku", "outlet"]
+    train = rows.where(F.col("date") <= F.col("cutoff")).withColumn("_days", F.count("date").over(W.partitionBy(*series)))
+    train = train.where(F.col("_days") >= MIN_HISTORY_DAYS).drop("_days")
+    predicted = train.groupBy(*series).applyInPandas(
+        fit, "fold int, sku string, outlet string, date date, qty_predicted double, model_name string"
+    )
+    test = rows.where(F.col("date") > F.col("cutoff")).select(*series, "date", "qty_sold")
+    return test.join(predicted, [*series, "date"]).withColumn("abs_err", F.abs(F.col("qty_predicted") - F.col("qty_sold")))

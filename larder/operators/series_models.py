@@ -8,6 +8,7 @@ to its recent mean instead of failing the job.
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,11 @@ from larder.operators.forecast import recent_mean
 from larder.operators.series import dense_panel
 
 SEASON = 7
-MIN_POINTS = 14
+#: Days that a series needs to be fitted: on the calendar for the smoother, sold ones for the regression.
+MIN_POINTS = {"seasonal_additive": 14, "additive_holiday": 30}
+#: Candidate trend bends, the scale of their Laplace prior and that of the effects' normal one: fixed values.
+BENDS, BEND_SCALE, EFFECT_SCALE = 25, 0.05, 10.0
+SLOW_SECONDS = 15.0
 OUTPUT = (
     "sku string, outlet string, forecast_date date, qty_predicted double, qty_lower double, qty_upper double, "
     "model_name string, accuracy double"
@@ -33,57 +38,91 @@ def dense(days: np.ndarray, qty: np.ndarray) -> np.ndarray:
     return out
 
 
-def seasonal_additive(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
-    """Level plus additive weekly season, exponentially smoothed: (forecast, fitted).
-
-    All smoothing pairs of a grid advance together; the pair with the smallest
-    squared one-step error is kept.
-    """
-    grid = np.array([(a, g) for a in np.linspace(0.05, 0.95, 10) for g in np.linspace(0.05, 0.95, 10)])
-    alpha, gamma = grid[:, 0], grid[:, 1]
-    level = np.full(len(grid), y[:SEASON].mean())
-    season = np.repeat((y[:SEASON] - y[:SEASON].mean())[:, None], len(grid), axis=1)
-    fitted = np.empty((len(y), len(grid)))
+def _smoothed(y: np.ndarray, alpha: np.ndarray, gamma: np.ndarray, weeks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fitted values, last levels and seasons of all parameter pairs at once; the first ``weeks`` weeks give the start."""
+    first = y[: SEASON * weeks].reshape(weeks, SEASON).mean(axis=0)
+    level = np.full(len(alpha), first.mean())
+    season = np.repeat((first - first.mean())[:, None], len(alpha), axis=1)
+    fitted = np.empty((len(y), len(alpha)))
     for t, value in enumerate(y):
         s = season[t % SEASON].copy()
         fitted[t] = level + s
         fresh = alpha * (value - s) + (1 - alpha) * level
         season[t % SEASON] = gamma * (value - level) + (1 - gamma) * s
         level = fresh
-    best = int(((fitted - y[:, None]) ** 2).sum(axis=0).argmin())
+    return fitted, level, season
+
+
+def seasonal_additive(y: np.ndarray, horizon: int, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Level plus additive weekly season, exponentially smoothed: (forecast, fitted).
+
+    Both parameters and the number of weeks that give the start level and season
+    are estimated by the squared one-step error: a grid over all pairs first,
+    then ever finer grids around the best pair so far, which stays a candidate.
+    """
+    alphas = gammas = np.linspace(0.05, 0.95, 10)
+    width, best = 0.1, None
+    for _ in range(rounds):
+        alpha, gamma = (m.ravel() for m in np.meshgrid(alphas, gammas, indexing="ij"))
+        for weeks in {1, min(2, len(y) // SEASON), min(4, len(y) // SEASON)}:
+            fitted, level, season = _smoothed(y, alpha, gamma, weeks)
+            error = ((fitted - y[:, None]) ** 2).sum(axis=0)
+            at = int(error.argmin())
+            if best is None or error[at] < best[0]:
+                best = error[at], alpha[at], gamma[at], level[at], season[:, at].copy(), fitted[:, at].copy()
+        alphas, gammas = (np.clip(np.linspace(c - width, c + width, 7), 0.001, 0.999) for c in best[1:3])
+        width /= 3
+    _, _, _, level, season, fitted = best
     ahead = np.arange(len(y), len(y) + horizon) % SEASON
-    return level[best] + season[ahead, best], fitted[:, best]
+    return level + season[ahead], fitted
 
 
 def holiday_columns(days: pd.DatetimeIndex) -> np.ndarray:
-    """One indicator per listed holiday, 1 within its reach."""
+    """One indicator per listed holiday and day offset within its reach."""
     cols = []
     for _, month, dom in HOLIDAYS:
-        base = dt.date(2001, month, dom)
-        near = {base + dt.timedelta(days=k) for k in range(-HOLIDAY_REACH_DAYS, HOLIDAY_REACH_DAYS + 1)}
-        pairs = {(d.month, d.day) for d in near}
-        cols.append(np.array([(d.month, d.day) in pairs for d in days], dtype=float))
+        for k in range(-HOLIDAY_REACH_DAYS, HOLIDAY_REACH_DAYS + 1):
+            near = dt.date(2001, month, dom) + dt.timedelta(days=k)
+            cols.append(((days.month == near.month) & (days.day == near.day)).astype(float))
     return np.column_stack(cols)
 
 
-def additive_holiday(days: np.ndarray, y: np.ndarray, future: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bending trend, weekday effects and holiday effects by ridge regression: (forecast, fitted)."""
+def additive_holiday(
+    days: np.ndarray, y: np.ndarray, future: np.ndarray, rounds: int = 60, seconds: float = SLOW_SECONDS
+) -> tuple[np.ndarray, np.ndarray]:
+    """Trend with few bends, weekday effects, and an effect per holiday and day offset: (forecast, fitted).
+
+    Candidate bends lie evenly over the first four fifths of the days. They have
+    a Laplace prior, solved by ridge rounds whose weights follow the last
+    round's bends, so that most end at zero; the other effects have a normal
+    one. A fit that takes longer than ``seconds`` is an error.
+    """
+    begun = time.monotonic()
     origin, span = days.min(), max(int((days.max() - days.min()).astype("timedelta64[D]").astype(int)), 1)
-    bends = np.linspace(0.1, 0.8, 8)
+    bends = np.linspace(0, 0.8, BENDS + 1)[1:]
+    peak = float(np.abs(y).max()) or 1.0
 
     def design(at: np.ndarray) -> np.ndarray:
         index = pd.DatetimeIndex(at)
         t = (at - origin).astype("timedelta64[D]").astype(float) / span
         weekday = np.eye(SEASON)[index.dayofweek]
-        return np.column_stack(
-            [np.ones(len(at)), t, np.clip(t[:, None] - bends, 0, None), weekday, holiday_columns(index)]
-        )
-
-    x = design(days)
-    # Bends and effects shrink towards zero, level and slope do not.
-    shrink = np.r_[1e-6, 1e-6, np.full(len(bends), 20.0), np.full(SEASON, 0.1), np.full(len(HOLIDAYS), 0.1)]
-    beta = np.linalg.solve(x.T @ x + np.diag(shrink), x.T @ y)
-    return design(future) @ beta, x @ beta
+        return np.column_stack([np.ones(len(at)), t, np.clip(t[:, None] - bends, 0, None), weekday, holiday_columns(index)])
+
+    x, target = design(days), y / peak
+    effects = x.shape[1] - 2 - BENDS
+    gram, moment = x.T @ x, x.T @ target
+    delta, noise, beta = np.full(BENDS, 1.0), float(target.var()) or 1.0, None
+    for _ in range(rounds):
+        if time.monotonic() - begun > seconds:
+            raise ValueError("too slow")
+        shrink = np.r_[1e-6, 1e-6, noise / (BEND_SCALE * (np.abs(delta) + 1e-6)), np.full(effects, noise / EFFECT_SCALE**2 + 1e-6)]
+        fresh = np.linalg.solve(gram + np.diag(shrink), moment)
+        done = beta is not None and np.abs(fresh - beta).max() < 1e-6
+        beta, delta = fresh, fresh[2 : 2 + BENDS]
+        noise = max(float(np.mean((target - x @ beta) ** 2)), 1e-8)
+        if done:
+            break
+    return design(future) @ beta * peak, x @ beta * peak
 
 
 def _mape_accuracy(actual: np.ndarray, fitted: np.ndarray) -> float | None:
@@ -120,14 +159,14 @@ def _fit(pdf: pd.DataFrame, model: str, horizon: int) -> pd.DataFrame:
     try:
         if model == "seasonal_additive":
             filled = dense(days, y)
-            if len(filled) < MIN_POINTS:
+            if len(filled) < MIN_POINTS[model]:
                 raise ValueError("series too short")
             # Days between the last sale and the run date are forecast and skipped.
             gap = int((run - days.max()).astype(int))
             level, fitted = seasonal_additive(filled, gap + horizon)
             level, accuracy = level[gap:], _mape_accuracy(filled[-SEASON:], fitted[-SEASON:])
         else:
-            if len(y) < MIN_POINTS:
+            if len(y) < MIN_POINTS[model]:
                 raise ValueError("series too short")
             level, fitted = additive_holiday(days, y, future)
             accuracy = _mape_accuracy(y, fitted)
@@ -152,10 +191,10 @@ def forecast_per_series(history: DataFrame, run_date, model: str, horizon: int =
     else:
         points = F.count("qty_sold").over(series)
     sized = history.select("sku", "outlet", "date", "qty_sold").withColumn("_points", points)
-    rows = sized.where(F.col("_points") >= MIN_POINTS).withColumn("run_date", run_date).drop("_points")
+    rows = sized.where(F.col("_points") >= MIN_POINTS[model]).withColumn("run_date", run_date).drop("_points")
     fitted = rows.groupBy("sku", "outlet").applyInPandas(fit, OUTPUT)
     # Series too short to fit never enter Python.
-    short = recent_mean(sized.where(F.col("_points") < MIN_POINTS), ["sku", "outlet"])
+    short = recent_mean(sized.where(F.col("_points") < MIN_POINTS[model]), ["sku", "outlet"])
     return fitted.unionByName(flat_rows(short.withColumn("model_name", F.lit("moving_average")), run_date, horizon))
 
 

@@ -213,6 +213,30 @@ def _(r):
     return accuracy.wmape(learned.backtest(daily, r.ship_as_of), "fold")
 
 
+BACKTEST_SQL = """folds AS (SELECT CAST(i AS INTEGER) AS fold, CAST((SELECT d FROM ship_day) - CAST(6 + (12 - i) * 7 AS INTEGER) AS DATE) AS cutoff FROM range(1, 13) t(i)),
+      rows_ AS (SELECT fold, cutoff, date, sku, outlet, qty_sold FROM sales_coarse JOIN folds ON date >= cutoff - 120 AND date <= cutoff + 6),
+      deep AS (SELECT fold, sku, outlet FROM rows_ WHERE date <= cutoff GROUP BY fold, sku, outlet HAVING count(*) >= 30)"""
+
+
+@query("E16_rolling_origin_backtest_per_series")
+def _(r):
+    since = F.date_sub(r.ship_as_of, 120 + 6 + 11 * 7)
+    return accuracy.wmape(backtest.per_series_backtest(r.daily_qty(since=since), r.ship_as_of), "fold")
+
+
+@query(
+    "E16_per_series_scored_rows",
+    f"""WITH {BACKTEST_SQL} SELECT fold, count(*) AS n_rows, sum(qty_sold) AS sold, TRUE AS sound
+    FROM rows_ JOIN deep USING (fold, sku, outlet) WHERE date > cutoff GROUP BY fold""",
+)
+def _(r):
+    """What SQL can check of the per-series back-test: its folds, gate and scored rows, and that predictions are finite and no less than 0."""
+    since = F.date_sub(r.ship_as_of, 120 + 6 + 11 * 7)
+    scored = backtest.per_series_backtest(r.daily_qty(since=since), r.ship_as_of)
+    sound = F.bool_and((F.col("qty_predicted") >= 0) & (F.col("qty_predicted") < float("inf")))
+    return scored.groupBy("fold").agg(F.count("*").alias("n_rows"), F.sum("qty_sold").alias("sold"), sound.alias("sound"))
+
+
 @query(
     "E17_forecast_band",
     """SELECT event_id, round(greatest(value - 10, 0.0) * 0.9, 2) AS qty_lower, round(greatest(value - 10, 0.0), 2) AS qty_predicted,

@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 THRESHOLDS = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
 # The smallest scale has no series long enough to learn from in a back-test window.
-MAY_BE_EMPTY = {"E16_rolling_origin_backtest_ml"}
+MAY_BE_EMPTY = {"E16_rolling_origin_backtest_ml", "E16_rolling_origin_backtest_per_series"}
 
 
 @pytest.fixture(scope="module")

@@ -1,6 +1,8 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import accuracy, backtest, forecast as fc, learned, series, series_models
@@ -142,3 +144,47 @@ def test_registered_learned_backtest_runs_every_fold(spark, monkeypatch):
     monkeypatch.setattr(learned, "choose", lambda *_, **params: learned.Length(11, 1.0))
     out = all_queries()["E16_rolling_origin_backtest_ml"](spark, "/root/testdata/sf0.01")
     assert sorted(r.fold for r in out.collect()) == list(range(1, 13)) and asked == [(11, {})] * 12
+
+
+def test_one_true_bend_is_found():
+    days = np.datetime64("2025-01-01") + np.arange(200)
+    t = np.arange(200)
+    y = 50 + 0.1 * t + 0.8 * np.clip(t - 96, 0, None) + 5 * (t % 7 == 2)
+    ahead, fitted = series_models.additive_holiday(days, y, days[-1] + np.arange(1, 8))
+    slope = np.diff(fitted - 5 * (t % 7 == 2))
+    turn = int(np.abs(np.diff(np.convolve(slope, np.ones(7) / 7, "valid"))).argmax())
+    assert abs(turn + 4 - 96) <= 6  # bends lie six days apart
+    t = np.arange(200, 207)
+    assert np.abs(ahead - (50 + 0.1 * t + 0.8 * (t - 96) + 5 * (t % 7 == 2))).max() < 2
+
+
+def test_slow_failing_and_short_fits_yield_the_recent_mean(monkeypatch):
+    days = np.datetime64("2025-01-01") + np.arange(40)
+    with pytest.raises(ValueError, match="slow"):
+        series_models.additive_holiday(days, np.ones(40), days, seconds=-1)
+    frame = pd.DataFrame({"sku": "a", "outlet": "b", "date": days, "qty_sold": np.arange(40.0), "run_date": days[-1]})
+    for fail in (ValueError("slow"), np.linalg.LinAlgError("singular")):
+        monkeypatch.setattr(series_models, "additive_holiday", lambda *_, e=fail: (_ for _ in ()).throw(e))
+        out = series_models._fit(frame, "additive_holiday", 3)
+        assert set(out.model_name) == {"moving_average"} and set(out.qty_predicted) == {32.5}
+    assert set(series_models._fit(frame[:29], "additive_holiday", 3).model_name) == {"moving_average"}
+
+
+def test_smoothing_parameters_are_never_worse_than_the_grid():
+    rnd = np.random.default_rng(3)
+    grid = np.array([(a, g) for a in np.linspace(0.05, 0.95, 10) for g in np.linspace(0.05, 0.95, 10)])
+    for _ in range(5):
+        y = 20 + np.cumsum(rnd.normal(size=90)) + 4 * (np.arange(90) % 7 == 1) + rnd.normal(size=90)
+        coarse = series_models._smoothed(y, grid[:, 0], grid[:, 1], 1)[0]
+        _, fitted = series_models.seasonal_additive(y, 7)
+        assert ((fitted - y) ** 2).sum() <= ((coarse - y[:, None]) ** 2).sum(axis=0).min()
+
+
+def test_per_series_backtest_sees_no_test_quantity(spark):
+    rows = [(d, 10 + d % 7) for d in range(210)]
+    as_of = START + dt.timedelta(days=209)
+    full = backtest.per_series_backtest(history(spark, rows), lit(as_of)).collect()
+    assert {r.fold for r in full} == set(range(1, 13)) and max(r.abs_err for r in full) < 0.5
+    changed = [(d, q if d < 204 else 1000 * d) for d, q in rows]
+    last = backtest.per_series_backtest(history(spark, changed), lit(as_of)).where("fold = 12").collect()
+    assert {(r.date, r.qty_predicted) for r in last} == {(r.date, r.qty_predicted) for r in full if r.fold == 12}
