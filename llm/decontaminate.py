@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from llm.tables import id_and_text
+from llm.tables import id_and_text, settled
 
 Q = 12
 EDITS = 0.05
@@ -209,6 +209,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item is found; columns as they came, rows of a null id stay."""
-    found = find_leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The documents in which no benchmark item is found; columns as they came.
+
+    Rows are judged by their text, so those of a null or repeated id are too;
+    null texts hold nothing and stay.
+    """
+    texts = docs.select(F.xxhash64("text").alias("_leak"), "text")
+    found = settled(find_leaks(texts, benchmark, "_leak").select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    return docs.withColumn("_leak", F.xxhash64("text")).join(found, "_leak", "left_anti").select(*docs.columns)

@@ -123,19 +123,24 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     ``n_lines`` counts the lines that are a known licence text, ``line_licenses``
     lists their distinct licences in order, joined by commas. Null and empty
     texts have the digest of the empty string and no licence; so do known texts
-    without words, which are ignored. One row for each row, repeated ids too.
+    without words, which are ignored. One row for each row: rows that repeat an id,
+    or have none, are told apart by their text, and each shows its own lines.
 
     The known digests come from the caller's ``known(license, text)``, else from
     ``known_table``; below Spark's own size
     threshold it is broadcast, else both sides are shuffled. Lines that are no
     licence leave before anything is grouped.
     """
-    docs = id_and_text(docs, id_col, text_col)
+    docs = id_and_text(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
     table = known_digests(known) if known is not None else known_table(docs.sparkSession)
     whole = with_digest(docs, "text").join(table, "digest", "left")
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = docs.select(F.col("doc_id").alias("id"), F.col("t").alias("of"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     held = with_digest(lines, "line").join(table, "digest")
-    held = held.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("line_licenses"))
-    return whole.join(held, "doc_id", "left").select(
+    # Rows that repeat id and text repeat their lines too: each line counts once.
+    held = held.groupBy("id", "of").agg(
+        F.countDistinct("at").alias("n_lines"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("line_licenses")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("of"))
+    return whole.join(held, same, "left").select(
         "doc_id", "digest", "license", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("line_licenses", F.lit("")).alias("line_licenses")
     )

@@ -85,18 +85,20 @@ def search(
     cells worth skipping, hence the large share; lower it for clustered ones.
 
     Vectors that are null, zero, or hold null or non-finite components take no
-    part; all vectors must be of one length, of two components at least. A query is no candidate of its
+    part; neither do vectors of another length than the most frequent one (ties: the longer). A query is no candidate of its
     own id; other equal vectors are. Repeated rows of an id are candidates once
-    each. The driver sees the centroids and the entries per pair of centroids,
+    each; of query rows that repeat an id, the one with the smallest components asks. The driver sees the centroids and the entries per pair of centroids,
     both of fixed size. Index rows of a centroid are cut into pages of about
     ``PAGE`` rows, so a task holds one page and the queries that reach it.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    index = settled(usable(vectors, id_col, vector_col), "vectors")
-    fitted = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column(0).combine_chunks()
-    if not len(fitted):
+    usual = usable(vectors, id_col, vector_col).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    if usual is None:
         return spark.createDataFrame([], schema)
+    of_length = F.size("v") == usual.n
+    index = settled(usable(vectors, id_col, vector_col).where(of_length), "vectors")
+    fitted = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column(0).combine_chunks()
     points = _units(fitted)
     half = points.shape[1] // 2
     centres = k_means(points[:, :half], centroids), k_means(points[:, half:], centroids)
@@ -139,7 +141,8 @@ def search(
                 ["query_id", "q", "c1", "page", "cells"],
             )
 
-    asked = usable(queries, id_col, vector_col).mapInArrow(route, "query_id long, q array<double>, c1 int, page int, cells array<int>")
+    asked = usable(queries, id_col, vector_col).where(of_length).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = asked.mapInArrow(route, "query_id long, q array<double>, c1 int, page int, cells array<int>")
     count = F.element_at(F.array(*[F.lit(p) for p in pages]), F.col("c1") + 1)
     paged = placed.withColumn("page", F.pmod(F.xxhash64("vec_id"), count).cast("int"))
 

@@ -66,16 +66,16 @@ def _seeds(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 found = seeds_of(part, length, seed)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(part.first, len(part.counts)).take(pa.array(found["text"])),
+                        *[batch.column(c).slice(part.first, len(part.counts)).take(pa.array(found["text"])) for c in (0, 2)],
                         pa.array(found["first"].astype(np.int32)),
                         pa.array(found["last"].astype(np.int32)),
                         pa.array(found["seed"].view(np.int64)),
                         pa.array(found["context"].view(np.int64)),
                     ],
-                    ["doc_id", "first", "last", "seed", "context"],
+                    ["doc_id", "t", "first", "last", "seed", "context"],
                 )
 
-    return docs.mapInArrow(scan, "doc_id long, first int, last int, seed long, context long")
+    return docs.mapInArrow(scan, "doc_id long, t long, first int, last int, seed long, context long")
 
 
 def _windows(held: DataFrame, length: int) -> DataFrame:
@@ -96,20 +96,21 @@ def _windows(held: DataFrame, length: int) -> DataFrame:
                     row, start = np.concatenate(rows), np.concatenate(starts)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column(0).take(pa.array(row)),
+                            *[batch.column(c).take(pa.array(row)) for c in (0, 3)],
                             pa.array((start - bounds[row - part.first]).astype(np.int32)),
                             pa.array(runs.hashes(start, start + length).view(np.int64)),
                         ],
-                        ["doc_id", "start", "hash"],
+                        ["doc_id", "t", "start", "hash"],
                     )
 
-    return held.mapInArrow(scan, "doc_id long, start int, hash long")
+    return held.mapInArrow(scan, "doc_id long, t long, start int, hash long")
 
 
 def repeats(docs: DataFrame, length: int = 50, seed: int = SEED_WORDS) -> DataFrame:
-    """``doc_id, first, last``: spans of window starts whose windows also start in a document of a smaller id.
+    """``doc_id, t, first, last``: spans of window starts whose windows also start in a document of a smaller id.
 
-    Takes ``docs(doc_id, text)``; joins on it by ``doc_id``. First, seeds that
+    Takes ``docs(doc_id, text, t)``, ``t`` a hash of the text that tells rows of
+    one id apart; joins on both. First, seeds that
     lie in two documents or more are kept. Then whole contexts extend each seed
     as far as its windows reach: all but the smallest document of a context
     repeat it in full. The remaining occurrences, one for each context of a seed
@@ -123,20 +124,24 @@ def repeats(docs: DataFrame, length: int = 50, seed: int = SEED_WORDS) -> DataFr
     least = settled(common.groupBy("seed", "context").agg(F.min("doc_id").alias("source")), "least")
     several = settled(least.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "several")
     extended = settled(common.join(least, ["seed", "context"]), "extended")
-    whole = extended.where("source < doc_id").select("doc_id", "first", "last")
+    whole = extended.where("source < doc_id").select("doc_id", "t", "first", "last")
     edges = extended.where("source = doc_id").join(several, "seed", "left_semi")
-    spans = edges.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    windows = _windows(docs.join(spans, "doc_id").select("doc_id", "text", "spans"), length)
+    spans = edges.groupBy("doc_id", "t").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    windows = _windows(docs.join(spans, ["doc_id", "t"]).select("doc_id", "text", "spans", "t"), length)
     windows = settled(windows, "windows")
     sources = settled(windows.groupBy("hash").agg(F.min("doc_id").alias("source")), "sources")
-    partly = windows.join(sources, "hash").where("source < doc_id").select("doc_id", F.col("start").alias("first"), F.col("start").alias("last"))
+    partly = windows.join(sources, "hash").where("source < doc_id").select("doc_id", "t", F.col("start").alias("first"), F.col("start").alias("last"))
     return whole.unionByName(partly)
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("t", F.xxhash64("text"))
+
+
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
-    """``doc_id, start, end``: maximal word spans (end exclusive) that repeat passages of smaller documents."""
-    spans = repeats(id_and_text(docs, id_col, text_col), length)
-    starts = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("s"))
+    """``doc_id, start, end``: maximal word spans (end exclusive) that repeat passages of smaller documents, of each text of an id."""
+    spans = repeats(_told_apart(id_and_text(docs, id_col, text_col)), length)
+    starts = spans.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("s"))
     joined = F.aggregate(
         "s",
         F.array().cast("array<struct<start:int,end:int>>"),
@@ -164,10 +169,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Windows are judged on the input. ``kept`` joins the remaining words by one
     space. Null and empty texts have no words; texts under ``length`` words lose
     none; a null id neither loses words nor lends them. Rows that repeat an id
-    are judged as one document, row by row.
+    are one document of several texts: a row loses what a smaller document has
+    and nothing to another row of its own id.
     """
-    docs = id_and_text(docs, id_col, text_col)
-    spans = repeats(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    docs = _told_apart(id_and_text(docs, id_col, text_col))
+    spans = repeats(docs, length).groupBy("doc_id", "t").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,6 +198,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    joined = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = docs.join(spans, ["doc_id", "t"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from larder.sources.tables import read_table
 from llm.decontaminate import find_leaks
 from llm.encode import encode_digests
-from llm.licenses import KNOWN, SPELLINGS, license_scan
+from llm.licenses import FOLDER, KNOWN, SPELLINGS, license_scan, whole_texts
 from llm.minhash import near_duplicates
 from llm.mixing import mix_sources
 from llm.multi_index import search
@@ -55,7 +55,7 @@ def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = numbered.where("n <> ''").select("page_id", F.col("n").cast("long").alias("doc_id"))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality") == 1, 0)
     outcomes = numbered.join(labels.select("doc_id", bad.alias("bad")), "doc_id").select("page_id", "bad")
-    return judge_urls(pages, outcomes, RULES, Shrinkage(weight=20.0, deviations=1.0, most_bad=0.25))
+    return judge_urls(pages, outcomes, RULES, Shrinkage(deviations=1.0, most_bad=0.25))
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> CumulativeLink:
@@ -148,7 +148,7 @@ def _canonical_sql(text: str) -> str:
     return f"sha256(trim({out}))"
 
 
-_KNOWN_SQL = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+_KNOWN_SQL = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in [*KNOWN, *whole_texts()])
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -179,8 +179,14 @@ def _clusters_sql(k: int, rounds: int, dims: int) -> str:
         FROM a{rounds} JOIN v USING (row) JOIN name USING (c)"""
 
 
+def _weight_sql(level: str) -> str:
+    return f"""SELECT CAST(CASE WHEN coalesce(more, 0) = 0 THEN 20 WHEN met > odds THEN round(least(greatest(more / (met - odds) - 1, 1), 10000), 4)
+            ELSE 10000 END AS DOUBLE) AS w FROM (SELECT sum(n * (b / n - p) ** 2) AS met, sum(p * (1 - p)) AS odds, sum(p * (1 - p) * (n - 1)) AS more
+            FROM (SELECT CAST(n AS DOUBLE) AS n, CAST(b AS DOUBLE) AS b, p FROM {level}) WHERE n > 0)"""
+
+
 ORACLES: dict[str, str] = {
-    "op3_host_reputation": r"""
+    "op3_host_reputation": rf"""
         WITH parted AS (
             SELECT page_id,
                 translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -188,14 +194,20 @@ ORACLES: dict[str, str] = {
             FROM pages),
         outcome AS (
             SELECT host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 THEN 0 END AS bad
-            FROM parted JOIN labels ON doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})', 1), '') AS BIGINT)),
-        h AS (SELECT host, count(*) AS n, sum(bad) AS b, string_split(host, '.') AS l FROM outcome WHERE bad IS NOT NULL GROUP BY host),
+            FROM parted LEFT JOIN labels ON doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})', 1), '') AS BIGINT)),
+        h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS b, string_split(host, '.') AS l FROM outcome GROUP BY host),
         hosts AS (SELECT host, n, b, l[-1] AS suffix, array_to_string(l[-2:], '.') AS domain FROM h),
-        total AS (SELECT CAST(sum(b) AS DOUBLE) / sum(n) AS p FROM hosts),
-        s AS (SELECT suffix, (sum(b) + 20.0::DOUBLE * any_value(p)) / (sum(n) + 20.0::DOUBLE) AS p FROM hosts, total GROUP BY suffix),
-        d AS (SELECT domain, (sum(b) + 20.0::DOUBLE * any_value(p)) / (sum(n) + 20.0::DOUBLE) AS p FROM hosts JOIN s USING (suffix) GROUP BY domain),
-        m AS (SELECT host, n, (b + 20.0::DOUBLE * p) / (n + 20.0::DOUBLE) AS mean FROM hosts JOIN d USING (domain)),
-        bound AS (SELECT host, mean - 1.0::DOUBLE * sqrt(mean * (1 - mean) / (n + 20.0::DOUBLE + 1)) AS low FROM m),
+        total AS (SELECT CAST(sum(n) AS DOUBLE) AS tn, CAST(sum(b) AS DOUBLE) AS tb FROM hosts),
+        s AS MATERIALIZED (SELECT suffix, n, b, CAST(CASE WHEN n < tn THEN (tb - b) / (tn - n) WHEN tn > 0 THEN tb / tn ELSE 0 END AS DOUBLE) AS p
+            FROM (SELECT suffix, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY suffix), total),
+        ws AS ({_weight_sql("s")}),
+        d AS MATERIALIZED (SELECT x.domain, x.n, x.b, (s.b - x.b + w * s.p) / (s.n - x.n + w) AS p
+            FROM (SELECT suffix, domain, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY suffix, domain) x JOIN s USING (suffix), ws),
+        wd AS ({_weight_sql("d")}),
+        o AS MATERIALIZED (SELECT host, hosts.n, hosts.b, (d.b - hosts.b + w * d.p) / (d.n - hosts.n + w) AS p FROM hosts JOIN d USING (domain), wd),
+        wo AS ({_weight_sql("o")}),
+        m AS (SELECT host, n, w, (b + w * p) / (n + w) AS mean FROM o, wo WHERE host <> '' OR n > 0),
+        bound AS (SELECT host, mean - 1.0::DOUBLE * sqrt(mean * (1 - mean) / (n + w + 1)) AS low FROM m),
         rule(prefix, host, path, verdict) AS (VALUES
             ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
             ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
@@ -207,7 +219,9 @@ ORACLES: dict[str, str] = {
             coalesce(fit.verdict, CASE WHEN bound.low > 0.25 THEN 'block' ELSE 'allow' END) AS verdict
         FROM parted p LEFT JOIN fit USING (page_id) LEFT JOIN bound ON bound.host = p.host""",
     "op7_license_digests": rf"""
-        WITH known AS (SELECT {_canonical_sql("text")} AS digest, min(license) AS license FROM (VALUES {_KNOWN_SQL}) k(license, text) GROUP BY 1),
+        WITH known AS (SELECT digest, min(license) AS license FROM (
+            SELECT {_canonical_sql("text")} AS digest, license FROM (VALUES {_KNOWN_SQL}) k(license, text)
+            UNION ALL SELECT column1, column0 FROM read_csv('{FOLDER}/digests.tsv', delim = '\t', header = false, all_varchar = true)) GROUP BY digest),
         line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
         held AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names
             FROM line JOIN known ON known.digest = {_canonical_sql("line")} GROUP BY doc_id),
