@@ -20,7 +20,7 @@ import regex
 _CLOSED = 0xF0000
 _NEVER = 1 << 60
 #: Remembered words; the memory starts anew beyond, which costs time only.
-MEMORY = 500_000
+MEMORY = 200_000
 #: Remembered answers to whether one token may follow another, likewise.
 _PAIRS = 1_000_000
 
