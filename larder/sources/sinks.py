@@ -217,7 +217,7 @@ def append_path(source: DataFrame, path: str) -> None:
     matching_columns(source, columns).write.mode("append").parquet(path)
 
 
-def _in_partitions(batch: DataFrame, partition: str) -> Column:
+def in_partitions(batch: DataFrame, partition: str) -> Column:
     """Condition on the partition column that the scan prunes by: the batch's own values, as literals.
 
     A batch of more than ``MAX_LISTED`` partitions is given as a range, which
@@ -247,7 +247,7 @@ def upsert_path(incoming: DataFrame, path: str, key: list[str], partition: str,
         return
     stored = spark.read.parquet(path)
     incoming = checkpointed(incoming)
-    touched = stored.where(_in_partitions(incoming, partition))
+    touched = stored.where(in_partitions(incoming, partition))
     merged = checkpointed(upsert(touched.select(*stored.columns), incoming.select(*stored.columns), key, version))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 

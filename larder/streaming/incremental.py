@@ -8,6 +8,8 @@ version per key.
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -15,8 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larder.operators.cleaning import keep_first
 from larder.plans.alerts import KEY as ALERT_KEY
-from larder.session import scratch_path
-from larder.sources.sinks import insert_new, path_exists, upsert_path
+from larder.session import checkpointed, scratch_path
+from larder.sources.sinks import in_partitions, insert_new, path_exists, upsert_path
 
 OVERLAP_DAYS = 1
 CHUNK_DAYS = 15
@@ -62,6 +64,102 @@ def chunk_sizes(df: DataFrame, time: str, days: int = CHUNK_DAYS) -> DataFrame:
     return df.groupBy(start.alias("chunk_start")).agg(F.count("*").alias("n"))
 
 
+# -- a backfill that resumes ----------------------------------------------------
+
+PLANNED, LOADED = "planned", "loaded"
+LEDGER = T.StructType(
+    [
+        T.StructField("chunk_start", T.DateType()), T.StructField("chunk_end", T.DateType()),
+        T.StructField("state", T.StringType()), T.StructField("n", T.LongType()),
+    ]
+)
+
+
+def _replace_partitions(df: DataFrame, path: str, *partition: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+
+
+def backfill_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """``chunk_start, chunk_end, state, n`` of every chunk planned so far; ``n`` is NULL until it is loaded."""
+    return spark.read.schema(LEDGER).parquet(f"{folder}/ledger").select(*LEDGER.names)
+
+
+def plan_backfill(source: DataFrame, folder: str, time: str, days: int = CHUNK_DAYS) -> list:
+    """Note the chunks that ``source`` spans in the ledger and return those to load, oldest first.
+
+    Chunks are counted from the first one ever planned, so bounds do not move
+    between runs. A loaded chunk is left alone unless its end has moved, as that
+    of the last one does when newer days have come. The driver holds one row per
+    chunk of the calendar, whatever the number of rows.
+    """
+    spark = source.sparkSession
+    span = source.agg(F.to_date(F.min(time)).alias("lo"), F.to_date(F.max(time)).alias("hi")).first()
+    known = {}
+    if path_exists(spark, f"{folder}/ledger"):
+        known = {row.chunk_start: row for row in backfill_ledger(spark, folder).collect()}
+    fresh = []
+    if span.lo is not None:
+        step, end = dt.timedelta(days=days), span.hi + dt.timedelta(days=1)
+        anchor = min(known, default=span.lo)
+        start = anchor + step * ((span.lo - anchor) // step)
+        while start < end:
+            if start not in known or known[start].chunk_end < min(start + step, end):
+                fresh.append((start, min(start + step, end), PLANNED, None))
+            start += step
+    if fresh:
+        _replace_partitions(spark.createDataFrame(fresh, LEDGER), f"{folder}/ledger", "chunk_start")
+    again = {row[0] for row in fresh}
+    left = [(r.chunk_start, r.chunk_end) for r in known.values() if r.state == PLANNED and r.chunk_start not in again]
+    return sorted(left + [row[:2] for row in fresh])
+
+
+def run_backfill(
+    source: DataFrame, folder: str, time: str, key: list[str], order: list[str], days: int = CHUNK_DAYS,
+    wave: int = 8, waves: int | None = None, key_moves: bool = False,
+) -> None:
+    """Load ``source`` into ``folder/rows`` chunk by chunk; a rerun goes on where the last one broke off.
+
+    A wave of ``wave`` chunks is one scan: one row per key (the first by time,
+    then ``order``) replaces the partitions of the wave's chunks, and only then
+    does the ledger call them loaded. A break leaves planned chunks, which the
+    next run writes again in whole. ``waves`` ends a run early. Rows without a
+    time belong to no chunk and are not loaded.
+
+    ``key_moves`` says that copies of a key may carry times of different chunks;
+    the chunk loaded first then keeps it, which reads the keys of all chunks
+    loaded before in every wave.
+    """
+    spark, rows = source.sparkSession, f"{folder}/rows"
+    todo = plan_backfill(source, folder, time, days)
+    if not todo:
+        return
+    anchor = F.lit(todo[0][0])
+    start = F.date_add(anchor, (F.floor(F.datediff(F.to_date(time), anchor) / days) * days).cast("int"))
+    kind = source.schema[time].dataType
+    runs = [todo[at : at + wave] for at in range(0, len(todo), wave)]
+    for chunks in runs[:waves]:
+        starts = [chunk[0] for chunk in chunks]
+        inside = (F.col(time) >= F.lit(starts[0]).cast(kind)) & (F.col(time) < F.lit(chunks[-1][1]).cast(kind))
+        taken = source.where(inside).withColumn("chunk_start", start).where(F.col("chunk_start").isin(starts))
+        fresh = keep_first(taken, key, [time, *order])
+        if key_moves and path_exists(spark, rows):
+            done = backfill_ledger(spark, folder).where((F.col("state") == LOADED) & ~F.col("chunk_start").isin(starts))
+            stored = spark.read.schema(fresh.schema).parquet(rows).join(done.select("chunk_start"), "chunk_start", "left_semi")
+            fresh = fresh.join(stored.select(*key), key, "left_anti").select(*fresh.columns)
+        # Large chunks are split over tasks, small ones share one.
+        _replace_partitions(fresh.hint("rebalance", "chunk_start"), rows, "chunk_start")
+        counts = spark.read.schema(fresh.schema).parquet(rows).where(F.col("chunk_start").isin(starts)).groupBy("chunk_start").count()
+        held = dict(tuple(row) for row in counts.collect())
+        loaded = [(lo, hi, LOADED, held.get(lo, 0)) for lo, hi in chunks]
+        _replace_partitions(spark.createDataFrame(loaded, LEDGER), f"{folder}/ledger", "chunk_start")
+
+
+def backfill_rows(source: DataFrame, folder: str) -> DataFrame:
+    """What was loaded, with the chunk of each row; ``source`` names the columns."""
+    schema = T.StructType([*source.schema.fields, LEDGER["chunk_start"]])
+    return source.sparkSession.read.schema(schema).parquet(f"{folder}/rows")
+
+
 # -- streams ------------------------------------------------------------------
 
 
@@ -100,6 +198,65 @@ def drop_late_duplicates(stream: DataFrame, time: str, key: list[str]) -> DataFr
     return timed.withWatermark("_event_time", f"{OVERLAP_DAYS} day").dropDuplicatesWithinWatermark(key).drop("_event_time")
 
 
+def _overlap_table(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
+    extra = [T.StructField("load_day", T.DateType()), T.StructField("batch", T.IntegerType())]
+    return spark.read.schema(T.StructType([*schema.fields, *extra])).parquet(f"{folder}/{name}")
+
+
+def run_overlap_load(spark: SparkSession, stream: DataFrame, time: str, key: list[str], order: list[str]) -> str:
+    """Drain a feed whose rows may come late; returns the folder of its tables.
+
+    ``rows`` holds the first row stored per key. Rows more than the overlap
+    behind the newest time of earlier batches go to ``late``, from where
+    ``merge_late`` brings them in, so none is lost. A batch looks for its keys on
+    the days that it holds itself: it reads what the overlap spans, not the
+    table. Copies of a key must carry the same day. Rows without a time are never
+    late. A batch replaces its own partitions and compares with earlier batches
+    alone, so a replay writes the same again.
+    """
+    folder = scratch_path(spark, "overlap")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        late = F.lit(False)
+        if path_exists(spark, f"{folder}/marks"):
+            newest = spark.read.parquet(f"{folder}/marks").where(F.col("batch") < batch_id).select(F.max("newest")).scalar()
+            late = F.coalesce(F.col(time) < newest - F.expr(f"INTERVAL {OVERLAP_DAYS} DAY"), F.lit(False))
+        marked = batch.withColumns({"load_day": F.to_date(time), "batch": F.lit(batch_id), "_late": late}).persist()
+        try:
+            _replace_partitions(marked.where("_late").drop("_late"), f"{folder}/late", "load_day", "batch")
+            fresh = keep_first(marked.where("NOT _late").drop("_late"), key, order)
+            if path_exists(spark, f"{folder}/rows"):
+                stored = _overlap_table(spark, folder, "rows", batch.schema).where(in_partitions(marked, "load_day"))
+                fresh = fresh.join(stored.where(F.col("batch") != batch_id).select(*key), key, "left_anti")
+            _replace_partitions(fresh.select(*marked.drop("_late").columns), f"{folder}/rows", "load_day", "batch")
+            _replace_partitions(marked.groupBy("batch").agg(F.max(time).alias("newest")), f"{folder}/marks", "batch")
+        finally:
+            marked.unpersist()
+
+    drain(stream, write, scratch_path(spark, "stream"))
+    return folder
+
+
+def late_rows(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """Rows set aside as late, with the batch that brought them."""
+    return _overlap_table(spark, folder, "late", schema).drop("load_day")
+
+
+def merge_late(spark: SparkSession, folder: str, schema: T.StructType, key: list[str], order: list[str]) -> DataFrame:
+    """Bring late rows whose key is stored nowhere into the table, the earliest batch first; returns the table.
+
+    Only the days of late rows are read. They are stored under negative batch
+    numbers, so a repeated merge replaces what it wrote before.
+    """
+    late = _overlap_table(spark, folder, "late", schema)
+    rows = _overlap_table(spark, folder, "rows", schema)
+    known = rows.where((F.col("batch") >= 0) & in_partitions(late, "load_day")).select(*key)
+    fresh = keep_first(late, key, ["batch", *order]).join(known, key, "left_anti").withColumn("batch", -1 - F.col("batch"))
+    # What is written is cut from the table that it read.
+    _replace_partitions(checkpointed(fresh.select(*late.columns)), f"{folder}/rows", "load_day", "batch")
+    return _overlap_table(spark, folder, "rows", schema).drop("load_day", "batch")
+
+
 def tumbling_sales(stream: DataFrame, time: str, key: str, qty: str, delay: str = "1 day") -> DataFrame:
     """Daily totals as one-day windows, kept open for rows up to ``delay`` behind the newest."""
     return _windowed(stream, time, ["1 day"], key, qty, delay)

@@ -60,6 +60,65 @@ def _(r):
     return inc.run_insert_new(r.spark, stream, ["user_id", "event_type"], ["event_id"])
 
 
+LATE_HOURS = 72
+LATE_SQL = f"""span AS (SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS lo, CAST(floor(epoch(max(ts))) AS BIGINT) AS hi FROM events),
+  landed AS (SELECT event_id, user_id, ts, CAST(floor((CAST(floor(epoch(ts)) AS BIGINT) + CASE WHEN event_id % 7 = 0 THEN {LATE_HOURS * 3600} ELSE 0 END - lo)
+    / ((hi - lo + {LATE_HOURS * 3600}) // {FEED_FILES} + 1)) AS INTEGER) AS batch FROM events, span),
+  marks AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM landed GROUP BY batch)"""
+
+
+def overlap_load(r):
+    """Five files, every seventh row three days late."""
+    stream = feed(r, "event_id", "user_id", "ts", late_hours=LATE_HOURS)
+    return inc.run_overlap_load(r.spark, stream, "ts", ["event_id"], ["ts"]), stream.schema
+
+
+@query(
+    "T2_late_rows",
+    f"WITH {LATE_SQL} SELECT event_id, user_id, batch FROM landed JOIN marks USING (batch) WHERE ts < mark - INTERVAL 1 DAY",
+)
+def _(r):
+    folder, schema = overlap_load(r)
+    return inc.late_rows(r.spark, folder, schema).select("event_id", "user_id", "batch")
+
+
+@query("T2_late_rows_merged", "SELECT event_id, user_id, ts FROM events")
+def _(r):
+    folder, schema = overlap_load(r)
+    return inc.merge_late(r.spark, folder, schema, ["event_id"], ["ts"])
+
+
+BACKFILL_DAYS = 3
+BACKFILL_SQL = f"""b AS (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) + 1 AS hi FROM events),
+  r AS (SELECT event_id, event_type, ts, CAST(lo + CAST(floor((CAST(ts AS DATE) - lo) / {BACKFILL_DAYS}) AS INTEGER) * {BACKFILL_DAYS} AS DATE) AS chunk_start FROM events, b)"""
+
+
+def backfill(r):
+    """A run that breaks off after its first wave of three chunks, and one that goes on; every row is delivered twice."""
+    events = r.t("events", "event_id", "event_type", "ts")
+    source, folder = events.unionByName(events), scratch_path(r.spark, "backfill")
+    for waves in (1, None):
+        inc.run_backfill(source, folder, "ts", ["event_id"], ["event_type"], BACKFILL_DAYS, wave=3, waves=waves)
+    return source, folder
+
+
+@query("T3_backfill_rows", f"WITH {BACKFILL_SQL} SELECT * FROM r")
+def _(r):
+    return inc.backfill_rows(*backfill(r))
+
+
+@query(
+    "T3_backfill_ledger",
+    f"""WITH {BACKFILL_SQL}, s AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi - 1 AS TIMESTAMP), INTERVAL {BACKFILL_DAYS} DAY)) AS DATE) AS chunk_start, hi FROM b),
+      n AS (SELECT chunk_start, count(*) AS n FROM r GROUP BY 1)
+    SELECT s.chunk_start, CAST(least(s.chunk_start + {BACKFILL_DAYS}, hi) AS DATE) AS chunk_end, 'loaded' AS state, coalesce(n, 0) AS n
+    FROM s LEFT JOIN n ON n.chunk_start = s.chunk_start""",
+)
+def _(r):
+    _, folder = backfill(r)
+    return inc.backfill_ledger(r.spark, folder)
+
+
 @query(
     "T3_chunked_backfill",
     """WITH b AS (SELECT min(CAST(l_shipdate AS DATE)) AS lo, max(CAST(l_shipdate AS DATE)) + 1 AS hi FROM lineitem),
