@@ -100,6 +100,25 @@ def clean_stock(df: DataFrame) -> DataFrame:
     return out
 
 
+def _day(name: str) -> Column:
+    """A date, whatever the feed delivers it as; NULL where it is none."""
+    return F.try_to_timestamp(F.col(name).cast("string")).cast("date")
+
+
+def clean_open_pos(df: DataFrame, order: list[str]) -> DataFrame:
+    """Open purchase orders: one row per order and ingredient, malformed quantities 0, malformed dates NULL."""
+    out = text.strip_strings(df)
+    out = out.withColumns({"qty_ordered": numbers.coerce(F.col("qty_ordered"), 0), "expected_date": _day("expected_date")})
+    return keep_last(out, ["po_number", "ingredient"], order)
+
+
+def clean_receipts(df: DataFrame) -> DataFrame:
+    """Goods receipts: every row stays, malformed quantities 0, malformed dates NULL."""
+    out = text.strip_strings(df)
+    amounts = [c for c in ("qty_ordered", "qty_received") if c in out.columns]
+    return out.withColumns({**{c: numbers.coerce(F.col(c), 0) for c in amounts}, "received_date": _day("received_date")})
+
+
 def clean_vendors(df: DataFrame, order: list[str]) -> DataFrame:
     out = text.strip_strings(df).withColumns(
         {

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from larder.functions.dates import HOLIDAY_REACH_DAYS, HOLIDAYS
-from larder.operators.forecast import recent_mean
+from larder.operators.forecast import ewma, recent_mean
 from larder.operators.series import dense_panel
 
 SEASON = 7
@@ -148,7 +148,7 @@ def _frame(pdf: pd.DataFrame, future, level, name: str, accuracy) -> pd.DataFram
     )
 
 
-def _fit(pdf: pd.DataFrame, model: str, horizon: int) -> pd.DataFrame:
+def _fit(pdf: pd.DataFrame, model: str, horizon: int, seconds: float = SLOW_SECONDS) -> pd.DataFrame:
     pdf = pdf.dropna(subset=["date", "qty_sold"]).sort_values("date")
     if pdf.empty:
         return pd.DataFrame(columns=[c.split()[0] for c in OUTPUT.split(", ")])
@@ -168,7 +168,7 @@ def _fit(pdf: pd.DataFrame, model: str, horizon: int) -> pd.DataFrame:
         else:
             if len(y) < MIN_POINTS[model]:
                 raise ValueError("series too short")
-            level, fitted = additive_holiday(days, y, future)
+            level, fitted = additive_holiday(days, y, future, seconds=seconds)
             accuracy = _mape_accuracy(y, fitted)
         if not np.isfinite(level).all():
             raise ValueError("not finite")
@@ -177,13 +177,20 @@ def _fit(pdf: pd.DataFrame, model: str, horizon: int) -> pd.DataFrame:
         return _frame(pdf, future, np.full(horizon, y[-14:].mean()), "moving_average", None)
 
 
-def forecast_per_series(history: DataFrame, run_date, model: str, horizon: int = 30) -> DataFrame:
-    """Fit ``model`` to every series of ``history`` (sku, outlet, date, qty_sold) and forecast from ``run_date`` on."""
+def forecast_per_series(
+    history: DataFrame, run_date, model: str, horizon: int = 30, seconds: float = SLOW_SECONDS
+) -> DataFrame:
+    """Fit ``model`` to every series of ``history`` (sku, outlet, date, qty_sold) and forecast from ``run_date`` on.
+
+    Series too short for the regression, those it can't fit and those it works
+    on for more than ``seconds`` get their recent mean. Series too short for the
+    smoother get their exponentially weighted mean.
+    """
     if model not in ("seasonal_additive", "additive_holiday"):
         raise ValueError(model)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _fit(pdf, model, horizon)
+        return _fit(pdf, model, horizon, seconds)
 
     series = W.partitionBy("sku", "outlet")
     if model == "seasonal_additive":
@@ -194,8 +201,12 @@ def forecast_per_series(history: DataFrame, run_date, model: str, horizon: int =
     rows = sized.where(F.col("_points") >= MIN_POINTS[model]).withColumn("run_date", run_date).drop("_points")
     fitted = rows.groupBy("sku", "outlet").applyInPandas(fit, OUTPUT)
     # Series too short to fit never enter Python.
-    short = recent_mean(sized.where(F.col("_points") < MIN_POINTS[model]), ["sku", "outlet"])
-    return fitted.unionByName(flat_rows(short.withColumn("model_name", F.lit("moving_average")), run_date, horizon))
+    rest = sized.where(F.col("_points") < MIN_POINTS[model]).drop("_points")
+    if model == "seasonal_additive":
+        short = ewma(rest, ["sku", "outlet"]).withColumn("model_name", F.lit("weighted_mean"))
+    else:
+        short = recent_mean(rest, ["sku", "outlet"]).withColumn("model_name", F.lit("moving_average"))
+    return fitted.unionByName(flat_rows(short, run_date, horizon))
 
 
 def flat_rows(levels: DataFrame, run_date, horizon: int) -> DataFrame:

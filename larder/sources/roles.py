@@ -8,6 +8,7 @@ everything else grows, and Spark's size-checked threshold decides.
 
 from __future__ import annotations
 
+import copy
 import re
 from functools import cached_property
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larder.functions.dates import latest
 from larder.operators import forecast as fc
+from larder.session import scratch_path
 from larder.sources.tables import read_table
 
 FORECAST_CUT_DAYS = 30
@@ -33,6 +35,17 @@ class Roles:
         table = self._tables[name]
         return table.select(*columns) if columns else table
 
+    def sharing(self, *names: str) -> Roles:
+        """The same roles, those named written once to the shared scratch folder and read by every use."""
+        shared = copy.copy(self)
+        for name in names:
+            path = scratch_path(self.spark, f"role-{name}")
+            role = getattr(self, name)()
+            role.write.parquet(path)
+            stored = self.spark.read.schema(role.schema).parquet(path)
+            setattr(shared, name, lambda stored=stored: stored)
+        return shared
+
     # -- planning dates, each from one narrow scan ---------------------------
     @cached_property
     def ship_as_of(self) -> Column:

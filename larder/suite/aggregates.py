@@ -385,6 +385,7 @@ def recommendations(r):
       (SELECT count(*) FROM alert_log WHERE resolved = 0 AND severity = 'CRITICAL') AS critical_alerts_count""",
 )
 def _(r):
+    r = r.sharing("forecast", "open_pos")
     return reports.dashboard(
         r.daily_qty(since=r.forecast_cut), r.forecast(), recommendations(r), r.open_pos(), r.alert_log(),
         newest=r.ship_as_of, as_of=F.date_sub(r.ship_as_of, 7),

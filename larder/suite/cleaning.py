@@ -349,3 +349,55 @@ def _(r):
 )
 def _(r):
     return cl.missing_dates(r.t("lineitem", "l_shipdate", "l_quantity").where(F.col("l_quantity") >= 50), "l_shipdate")
+
+
+@query(
+    "B26_missing_dates_all",
+    """WITH present AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
+    SELECT CAST(g AS DATE) AS date FROM (SELECT unnest(generate_series(
+      CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS g FROM present)
+    WHERE CAST(g AS DATE) NOT IN (SELECT date FROM present)""",
+)
+def _(r):
+    """Days without any line; none in a complete history."""
+    return cl.missing_dates(r.t("lineitem", "l_shipdate"), "l_shipdate")
+
+
+@query(
+    "B12_clean_open_pos",
+    """SELECT po_number, ingredient, vendor, CASE WHEN CAST(po_number AS BIGINT) % 5 = 0 THEN 0.0 ELSE qty_ordered END AS qty_ordered,
+      CASE WHEN CAST(po_number AS BIGINT) % 3 > 0 THEN expected_date END AS expected_date, status FROM open_pos""",
+)
+def _(r):
+    """Open orders as text, delivered twice: the newer version wins, bad numbers count as 0 and bad dates as missing."""
+    return cl.clean_open_pos(pos_feed(r), ["version"]).drop("version")
+
+
+def pos_feed(r):
+    number = F.col("po_number").cast("bigint")
+    newest = r.open_pos().withColumns(
+        {
+            "qty_ordered": F.when(number % 5 == 0, "n/a").otherwise(F.concat(F.lit(" "), F.col("qty_ordered").cast("string"))),
+            "expected_date": F.when(number % 3 == 0, "soon").otherwise(F.col("expected_date").cast("string")),
+            "vendor": F.concat(F.lit("  "), F.col("vendor"), F.lit(" ")), "version": F.lit(2),
+        }
+    )
+    older = newest.withColumns({"version": F.lit(1), "status": F.lit("draft")})
+    return older.unionByName(newest)
+
+
+@query(
+    "B17_clean_receipts",
+    """SELECT grn_number, po_number, ingredient, CASE WHEN CAST(po_number AS BIGINT) % 4 > 0 THEN received_date END AS received_date,
+      CASE WHEN CAST(po_number AS BIGINT) % 5 = 0 THEN 0.0 ELSE qty_received END AS qty_received FROM grn_log""",
+)
+def _(r):
+    number = F.col("po_number").cast("bigint")
+    raw = r.grn_log().withColumns(
+        {
+            "ingredient": F.concat("ingredient", F.lit(" ")),
+            "received_date": F.when(number % 4 > 0, F.col("received_date").cast("string")).otherwise("?"),
+            "qty_received": F.when(number % 5 > 0, F.col("qty_received").cast("string")).otherwise("-"),
+        }
+    )
+    return cl.clean_receipts(raw)

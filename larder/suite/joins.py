@@ -111,6 +111,16 @@ def _(r):
     return joins.vendor_left(r.kitchen_stock().select("ingredient").distinct(), known)
 
 
+@query(
+    "C7_vendor_left_all",
+    """SELECT k.ingredient, coalesce(vendor_name, 'Unknown Vendor') AS vendor_name, CAST(coalesce(lead_time_days, 7) AS INTEGER) AS lead_time_days,
+      coalesce(moq, 1.0) AS moq, coalesce(price, 0.0) AS price
+    FROM (SELECT DISTINCT ingredient FROM kitchen_stock) k LEFT JOIN vendor_master v ON v.ingredient = k.ingredient""",
+)
+def _(r):
+    return joins.vendor_left(r.kitchen_stock().select("ingredient").distinct(), r.vendor_master())
+
+
 @query(
     "C8_tracked_semi",
     "SELECT sku_code, date, outlet, qty_sold FROM sales_fine WHERE sku_code IN (SELECT code FROM tracker) AND date >= (SELECT d - 30 FROM ship_day)",

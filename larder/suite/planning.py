@@ -110,6 +110,12 @@ def _(r):
     return listed.select("ingredient", "vendor_name", "urgency", "recommended_qty")
 
 
+@query("P8_procurement_listing_all", f"WITH {PROCUREMENT_SQL} SELECT ingredient, vendor_name, urgency, recommended_qty FROM recs")
+def _(r):
+    """Every recommendation, without a filter."""
+    return procurement.listing(recommendations(r)).select("ingredient", "vendor_name", "urgency", "recommended_qty")
+
+
 @query(
     "P9_supply_plan",
     f"""WITH {SUPPLY_SQL}, s AS (SELECT *, round(greatest(forecast_3day + safety_stock_qty - stock_qty, 0.0), 2) AS replenishment_needed FROM plan)
@@ -237,6 +243,7 @@ def _(r):
       UNION ALL SELECT * FROM a6 UNION ALL SELECT * FROM a9)""",
 )
 def _(r):
+    r = r.sharing("demand", "kitchen_stock", "open_pos")
     rules = [rule(r) for rule in (stockout, low, overdue, spike, no_recipe, lead)]
     return alerts.stamped(alerts.union(rules), r.ship_as_of).drop("alert_id", "resolved_at")
 
@@ -256,6 +263,20 @@ def _(r):
     return alerts.suppress_known(fresh, known).select("alert_id", "alert_type", "sku", "outlet", "ingredient")
 
 
+@query(
+    "P18_alert_dedup_all",
+    """WITH known AS (SELECT DISTINCT alert_type, sku, outlet, ingredient FROM alert_log WHERE resolved = 0 AND CAST(created_at AS DATE) < (SELECT d - 5 FROM event_day))
+    SELECT alert_id, alert_type, sku, outlet, ingredient FROM alert_log WHERE CAST(created_at AS DATE) >= (SELECT d - 5 FROM event_day)
+      AND (alert_type, sku, outlet, ingredient) NOT IN (SELECT (alert_type, sku, outlet, ingredient) FROM known)""",
+)
+def _(r):
+    """The last days' alerts against every earlier one."""
+    log = r.alert_log()
+    fresh = F.to_date("created_at") >= F.date_sub(r.event_as_of, 5)
+    new = alerts.suppress_known(log.where(fresh), log.where(~fresh))
+    return new.select("alert_id", "alert_type", "sku", "outlet", "ingredient")
+
+
 @query(
     "P19_alert_listing",
     """SELECT alert_id, alert_type, severity, outlet, created_at FROM alert_log WHERE resolved = 0
@@ -317,6 +338,16 @@ def _(r):
     return recipes.exact_alias_match(r.pos_order_items(), dishes)
 
 
+@query(
+    "P24_exact_alias_match_all",
+    """SELECT item_name AS pos_name, CAST(NULL AS VARCHAR) AS pos_option, item_name AS recipe_name, CAST(1.0 AS DOUBLE) AS multiplier,
+      'high' AS confidence FROM (SELECT DISTINCT item_name FROM pos_order_items WHERE item_name IN (SELECT p_name FROM part))""",
+)
+def _(r):
+    """All item names against the names of the whole recipe book."""
+    return recipes.exact_alias_match(r.pos_order_items(), r.t("part", "p_name").select(F.col("p_name").alias("dish_name")))
+
+
 def dims(r):
     feed = r.sales_lines().select(
         "sku_code", F.col("p_name").alias("sku"), F.col("store_name").alias("outlet"), "city", "date", "l_orderkey"

@@ -117,6 +117,23 @@ def _(r):
     return series_models.forecast_per_series(r.history(), r.ship_as_of, "seasonal_additive", 14)
 
 
+@query(
+    "E10_weighted_mean_branch",
+    """WITH h AS (SELECT * FROM hist_coarse WHERE date >= (SELECT d - 10 FROM ship_day)),
+      b AS (SELECT sku, outlet, min(date) AS lo, max(date) AS hi FROM h GROUP BY sku, outlet),
+      g AS (SELECT sku, outlet, hi, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM b),
+      x AS (SELECT g.sku, g.outlet, hi - g.date AS k, coalesce(h.qty_sold, 0.0) AS q FROM g LEFT JOIN h
+        ON h.sku = g.sku AND h.outlet = g.outlet AND h.date = g.date),
+      e AS (SELECT sku, outlet, sum(q * pow(0.75, k)) / sum(pow(0.75, k)) AS level FROM x GROUP BY sku, outlet)
+    SELECT sku, outlet, CAST((SELECT d FROM ship_day) + CAST(i AS INTEGER) AS DATE) AS forecast_date, round(level, 2) AS qty_predicted,
+      'weighted_mean' AS model_name FROM e, range(1, 15) t(i)""",
+)
+def _(r):
+    """Ten days are too few for the smoother: the weighted mean stands in."""
+    short = series_models.forecast_per_series(r.history(days=10), r.ship_as_of, "seasonal_additive", 14)
+    return short.select("sku", "outlet", "forecast_date", "qty_predicted", "model_name")
+
+
 @query(
     "E11_resample_daily",
     """WITH h AS (SELECT * FROM sales_mid WHERE date >= (SELECT d - 365 FROM ship_day)),
@@ -258,6 +275,33 @@ def _(r):
     return series_models.forecast_per_series(r.history("mid", days=60), r.ship_as_of, "additive_holiday", 7)
 
 
+@query("E19_group_fallback_year")
+def _(r):
+    """A year of brand sales: long series are fitted, the others fall back."""
+    return series_models.forecast_per_series(r.history("mid"), r.ship_as_of, "additive_holiday", 7)
+
+
+@query(
+    "E19_averaged_branches",
+    """WITH h AS (SELECT * FROM sales_mid WHERE date >= (SELECT d - 365 FROM ship_day) AND (sku LIKE '%1' OR sku LIKE '%3'
+        OR (sku LIKE '%2' AND date >= (SELECT d - 20 FROM ship_day)))),
+      n AS (SELECT *, row_number() OVER (PARTITION BY sku, outlet ORDER BY date DESC) AS rn FROM h),
+      m AS (SELECT sku, outlet, avg(qty_sold) AS q FROM n WHERE rn <= 14 GROUP BY sku, outlet)
+    SELECT sku, outlet, CAST((SELECT d FROM ship_day) + CAST(k AS INTEGER) AS DATE) AS forecast_date, round(q, 2) AS qty_predicted,
+      'moving_average' AS model_name FROM m, range(1, 8) t(k)""",
+)
+def _(r):
+    """Series that a fit fails on (an infinite day), that are short, and that are out of time: all get their recent mean."""
+    history = r.history("mid").select("sku", "outlet", "date", "qty_sold")
+    fails, short, slow = (F.col("sku").endswith(end) for end in "123")
+    long = history.where(fails).groupBy("sku", "outlet").agg(F.count("*").alias("n")).where(F.col("n") >= 30)
+    broken = long.select("sku", "outlet", F.date_sub(r.ship_as_of, 400).alias("date"), F.lit(float("inf")).alias("qty_sold"))
+    cut = history.where(fails | (short & (F.col("date") >= F.date_sub(r.ship_as_of, 20))))
+    out = series_models.forecast_per_series(cut.unionByName(broken), r.ship_as_of, "additive_holiday", 7)
+    late = series_models.forecast_per_series(history.where(slow), r.ship_as_of, "additive_holiday", 7, seconds=0)
+    return out.unionByName(late).select("sku", "outlet", "forecast_date", "qty_predicted", "model_name")
+
+
 @query(
     "E20_state_dwell_time",
     """SELECT user_id, event_id, event_type AS from_state, to_state, CAST(date_diff('second', ts, nxt) AS BIGINT) AS dwell_seconds FROM (
