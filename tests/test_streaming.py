@@ -107,3 +107,69 @@ def test_reload_of_an_empty_sink_takes_everything(spark):
     empty = batch.limit(0)
     assert inc.newer_than(batch, "ts", empty.select(F.max("ts")).scalar()).count() == batch.count()
     assert inc.overlap_reload(batch, empty, "ts", ["event_id"], ["ts"]).count() == 200
+
+
+def timed(spark, rows_):
+    return spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(days=d), n) for i, d, n in rows_], "id long, ts timestamp_ntz, note string")
+
+
+def load(source, folder, **more):
+    inc.run_backfill(source, folder, "ts", ["id"], ["note"], days=5, wave=2, **more)
+
+
+def test_a_broken_backfill_goes_on_and_equals_one_load(spark):
+    source = timed(spark, [(i, (i * 7) % 33, "b") for i in range(60)] + [(i, (i * 7) % 33, "a") for i in range(0, 60, 3)])
+    broken, whole = scratch_path(spark, "backfill"), scratch_path(spark, "backfill")
+    load(source, broken, waves=1)
+    states = [r.state for r in inc.backfill_ledger(spark, broken).orderBy("chunk_start").collect()]
+    assert states == ["loaded"] * 2 + ["planned"] * 5
+    load(source, broken)
+    load(source, whole)
+    got, want = inc.backfill_rows(source, broken), inc.backfill_rows(source, whole)
+    assert rows(got) == rows(want) and got.count() == 60 and got.where("note = 'a'").count() == 20
+    assert rows(inc.backfill_ledger(spark, broken)) == rows(inc.backfill_ledger(spark, whole))
+    assert inc.plan_backfill(source, broken, "ts", 5) == []
+
+
+def test_newer_days_extend_the_last_chunk_and_loaded_ones_are_left_alone(spark):
+    folder = scratch_path(spark, "backfill")
+    load(timed(spark, [(1, 0, "x"), (2, 6, "x")]), folder)
+    # The source has changed inside a loaded chunk: not read again. Day 9 moves the end of the last one, day -3 is older than the first.
+    grown = timed(spark, [(1, 0, "changed"), (2, 6, "x"), (3, 9, "x"), (4, 12, "x"), (5, -3, "x")])
+    load(grown, folder)
+    assert sorted((r.id, r.note) for r in inc.backfill_rows(grown, folder).collect()) == [(1, "x"), (2, "x"), (3, "x"), (4, "x"), (5, "x")]
+    ends = [(str(r.chunk_start), str(r.chunk_end), r.n) for r in inc.backfill_ledger(spark, folder).orderBy("chunk_start").collect()]
+    assert ends == [("2023-12-27", "2024-01-01", 1), ("2024-01-01", "2024-01-06", 1), ("2024-01-06", "2024-01-11", 2), ("2024-01-11", "2024-01-14", 1)]
+
+
+def test_a_key_that_moves_between_chunks_stays_in_the_first(spark):
+    source, folder = timed(spark, [(1, 0, "x"), (1, 11, "y"), (2, 12, "x"), (1, 22, "z")]), scratch_path(spark, "backfill")
+    load(source, folder, key_moves=True)
+    assert sorted((r.id, r.note) for r in inc.backfill_rows(source, folder).collect()) == [(1, "x"), (2, "x")]
+
+
+def test_backfill_of_nothing(spark):
+    folder, empty = scratch_path(spark, "backfill"), timed(spark, [(1, 0, "x")]).limit(0)
+    load(empty, folder)
+    assert inc.plan_backfill(empty, folder, "ts", 5) == []
+
+
+def test_late_rows_wait_in_a_side_table_and_none_is_lost(spark):
+    """Four files: redelivered rows, rows late by days, one late row of a stored key and one late twice."""
+    base, folder = dt.datetime(2024, 1, 1), scratch_path(spark, "feed")
+    row = lambda i, day: (i, base + dt.timedelta(days=day), 1, "view", float(i))
+    files = [
+        [row(1, 0), row(2, 1), row(2, 1)],
+        [row(3, 4), row(2, 1)],  # a day behind is still in time
+        [row(4, 6), row(5, 2), row(1, 0)],  # 5 is late, 1 late and stored
+        [row(6, 7), row(5, 2), row(7, 3), (8, None, 1, "view", 8.0)],
+    ]
+    for rows_ in files:
+        spark.createDataFrame(rows_, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    source = stream(spark, folder)
+    out = inc.run_overlap_load(spark, source, "ts", ["event_id"], ["ts"])
+    late = inc.late_rows(spark, out, source.schema)
+    assert sorted((r.event_id, r.batch) for r in late.collect()) == [(1, 2), (5, 2), (5, 3), (7, 3)]
+    for _ in range(2):  # a repeated merge changes nothing
+        merged = inc.merge_late(spark, out, source.schema, ["event_id"], ["ts"])
+        assert sorted(r.event_id for r in merged.collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
