@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larder.operators import accuracy, forecast as fc, learned, purchasing, recipes as rc
+from larder.functions import units
+from larder.operators import accuracy, cleaning, forecast as fc, learned, purchasing, recipes as rc
 from larder.plans import alerts, procurement, reports, supply, variance
 from larder.session import checkpointed
-from larder.sources.sinks import path_exists, replace_path, report_json
+from larder.sources.sinks import path_exists, publish, read_published, report_json
 
 LOOKBACK_DAYS = 365
 
@@ -37,10 +38,67 @@ class Inputs:
     vendors: DataFrame
 
 
-def _publish(df: DataFrame, folder: str, name: str) -> DataFrame:
+@dataclass(frozen=True)
+class Feeds:
+    """Tables as their sources deliver them: numbers and dates as text, stray blanks, any unit, repeated versions of a row.
+
+    Every feed has the column ``version``; of the versions of a row the highest counts.
+    """
+
+    orders: DataFrame  # order_id, created_at (UTC text), status, store_name
+    items: DataFrame  # id, order_id, item_name, option_names, quantity
+    stock: DataFrame  # snapshot_time, kitchen, location, ingredient, qty_available, unit
+    pos: DataFrame  # po_number, ingredient, vendor, qty_ordered, expected_date, status
+    receipts: DataFrame  # grn_number, po_number, ingredient, received_date, qty_received
+    vendors: DataFrame  # ingredient, vendor_name, lead_time_days, moq, price
+
+
+VERSION = ["version"]
+
+
+def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Store ``df`` as a new version of a table of the run and read it back."""
     path = f"{folder}/{name}"
-    replace_path(df, path)
-    return df.sparkSession.read.parquet(path)
+    publish(df, path)
+    return read_published(df.sparkSession, path)
+
+
+def clean_feeds(feeds: Feeds) -> dict[str, DataFrame]:
+    """The fields of :class:`Inputs` that come from feeds: cleaned, one row per key, stock in g or ml."""
+    orders = cleaning.clean_orders(feeds.orders, VERSION).select(
+        F.col("order_id").alias("id"), F.to_date("created_at").alias("order_date"), "store_name"
+    )
+    items = cleaning.clean_items(feeds.items, VERSION).drop("id")  # orders have the other ``id``
+    # Aliases tell items without an option by NULL.
+    items = items.withColumn("option_names", F.nullif(F.col("option_names"), F.lit("")))
+    key = ["snapshot_time", "kitchen", "location", "ingredient"]
+    stock = cleaning.clean_stock(cleaning.keep_last(feeds.stock, key, VERSION))
+    qty, unit = units.standardise(F.col("qty_available"), F.col("unit"), F.col("ingredient"))
+    cleaned = {
+        "orders": orders,
+        "items": items,
+        "stock": stock.withColumns({"qty_available": qty, "unit": unit}),
+        "pos": cleaning.clean_open_pos(feeds.pos, VERSION),
+        "receipts": cleaning.clean_receipts(cleaning.keep_last(feeds.receipts, ["grn_number"], VERSION)),
+        "vendors": cleaning.clean_vendors(feeds.vendors, VERSION),
+    }
+    return {name: df.drop(*VERSION) for name, df in cleaned.items()}
+
+
+def load_feeds(feeds: Feeds, folder: str) -> dict[str, DataFrame]:
+    """Clean and convert the feeds, store each as a new version of its table, and return the stored tables."""
+    return {name: stored(df, folder, f"clean_{name}") for name, df in clean_feeds(feeds).items()}
+
+
+def run_from_feeds(
+    feeds: Feeds, tables: dict[str, DataFrame], folder: str, as_of: Column, order_day: Column, **options
+) -> dict[str, DataFrame]:
+    """Load the feeds, then run every planning step on what was stored.
+
+    ``tables`` holds the fields of :class:`Inputs` that no feed delivers; aliases
+    must be spelled as ``normalise_name`` does.
+    """
+    return run(Inputs(**load_feeds(feeds, folder), **tables), folder, as_of, order_day, **options)
 
 
 def forecasts(inputs: Inputs, as_of: Column, model: str, horizon: int, **params) -> DataFrame:
@@ -87,7 +145,7 @@ def run(
     Accuracy compares the days up to ``as_of`` with what earlier runs forecast.
     """
     out: dict[str, DataFrame] = {}
-    out["fact_forecast"] = _publish(forecasts(inputs, as_of, model, horizon, **params), folder, "fact_forecast")
+    out["fact_forecast"] = stored(forecasts(inputs, as_of, model, horizon, **params), folder, "fact_forecast")
     known = keep_forecasts(out["fact_forecast"], folder)
 
     recent = F.col("order_date").between(F.date_sub(order_day, variance.WINDOW_DAYS - 1), order_day)
@@ -95,14 +153,14 @@ def run(
         inputs.items, inputs.orders.where(recent), inputs.alias, inputs.recipes, inputs.skus, inputs.ingredients
     )
     used = inputs.usage.where(F.col("date").between(F.date_sub(order_day, variance.WINDOW_DAYS - 1), order_day))
-    out["fact_variance"] = _publish(variance.report(expected, rc.actual_usage(used)), folder, "fact_variance")
+    out["fact_variance"] = stored(variance.report(expected, rc.actual_usage(used)), folder, "fact_variance")
 
-    demand = _publish(fc.ingredient_demand(out["fact_forecast"]), folder, "fact_ingredient_demand")
+    demand = stored(fc.ingredient_demand(out["fact_forecast"]), folder, "fact_ingredient_demand")
     out["fact_ingredient_demand"] = demand
-    out["warehouse_plan"] = _publish(
+    out["warehouse_plan"] = stored(
         supply.warehouse_plan(fc.demand_total(demand), inputs.stock), folder, "warehouse_plan"
     )
-    recs = _publish(procurement.plan(demand, inputs.stock, inputs.pos, inputs.vendors, as_of), folder, "fact_procurement")
+    recs = stored(procurement.plan(demand, inputs.stock, inputs.pos, inputs.vendors, as_of), folder, "fact_procurement")
     out["fact_procurement"] = recs
 
     week_ahead = F.col("forecast_date").between(as_of, F.date_add(as_of, 7))
@@ -138,5 +196,5 @@ def run(
         "reports_vendor": (purchasing.vendor_delays(inputs.pos, as_of), ["vendor"]),
     }
     payloads = [report_json(df, name, order, as_of) for name, (df, order) in cached.items()]
-    out["app_cache"] = _publish(alerts.union(payloads), folder, "app_cache")
+    out["app_cache"] = stored(alerts.union(payloads), folder, "app_cache")
     return out

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from larder.functions.numbers import moq_round_up
 from larder.operators import forecast as fc, purchasing, recipes
-from larder.plans import alerts, procurement, reports, supply, variance
+from larder.plans import alerts, nightly, procurement, reports, supply, variance
+from larder.session import scratch_path
 from larder.suite.aggregates import PROCUREMENT_SQL, WAREHOUSE_SQL, recommendations
 from larder.suite.joins import EXPECTED_SQL, SUPPLY_SQL
 from larder.suite.registry import query
@@ -89,6 +90,55 @@ def _(r):
     return recommendations(r)
 
 
+FED_SQL = "fed_stock AS (SELECT * FROM kitchen_stock WHERE qty_available >= 0)"
+
+
+def feeds(r):
+    """The roles as feeds deliver them: text, kilograms, stray blanks, and an older version of every third row."""
+
+    def delivered(df, wrong, **changes):
+        newest = df.withColumns({**changes, "version": F.lit(2)})
+        older = newest.withColumns({wrong: F.lit("7"), "version": F.lit(1)})
+        return newest.unionByName(older.where(F.abs(F.hash(*df.columns)) % 3 == 0))
+
+    def as_text(name):
+        return F.concat(F.lit(" "), F.col(name).cast("string"), F.lit("  "))
+
+    stock = r.kitchen_stock().withColumn("snapshot_time", F.concat(F.col("snapshot_date").cast("string"), F.lit(" 21:30:00"))).drop("snapshot_date")
+    orders = r.pos_orders().select(
+        F.col("id").alias("order_id").cast("string"), F.date_format("created_at_ist", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+        F.lit("Delivered").alias("status"), "store_name",
+    )
+    items = r.t("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity").join(
+        r.t("part", "p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")
+    ).select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"),
+        F.col("l_orderkey").cast("string").alias("order_id"), F.upper("p_name").alias("item_name"),
+        F.col("l_returnflag").alias("option_names"), F.col("l_quantity").alias("quantity"),
+    )
+    return nightly.Feeds(
+        orders=delivered(orders, "store_name"),
+        items=delivered(items, "quantity", quantity=as_text("quantity")),
+        stock=delivered(
+            stock, "qty_available", unit=F.lit("Kg."), qty_available=(F.col("qty_available") / 1000).cast("string")
+        ),
+        pos=delivered(r.open_pos(), "vendor", qty_ordered=as_text("qty_ordered"), expected_date=as_text("expected_date")),
+        receipts=delivered(r.grn_log(), "ingredient", qty_received=as_text("qty_received"), received_date=as_text("received_date")),
+        vendors=delivered(
+            r.vendor_master(), "price", lead_time_days=as_text("lead_time_days"), moq=as_text("moq"), price=as_text("price")
+        ),
+    )
+
+
+@query("P6_plan_from_feeds", f"WITH {FED_SQL}, {PROCUREMENT_SQL.replace('kitchen_stock', 'fed_stock')} SELECT * FROM recs")
+def _(r):
+    """Stock, orders and vendors cleaned, converted and stored, then planned from what was stored."""
+    folder = scratch_path(r.spark, "loaded")
+    cleaned = nightly.clean_feeds(feeds(r))
+    stock, pos, vendors = (nightly.stored(cleaned[name], folder, name) for name in ("stock", "pos", "vendors"))
+    return procurement.plan(r.demand(), stock, pos, vendors, r.ship_as_of)
+
+
 @query(
     "P7_moq_round_up",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, CASE WHEN l_quantity - 5 <= 0 THEN 0.0
