@@ -157,6 +157,8 @@ def _fit(pdf: pd.DataFrame, model: str, horizon: int, seconds: float = SLOW_SECO
     run = np.datetime64(pdf["run_date"].iloc[0], "D")
     future = run + np.arange(1, horizon + 1)
     try:
+        if not np.isfinite(y).all():
+            raise ValueError("not finite")
         if model == "seasonal_additive":
             filled = dense(days, y)
             if len(filled) < MIN_POINTS[model]:
