@@ -180,13 +180,13 @@ def _fit(pdf: pd.DataFrame, model: str, horizon: int, seconds: float = SLOW_SECO
 
 
 def forecast_per_series(
-    history: DataFrame, run_date, model: str, horizon: int = 30, seconds: float = SLOW_SECONDS
+    history: DataFrame, run_date, model: str, horizon: int = 30, seconds: float = SLOW_SECONDS, weighted: bool = False
 ) -> DataFrame:
     """Fit ``model`` to every series of ``history`` (sku, outlet, date, qty_sold) and forecast from ``run_date`` on.
 
-    Series too short for the regression, those it can't fit and those it works
-    on for more than ``seconds`` get their recent mean. Series too short for the
-    smoother get their exponentially weighted mean.
+    Series too short for the model, those it can't fit and those the regression
+    works on for more than ``seconds`` get their recent mean; with ``weighted``
+    the short ones get their exponentially weighted mean instead.
     """
     if model not in ("seasonal_additive", "additive_holiday"):
         raise ValueError(model)
@@ -204,7 +204,7 @@ def forecast_per_series(
     fitted = rows.groupBy("sku", "outlet").applyInPandas(fit, OUTPUT)
     # Series too short to fit never enter Python.
     rest = sized.where(F.col("_points") < MIN_POINTS[model]).drop("_points")
-    if model == "seasonal_additive":
+    if weighted:
         short = ewma(rest, ["sku", "outlet"]).withColumn("model_name", F.lit("weighted_mean"))
     else:
         short = recent_mean(rest, ["sku", "outlet"]).withColumn("model_name", F.lit("moving_average"))

@@ -130,7 +130,7 @@ def _(r):
 )
 def _(r):
     """Ten days are too few for the smoother: the weighted mean stands in."""
-    short = series_models.forecast_per_series(r.history(days=10), r.ship_as_of, "seasonal_additive", 14)
+    short = series_models.forecast_per_series(r.history(days=10), r.ship_as_of, "seasonal_additive", 14, weighted=True)
     return short.select("sku", "outlet", "forecast_date", "qty_predicted", "model_name")
 
 
