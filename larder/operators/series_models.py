@@ -23,7 +23,7 @@ SEASON = 7
 MIN_POINTS = {"seasonal_additive": 14, "additive_holiday": 30}
 #: Candidate trend bends, the scale of their Laplace prior and that of the effects' normal one: fixed values.
 BENDS, BEND_SCALE, EFFECT_SCALE = 25, 0.05, 10.0
-SLOW_SECONDS = 15.0
+ROUNDS, SLOW_SECONDS = 60, 15.0
 OUTPUT = (
     "sku string, outlet string, forecast_date date, qty_predicted double, qty_lower double, qty_upper double, "
     "model_name string, accuracy double"
@@ -88,7 +88,7 @@ def holiday_columns(days: pd.DatetimeIndex) -> np.ndarray:
 
 
 def additive_holiday(
-    days: np.ndarray, y: np.ndarray, future: np.ndarray, rounds: int = 60, seconds: float = SLOW_SECONDS
+    days: np.ndarray, y: np.ndarray, future: np.ndarray, rounds: int = ROUNDS, seconds: float = SLOW_SECONDS
 ) -> tuple[np.ndarray, np.ndarray]:
     """Trend with few bends, weekday effects, and an effect per holiday and day offset: (forecast, fitted).
 
@@ -170,7 +170,7 @@ def _fit(pdf: pd.DataFrame, model: str, horizon: int, seconds: float = SLOW_SECO
         else:
             if len(y) < MIN_POINTS[model]:
                 raise ValueError("series too short")
-            level, fitted = additive_holiday(days, y, future, seconds=seconds)
+            level, fitted = additive_holiday(days, y, future, ROUNDS, seconds)
             accuracy = _mape_accuracy(y, fitted)
         if not np.isfinite(level).all():
             raise ValueError("not finite")
