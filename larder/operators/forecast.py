@@ -98,8 +98,7 @@ def active_combos(recent: DataFrame) -> DataFrame:
     return recent.groupBy("sku", "outlet").agg(F.sum("qty_sold").alias("qty")).where(F.col("qty") > 0)
 
 
-def top_combos(recent: DataFrame, k: int = 100) -> DataFrame:
-    return (
-        recent.groupBy("sku", "outlet").agg(F.sum("qty_sold").alias("qty"))
-        .orderBy(F.col("qty").desc(), "sku", "outlet").limit(k)
-    )
+def top_combos(recent: DataFrame, k: int | None = 100) -> DataFrame:
+    """The ``k`` series that sold most, ties by name; with None every series that sold."""
+    sold = recent.groupBy("sku", "outlet").agg(F.sum("qty_sold").alias("qty"))
+    return sold if k is None else sold.orderBy(F.col("qty").desc(), "sku", "outlet").limit(k)

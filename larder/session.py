@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +50,42 @@ def scratch_root(spark: SparkSession) -> str:
     return path
 
 
+_SCOPES: list[str] = []
+
+
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/larder/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared scratch location."""
-    return f"{scratch_root(spark)}/larder/{label}-{uuid.uuid4().hex}"
+    return "/".join([_own_scratch(spark), *_SCOPES, f"{label}-{uuid.uuid4().hex}"])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving all scratch tables made inside, by any thread; results must be consumed or stored before.
+
+    Scopes may be nested, but must not overlap in time otherwise. Checkpoints
+    are Spark's own: ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    _SCOPES.append(f"scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        folder = "/".join([_own_scratch(spark), *_SCOPES])
+        _SCOPES.pop()
+        _delete(spark, folder)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table of this application, and those of no other one."""
+    _delete(spark, _own_scratch(spark))
 
 
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:

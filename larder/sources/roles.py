@@ -12,11 +12,12 @@ import copy
 import re
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from larder.functions.dates import latest
 from larder.operators import forecast as fc
 from larder.session import scratch_path
+from larder.sources import facts
 from larder.sources.tables import read_table
 
 FORECAST_CUT_DAYS = 30
@@ -27,6 +28,7 @@ class Roles:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._tables: dict[str, DataFrame] = {}
+        self._fact: tuple[str, T.StructType] | None = None
 
     def t(self, name: str, *columns: str) -> DataFrame:
         # One file listing and footer read per table, however often a plan scans it.
@@ -46,6 +48,21 @@ class Roles:
             setattr(shared, name, lambda stored=stored: stored)
         return shared
 
+    def by_month(self) -> Roles:
+        """The same roles, with the daily fact stored once by month and windows of days read through its partitions.
+
+        Quantities at every grain and the fine rows come from the fact, as does
+        the planning date; the other grains' revenue and order counts, which
+        don't add up from it, stay derived from the lines.
+        """
+        path, fact = scratch_path(self.spark, "daily-fact"), self.daily_fact()
+        facts.store_fact(fact, path)
+        shared = copy.copy(self)
+        shared._fact = path, fact.schema
+        shared.__dict__["ship_as_of"] = latest(facts.read_fact(self.spark, path, fact.schema), "date")
+        shared.__dict__.pop("forecast_cut", None)
+        return shared
+
     # -- planning dates, each from one narrow scan ---------------------------
     @cached_property
     def ship_as_of(self) -> Column:
@@ -132,18 +149,34 @@ class Roles:
         parts = self.t("part", "p_partkey", "p_name", "p_type", "p_brand")
         return self._sold_lines(since, until).join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
 
+    def daily_fact(self, since: Column | None = None, until: Column | None = None) -> DataFrame:
+        """Sales by day, part, nation and brand, codes only.
+
+        Lines are first reduced to one row per order, for which the join with
+        the orders has already placed them, so orders are counted without a
+        distinct; names are joined to the sums, not to the lines.
+        """
+        if self._fact is not None:
+            return facts.read_fact(self.spark, *self._fact, since, until)
+        keys = ["date", "sku_code", F.col("store_name").alias("outlet"), F.col("brand_name").alias("brand")]
+        per_order = self._sold_lines(since, until).groupBy("l_orderkey", *keys).agg(
+            F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("price")
+        )
+        return per_order.groupBy("date", "sku_code", "outlet", "brand").agg(
+            F.sum("qty").alias("qty_sold"), F.round(F.sum("price"), 2).alias("revenue"), F.count("*").alias("order_count")
+        )
+
     def daily_sales(self, grain: str = "coarse", since: Column | None = None, until: Column | None = None) -> DataFrame:
         """Sales by day. coarse: type x region, mid: brand x region, fine: part x nation."""
-        lines = self.sales_lines(since, until)
-        keys = {
-            "coarse": [F.col("p_type").alias("sku"), F.col("city").alias("outlet")],
-            "mid": [F.col("p_brand").alias("sku"), F.col("city").alias("outlet")],
-            "fine": [
-                "sku_code", F.col("p_name").alias("sku"), F.col("store_name").alias("outlet"),
-                F.col("brand_name").alias("brand"), "city",
-            ],
-        }[grain]
-        return lines.groupBy("date", *keys).agg(
+        if grain == "fine":
+            parts = self.t("part", "p_partkey", "p_name").select(
+                F.col("p_partkey").cast("string").alias("sku_code"), F.col("p_name").alias("sku")
+            )
+            places = self.places().select(F.col("store_name").alias("outlet"), "city")
+            named = self.daily_fact(since, until).join(parts, "sku_code").join(places, "outlet")
+            return named.select("date", "sku_code", "sku", "outlet", "brand", "city", "qty_sold", "revenue", "order_count")
+        sku = {"coarse": "p_type", "mid": "p_brand"}[grain]
+        return self.sales_lines(since, until).groupBy("date", F.col(sku).alias("sku"), F.col("city").alias("outlet")).agg(
             F.sum("l_quantity").alias("qty_sold"),
             F.round(F.sum("l_extendedprice"), 2).alias("revenue"),
             F.countDistinct("l_orderkey").alias("order_count"),
@@ -155,11 +188,17 @@ class Roles:
         At the fine grain the item is the line's own part key, so the part
         table, and the shuffle to reach it, is left out.
         """
-        if grain == "fine":
-            lines, sku, outlet = self._sold_lines(since, until), "sku_code", "store_name"
+        if self._fact is not None:
+            lines = self.daily_fact(since, until).select(
+                "date", "sku_code", F.col("outlet").alias("store_name"), F.col("qty_sold").alias("l_quantity")
+            )
+            if grain != "fine":
+                parts = self.t("part", "p_partkey", "p_type", "p_brand").withColumn("sku_code", F.col("p_partkey").cast("string"))
+                lines = lines.join(parts, "sku_code").join(self.places(), "store_name")
         else:
-            lines, outlet = self.sales_lines(since, until), "city"
-            sku = {"coarse": "p_type", "mid": "p_brand"}[grain]
+            lines = self._sold_lines(since, until) if grain == "fine" else self.sales_lines(since, until)
+        sku = {"coarse": "p_type", "mid": "p_brand", "fine": "sku_code"}[grain]
+        outlet = "store_name" if grain == "fine" else "city"
         return lines.groupBy("date", F.col(sku).alias("sku"), F.col(outlet).alias("outlet")).agg(
             F.sum("l_quantity").alias("qty_sold")
         )

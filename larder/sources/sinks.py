@@ -8,13 +8,14 @@ folder before the target is overwritten.
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from larder.operators.cleaning import keep_last
+from larder.operators.cleaning import keep_first, keep_last
 from larder.operators.skew import salted_join
 from larder.session import checkpointed, scratch_path
 
@@ -104,6 +105,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm.org.apache.hadoop.fs.Path(path))
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or a folder with all it holds; False if there is none."""
+    jvm, fs = _fs(spark, path)
+    return fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def replace_path(df: DataFrame, path: str) -> None:
     """Write beside the table, then swap by rename; readers never see a mixture of old and new.
 
@@ -252,19 +259,32 @@ def upsert_path(incoming: DataFrame, path: str, key: list[str], partition: str,
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def insert_new_path(incoming: DataFrame, path: str, key: list[str], partition: str, order: list[str]) -> None:
+    """Add rows whose key the partitioned table doesn't hold, of several in the batch the first by ``order``.
+
+    Only the partitions that the batch names are read, and none is rewritten. A
+    batch delivered again adds nothing, unless its key holds a NULL.
+    """
+    if partition not in key:
+        raise ValueError(f"partition column {partition} is not part of the key {key}")
+    spark, fresh = incoming.sparkSession, checkpointed(keep_first(incoming, key, order))
+    if path_exists(spark, path):
+        known = spark.read.parquet(path).where(in_partitions(fresh, partition)).select(*key)
+        fresh = checkpointed(fresh.join(known, key, "left_anti").select(*fresh.columns))
+    fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
+
+
 def replace_window_path(recomputed: DataFrame, path: str, col: str, start: str, end: str) -> None:
     """Replace the date partitions of [start, end]; dates without new rows disappear."""
     spark = recomputed.sparkSession
     fresh = checkpointed(recomputed.where(F.col(col).between(F.lit(start).cast("date"), F.lit(end).cast("date"))))
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(col).parquet(path)
-    # At most one value per day of the window.
-    written = {str(row[0]) for row in fresh.select(col).distinct().collect()}
-    jvm, fs = _fs(spark, path)
-    for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)):
-        name = status.getPath().getName()
-        day = name.removeprefix(f"{col}=")
-        if name.startswith(f"{col}=") and start <= day <= end and day not in written:
-            fs.delete(status.getPath(), True)
+    # At most one value per day of the window, and no listing of the table's other days.
+    written = {row[0] for row in fresh.select(col).distinct().collect()}
+    first, last = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
+    for day in (first + dt.timedelta(days=n) for n in range((last - first).days + 1)):
+        if day not in written:
+            delete_path(spark, f"{path}/{col}={day}")
 
 
 def report_json(df: DataFrame, endpoint: str, order: list[str], generated_at: Column) -> DataFrame:

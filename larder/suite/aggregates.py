@@ -10,11 +10,20 @@ from larder.suite.joins import DEMAND_TOTAL_SQL, EXPECTED_SQL, HORIZON_SQL, LATE
 from larder.suite.registry import query
 
 
-@query("D1_daily_sales_rollup", "SELECT date, sku_code, sku, outlet, brand, city, qty_sold, revenue, order_count FROM sales_fine")
+D1_SQL = "SELECT date, sku_code, sku, outlet, brand, city, qty_sold, revenue, order_count FROM sales_fine"
+
+
+@query("D1_daily_sales_rollup", D1_SQL)
 def _(r):
     return r.daily_sales("fine")
 
 
+@query("D1_rollup_by_month", D1_SQL)
+def _(r):
+    """The same rows from the fact stored by month."""
+    return r.by_month().daily_sales("fine")
+
+
 def _month(r):
     return F.col("o_orderdate") >= F.date_sub(r.order_as_of, 30).cast("timestamp_ntz")
 
@@ -38,15 +47,21 @@ def _week(r, grain="fine"):
 WEEK_SQL = "date >= (SELECT d - 7 FROM ship_day)"
 
 
-@query(
-    "D3_consumption_by_sku_outlet",
-    f"""SELECT sku, brand, outlet, city, sum(qty_sold) AS qty_sold, round(sum(revenue), 2) AS revenue,
-      CAST(sum(order_count) AS BIGINT) AS order_count FROM sales_fine WHERE {WEEK_SQL} GROUP BY sku, brand, outlet, city""",
-)
+CONSUMPTION_SQL = f"""SELECT sku, brand, outlet, city, sum(qty_sold) AS qty_sold, round(sum(revenue), 2) AS revenue,
+      CAST(sum(order_count) AS BIGINT) AS order_count FROM sales_fine WHERE {WEEK_SQL} GROUP BY sku, brand, outlet, city"""
+
+
+@query("D3_consumption_by_sku_outlet", CONSUMPTION_SQL)
 def _(r):
     return sales.consumption(_week(r))
 
 
+@query("D3_consumption_by_month", CONSUMPTION_SQL)
+def _(r):
+    """The week read from its months of the stored fact."""
+    return sales.consumption(_week(r.by_month()))
+
+
 @query(
     "D4_sales_summary",
     f"""SELECT round(sum(revenue), 2) AS total_revenue, CAST(sum(order_count) AS BIGINT) AS total_orders, sum(qty_sold) AS total_qty,
@@ -371,9 +386,7 @@ def recommendations(r):
     return procurement.plan(r.demand(), r.kitchen_stock(), r.open_pos(), r.vendor_master(), r.ship_as_of)
 
 
-@query(
-    "D31_dashboard_kpis",
-    f"""WITH {PROCUREMENT_SQL}, {SCORED_SQL}
+DASHBOARD_SQL = f"""WITH {PROCUREMENT_SQL}, {SCORED_SQL}
     SELECT (SELECT CAST(sum(qty_sold) AS BIGINT) FROM sales_coarse WHERE date = (SELECT d FROM ship_day)) AS total_orders_today,
       (SELECT count(DISTINCT sku) FROM forecast WHERE forecast_date = (SELECT d - 7 FROM ship_day) AND qty_predicted > 0) AS skus_at_risk,
       (SELECT round(sum(estimated_cost) / 0.33, 2) FROM recs WHERE urgency IN ('URGENT', 'WARNING')) AS revenue_at_risk,
@@ -382,9 +395,10 @@ def recommendations(r):
       (SELECT count(*) FROM open_pos WHERE status <> 'Delivered' AND expected_date < (SELECT d - 7 FROM ship_day)) AS overdue_pos,
       (SELECT round(sum(least(total_demand, warehouse_stock)) / sum(total_demand) * 100, 4) FROM recs) AS warehouse_sufficiency_pct,
       (SELECT count(*) FROM alert_log WHERE resolved = 0) AS active_alerts_count,
-      (SELECT count(*) FROM alert_log WHERE resolved = 0 AND severity = 'CRITICAL') AS critical_alerts_count""",
-)
-def _(r):
+      (SELECT count(*) FROM alert_log WHERE resolved = 0 AND severity = 'CRITICAL') AS critical_alerts_count"""
+
+
+def dashboard(r):
     r = r.sharing("forecast", "open_pos")
     return reports.dashboard(
         r.daily_qty(since=r.forecast_cut), r.forecast(), recommendations(r), r.open_pos(), r.alert_log(),
@@ -392,6 +406,17 @@ def _(r):
     )
 
 
+@query("D31_dashboard_kpis", DASHBOARD_SQL)
+def _(r):
+    return dashboard(r)
+
+
+@query("D31_dashboard_by_month", DASHBOARD_SQL)
+def _(r):
+    """The same figures, sales and both forecasts taken from the fact stored by month."""
+    return dashboard(r.by_month())
+
+
 WAREHOUSE_SQL = f"""{LATEST_WH_SQL}, {DEMAND_TOTAL_SQL},
     w1 AS (SELECT ingredient, total_qty_needed, coalesce(warehouse_stock, 0.0) AS warehouse_stock,
       round(greatest(total_qty_needed - coalesce(warehouse_stock, 0.0), 0.0), 2) AS net_requirement FROM need LEFT JOIN wh USING (ingredient)),

@@ -90,6 +90,12 @@ def _(r):
     return recommendations(r)
 
 
+@query("P6_plan_by_month", f"WITH {PROCUREMENT_SQL} SELECT * FROM recs")
+def _(r):
+    """Demand from the year's months of the stored fact."""
+    return recommendations(r.by_month())
+
+
 FED_SQL = "fed_stock AS (SELECT * FROM kitchen_stock WHERE qty_available >= 0)"
 
 
@@ -285,19 +291,29 @@ def _(r):
     return lead(r)
 
 
-@query(
-    "P17_alert_union",
-    f"""WITH {PROCUREMENT_SQL}, {STOCKOUT_SQL}, {LOW_SQL}, {OVERDUE_SQL}, {SPIKE_SQL}, {NO_RECIPE_SQL}, {LEAD_SQL}
+ALERTS_SQL = f"""WITH {PROCUREMENT_SQL}, {STOCKOUT_SQL}, {LOW_SQL}, {OVERDUE_SQL}, {SPIKE_SQL}, {NO_RECIPE_SQL}, {LEAD_SQL}
     SELECT *, (SELECT d FROM ship_day) AS created_at, 0 AS resolved FROM (
       SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3 UNION ALL SELECT * FROM a5
-      UNION ALL SELECT * FROM a6 UNION ALL SELECT * FROM a9)""",
-)
-def _(r):
+      UNION ALL SELECT * FROM a6 UNION ALL SELECT * FROM a9)"""
+
+
+def all_alerts(r):
     r = r.sharing("demand", "kitchen_stock", "open_pos")
     rules = [rule(r) for rule in (stockout, low, overdue, spike, no_recipe, lead)]
     return alerts.stamped(alerts.union(rules), r.ship_as_of).drop("alert_id", "resolved_at")
 
 
+@query("P17_alert_union", ALERTS_SQL)
+def _(r):
+    return all_alerts(r)
+
+
+@query("P17_alerts_by_month", ALERTS_SQL)
+def _(r):
+    """The same alerts, each rule's days read from their months of the stored fact."""
+    return all_alerts(r.by_month())
+
+
 KNOWN_SQL = "SELECT alert_type, sku, outlet, ingredient FROM alert_log WHERE resolved = 0 AND CAST(created_at AS DATE) < (SELECT d - 20 FROM event_day)"
 
 

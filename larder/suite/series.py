@@ -146,8 +146,8 @@ def _(r):
     return series.dense_panel(r.history("mid")).drop("observed")
 
 
-def choice(r, grain="mid"):
-    top = fc.top_combos(r.daily_qty(grain, since=F.date_sub(r.ship_as_of, 30)))
+def choice(r, grain="mid", k=100):
+    top = fc.top_combos(r.daily_qty(grain, since=F.date_sub(r.ship_as_of, 30)), k)
     return series.model_choice(r.history(grain), r.ship_as_of, top)
 
 
@@ -165,6 +165,18 @@ def _(r):
     return choice(r)
 
 
+@query(
+    "E12_model_choice_all",
+    """WITH h AS (SELECT * FROM hist_fine),
+      s AS (SELECT sku, outlet, CAST(max(date) - min(date) + 1 AS INTEGER) AS days, max(date) >= (SELECT d - 30 FROM ship_day) AS sold FROM h
+        GROUP BY sku, outlet HAVING sum(CASE WHEN date >= (SELECT d - 45 FROM ship_day) THEN qty_sold END) > 0)
+    SELECT sku, outlet, days, CASE WHEN days < 21 THEN 'sma_7d' WHEN sold THEN 'additive_holiday' ELSE 'seasonal_additive' END AS model_name FROM s""",
+)
+def _(r):
+    """Per part and nation, without a rank: every series that sold in the last 30 days counts as a best seller."""
+    return choice(r, "fine", k=None)
+
+
 @query("E12_routed_forecast")
 def _(r):
     return series_models.routed_forecast(r.history("mid"), choice(r), r.ship_as_of)

@@ -6,10 +6,12 @@ scratch folder, so the reader's work grows with the tables.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from larder.session import scratch_path
-from larder.sources import files, sinks
+from larder.sources import facts, files, sinks
 from larder.sources.tables import finite_only, read_table
 from larder.suite.registry import query
 
@@ -188,24 +190,46 @@ HALVES_SQL = """stored AS (SELECT snapshot_date, kitchen, ingredient, qty_availa
       WHERE snapshot_date > (SELECT d - 600 FROM ship_day))"""
 
 
-@query(
-    "A8_upsert_update",
-    f"""WITH {HALVES_SQL} SELECT * FROM batch UNION ALL SELECT s.* FROM stored s ANTI JOIN batch b
-    ON s.snapshot_date = b.snapshot_date AND s.kitchen = b.kitchen AND s.ingredient = b.ingredient""",
-)
+UPDATED_SQL = f"""WITH {HALVES_SQL} SELECT * FROM batch UNION ALL SELECT s.* FROM stored s ANTI JOIN batch b
+    ON s.snapshot_date = b.snapshot_date AND s.kitchen = b.kitchen AND s.ingredient = b.ingredient"""
+IGNORED_SQL = f"""WITH {HALVES_SQL} SELECT * FROM stored UNION ALL SELECT b.* FROM batch b ANTI JOIN stored s
+    ON s.snapshot_date = b.snapshot_date AND s.kitchen = b.kitchen AND s.ingredient = b.ingredient"""
+
+
+@query("A8_upsert_update", UPDATED_SQL)
 def _(r):
     return sinks.upsert(*stock_halves(r), STOCK_KEY)
 
 
-@query(
-    "A9_upsert_ignore",
-    f"""WITH {HALVES_SQL} SELECT * FROM stored UNION ALL SELECT b.* FROM batch b ANTI JOIN stored s
-    ON s.snapshot_date = b.snapshot_date AND s.kitchen = b.kitchen AND s.ingredient = b.ingredient""",
-)
+@query("A9_upsert_ignore", IGNORED_SQL)
 def _(r):
     return sinks.insert_new(*stock_halves(r), STOCK_KEY)
 
 
+def monthly_halves(r):
+    """``stock_halves`` with the month of the snapshot, by which the table is stored."""
+    return [half.withColumn("month", F.trunc("snapshot_date", "month")) for half in stock_halves(r)]
+
+
+@query("A8_upsert_update_stored", UPDATED_SQL)
+def _(r):
+    """The stored table by month, and a batch that rewrites the months it names."""
+    path, key = scratch_path(r.spark, "stock"), ["month", *STOCK_KEY]
+    for half in monthly_halves(r):
+        sinks.upsert_path(half, path, key, "month")
+    return r.spark.read.parquet(path).drop("month")
+
+
+@query("A9_upsert_ignore_stored", IGNORED_SQL)
+def _(r):
+    """The stored table by month, and a batch, delivered twice, that adds the keys which it lacks."""
+    path, key = scratch_path(r.spark, "stock"), ["month", *STOCK_KEY]
+    stored, batch = monthly_halves(r)
+    for half in (stored, batch, batch):
+        sinks.insert_new_path(half, path, key, "month", ["qty_available"])
+    return r.spark.read.parquet(path).drop("month")
+
+
 @query(
     "A10_upsert_conditional",
     """WITH old AS (SELECT CAST(p_partkey AS VARCHAR) AS sku_code, p_name AS sku_name, p_type <> 'SMALL' AS is_tracked
@@ -226,11 +250,11 @@ def _(r):
     return sinks.upsert_unless(old, new, ["sku_code"], locked="is_tracked")
 
 
-@query(
-    "A11_replace_window",
-    """SELECT date, sku, outlet, CASE WHEN date >= (SELECT d - 6 FROM ship_day) THEN qty_sold * 2 ELSE qty_sold END AS qty_sold
-    FROM sales_coarse WHERE date < (SELECT d - 6 FROM ship_day) OR sku <> 'SMALL'""",
-)
+REPLACED_SQL = """SELECT date, sku, outlet, CASE WHEN date >= (SELECT d - 6 FROM ship_day) THEN qty_sold * 2 ELSE qty_sold END AS qty_sold
+    FROM sales_coarse WHERE date < (SELECT d - 6 FROM ship_day) OR sku <> 'SMALL'"""
+
+
+@query("A11_replace_window", REPLACED_SQL)
 def _(r):
     start, end = F.date_sub(r.ship_as_of, 6), r.ship_as_of
     stored = r.daily_qty()
@@ -238,6 +262,19 @@ def _(r):
     return sinks.replace_window(stored, recomputed, "date", start, end)
 
 
+@query("A11_replace_window_stored", REPLACED_SQL)
+def _(r):
+    """The fact stored by month; the last week is computed again and replaces its days, twice."""
+    path, stored = scratch_path(r.spark, "fact"), r.daily_qty()
+    facts.store_fact(stored, path)
+    newest = r.spark.range(1).select(r.ship_as_of).first()[0]
+    recomputed = r.daily_qty(since=F.date_sub(r.ship_as_of, 6)).where(F.col("sku") != "SMALL")
+    for _ in range(2):
+        doubled = recomputed.withColumn("qty_sold", F.col("qty_sold") * 2)
+        facts.refresh_fact(doubled, path, newest - dt.timedelta(days=6), newest)
+    return facts.read_fact(r.spark, path, stored.schema)
+
+
 @query("A12_replace_table", "SELECT dish_name, ingredient, qty_per_unit * 2 AS qty_per_unit, unit FROM recipe_master")
 def _(r):
     path = scratch_path(r.spark, "published")
