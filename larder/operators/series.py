@@ -97,25 +97,26 @@ def model_choice(history: DataFrame, as_of: Column, top: DataFrame) -> DataFrame
     return marked.select(*KEYS, "days", model.alias("model_name"))
 
 
-def dwell_times(events: DataFrame, key: str, time: str, state: str, tie: str) -> DataFrame:
+def dwell_times(events: DataFrame, key: str, time: str, state: str, tie: str, slot: str = "hour") -> DataFrame:
     """Seconds each entity stays in a state until its next event.
 
-    The next event is looked up within (entity, day); only the last event of a
-    day takes the first event of the entity's next active day. An entity with a
-    large share of all events is thus spread over its days.
+    The next event is looked up within (entity, slot of time); only the last
+    event of a slot takes the first event of the entity's next active slot. An
+    entity with a large share of all events is thus spread over its slots, of
+    which one task links the first events only.
     """
-    day = events.withColumn("_day", F.to_date(time))
+    slotted = events.withColumn("_slot", F.date_trunc(slot, time))
     order = [F.col(time), F.col(tie)]
-    inside = W.partitionBy(key, "_day").orderBy(*order)
-    stepped = day.withColumns({"_next_at": F.lead(time).over(inside), "_next": F.lead(state).over(inside)})
-    first = day.groupBy(key, "_day").agg(
+    inside = W.partitionBy(key, "_slot").orderBy(*order)
+    stepped = slotted.withColumns({"_next_at": F.lead(time).over(inside), "_next": F.lead(state).over(inside)})
+    first = slotted.groupBy(key, "_slot").agg(
         F.min(time).alias("_first_at"), F.min_by(state, F.struct(time, tie)).alias("_first")
     )
-    days = W.partitionBy(key).orderBy("_day")
+    slots = W.partitionBy(key).orderBy("_slot")
     following = first.select(
-        key, "_day", F.lead("_first_at").over(days).alias("_later_at"), F.lead("_first").over(days).alias("_later")
+        key, "_slot", F.lead("_first_at").over(slots).alias("_later_at"), F.lead("_first").over(slots).alias("_later")
     )
-    joined = stepped.join(following, [key, "_day"], "left")
+    joined = stepped.join(following, [key, "_slot"], "left")
     at = F.coalesce("_next_at", "_later_at")
     seconds = F.timestamp_diff("SECOND", F.date_trunc("second", time), F.date_trunc("second", at))
     return joined.select(

@@ -197,6 +197,11 @@ def flatten_recipes(recipes: DataFrame) -> DataFrame:
     )
 
 
+def read_recipes(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
+    """Recipe ingredients of JSON files: a recipe a line, or with ``multi_line`` an array of them a file."""
+    return flatten_recipes(spark.read.schema(RECIPE_SCHEMA).option("multiLine", multi_line).json(path))
+
+
 STOCK_SCHEMA = (
     "_id string, name string, outletName string, items array<struct<product:struct<skuProductCode:string,"
     "_id:string,baseUnit:string>,currentStock:double,stock:double,physicalStock:double>>"
@@ -215,3 +220,8 @@ def flatten_stock(outlets: DataFrame, snapshot: Column) -> DataFrame:
         F.coalesce("i.currentStock", "i.stock", "i.physicalStock", F.lit(0.0)).alias("qty_available"),
         F.coalesce("i.product.baseUnit", F.lit("piece")).alias("unit"),
     )
+
+
+def read_stock(spark: SparkSession, path, snapshot: Column, multi_line: bool = False) -> DataFrame:
+    """Stock per outlet and product of JSON files: an outlet a line, or with ``multi_line`` an array of them a file."""
+    return flatten_stock(spark.read.schema(STOCK_SCHEMA).option("multiLine", multi_line).json(path), snapshot)

@@ -139,8 +139,7 @@ def _(r):
             ).alias("ingredients"),
         )
     )
-    parsed = r.t("part").select(F.from_json(payload, files.RECIPE_SCHEMA).alias("j")).select("j.*")
-    return files.flatten_recipes(parsed)
+    return files.read_recipes(r.spark, _write_text(r.t("part").select(payload.alias("value")), "recipes"))
 
 
 @query(
@@ -167,8 +166,7 @@ def _(r):
             F.array(item(coded, F.col("s_acctbal"), num), item(bare, num, F.lit(5.0)), item(missing, F.lit(1.0), num)).alias("items"),
         )
     )
-    parsed = r.t("supplier").select(F.from_json(payload, files.STOCK_SCHEMA).alias("j")).select("j.*")
-    return files.flatten_stock(parsed, r.ship_as_of)
+    return files.read_stock(r.spark, _write_text(r.t("supplier").select(payload.alias("value")), "stock"), r.ship_as_of)
 
 
 STOCK_KEY = ["snapshot_date", "kitchen", "ingredient"]

@@ -104,3 +104,14 @@ def test_golden_case_from_raw_feeds(spark):
     assert [(r.ingredient, r.qty_available, r.unit, str(r.snapshot_date)) for r in stock] == [("Item 9", 200.0, "g", "2026-07-16")]
     pos = read_published(spark, f"{folder}/clean_pos").collect()
     assert [(r.qty_ordered, r.expected_date) for r in pos] == [(0.0, None)]
+
+
+def test_default_model_forecasts_every_series(spark):
+    r = Roles(spark, "/root/testdata/sf0.001")
+    given = inputs(r)
+    given = nightly.Inputs(**{**vars(given), "sales": r.daily_qty("coarse")})
+    out = nightly.run(given, scratch_path(spark, "nightly"), r.ship_as_of, r.order_as_of, horizon=3)
+    sold = given.sales.where(F.col("date") >= F.date_sub(r.ship_as_of, nightly.LOOKBACK_DAYS))
+    forecast = out["fact_forecast"]
+    assert forecast.count() == 3 * sold.select("sku", "outlet").distinct().count()
+    assert forecast.where("qty_predicted IS NULL OR qty_predicted < 0").count() == 0

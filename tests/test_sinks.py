@@ -118,3 +118,17 @@ def test_csv_files_of_several_layouts(spark):
     )
     with pytest.raises(ValueError, match="no date"):
         files.read_consumption(spark, path)
+
+
+def test_arrays_of_recipes_and_outlets_in_one_file(spark, tmp_path):
+    recipes, outlets = tmp_path / "recipes.json", tmp_path / "outlets.json"
+    recipes.write_text(
+        '[{"_id": "1", "name": ["Dal"], "batchSize": 2, "ingredients": [{"product": {"productTitle": "lentil", "baseUnit": "kg"}, "quantity": 3},'
+        ' {"quantity": null}]},\n {"_id": "2", "name": [], "recipeId": ["c"], "batchSize": 0, "ingredients": [{"quantity": 5, "ingredientUnit": {"unit": "ml"}}]}, {"_id": "3"}]'
+    )
+    assert rows(files.read_recipes(spark, str(recipes), multi_line=True), "dish_name", "ingredient", "qty_per_unit", "unit") == [
+        ("2", "c", 5.0, "ml"), ("Dal", "Unknown", 0.0, "g"), ("Dal", "lentil", 1.5, "kg")
+    ]
+    outlets.write_text('[{"outletName": "K", "items": [{"product": {"_id": "p"}, "stock": 4}, {"stock": 9}]}, {"name": "L", "items": []}]')
+    found = files.read_stock(spark, str(outlets), F.lit(day(1)), multi_line=True)
+    assert rows(found, "kitchen", "ingredient", "qty_available", "unit") == [("K", "p", 4.0, "piece")]
