@@ -29,9 +29,9 @@ def vendor_left(df: DataFrame, vendors: DataFrame) -> DataFrame:
     )
 
 
-def tracked_only(df: DataFrame, column: str, tracked: DataFrame) -> DataFrame:
-    """Rows whose code is tracked."""
-    return salted_join(df, tracked.select(F.col("code").alias(column)).distinct(), [column], "left_semi")
+def tracked_only(df: DataFrame, column: str, tracked: DataFrame, hot: Column | None = None) -> DataFrame:
+    """Rows whose code is tracked; ``hot`` are the codes worth salting, all if not given."""
+    return salted_join(df, tracked.select(F.col("code").alias(column)).distinct(), [column], "left_semi", hot=hot)
 
 
 def active_pairs(stock: DataFrame, sold: DataFrame) -> DataFrame:

@@ -105,9 +105,13 @@ def receipt_overage(pos: DataFrame, receipts: DataFrame, since: Column, top: int
     )
 
 
-def mark_ordered(pos: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Open orders of the listed ingredients become ``ordered``."""
+def mark_ordered(pos: DataFrame, ordered: DataFrame, hot: Column | None = None) -> DataFrame:
+    """Open orders of the listed ingredients become ``ordered``.
+
+    ``hot``, measured on a column ``_i``, holds the lower-case ingredients worth
+    salting; all are, if it is not given.
+    """
     listed = ordered.select(F.lower("ingredient").alias("_i")).distinct().withColumn("_hit", F.lit(True))
-    joined = salted_join(pos.withColumn("_i", F.lower("ingredient")), listed, ["_i"], "left")
+    joined = salted_join(pos.withColumn("_i", F.lower("ingredient")), listed, ["_i"], "left", hot=hot)
     changed = F.col("_hit").isNotNull() & (F.col("status") == "open")
     return joined.withColumn("status", F.when(changed, F.lit("ordered")).otherwise(F.col("status"))).drop("_i", "_hit")

@@ -250,13 +250,15 @@ def upsert_path(incoming: DataFrame, path: str, key: list[str], partition: str,
     if version:
         incoming = keep_last(incoming, key, version)
     if not path_exists(spark, path):
-        incoming.write.partitionBy(partition).parquet(path)
+        incoming.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
         return
     stored = spark.read.parquet(path)
     incoming = checkpointed(incoming)
     touched = stored.where(in_partitions(incoming, partition))
     merged = checkpointed(upsert(touched.select(*stored.columns), incoming.select(*stored.columns), key, version))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    # Not a file per task in every partition: large ones are split over tasks, small ones share one.
+    laid = merged.hint("rebalance", partition)
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def insert_new_path(incoming: DataFrame, path: str, key: list[str], partition: str, order: list[str]) -> None:

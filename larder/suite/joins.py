@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import accuracy, joins, purchasing, recipes, sales, stock
 from larder.operators.forecast import demand_total
+from larder.operators.skew import hot_keys
 from larder.plans import supply, variance
 from larder.suite.registry import query
 
@@ -127,7 +128,8 @@ def _(r):
 )
 def _(r):
     recent = r.daily_sales("fine", since=F.date_sub(r.ship_as_of, 30))
-    return joins.tracked_only(recent, "sku_code", r.tracker()).select("sku_code", "date", "outlet", "qty_sold")
+    hot = hot_keys(r.t("lineitem", "l_partkey").select(F.col("l_partkey").cast("string").alias("sku_code")), ["sku_code"])
+    return joins.tracked_only(recent, "sku_code", r.tracker(), hot).select("sku_code", "date", "outlet", "qty_sold")
 
 
 @query(

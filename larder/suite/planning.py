@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.numbers import moq_round_up
 from larder.operators import forecast as fc, purchasing, recipes
+from larder.operators.skew import hot_keys
 from larder.plans import alerts, nightly, procurement, reports, supply, variance
 from larder.session import scratch_path
 from larder.suite.aggregates import PROCUREMENT_SQL, WAREHOUSE_SQL, recommendations
@@ -374,7 +375,8 @@ def _(r):
     chosen = r.t("part", "p_partkey", "p_size").where(F.col("p_size") > 25).select(
         F.col("p_partkey").cast("string").alias("ingredient")
     )
-    return purchasing.mark_ordered(r.open_pos(), chosen).select("po_number", "ingredient", "qty_ordered", "status")
+    hot = hot_keys(r.t("lineitem", "l_partkey").select(F.col("l_partkey").cast("string").alias("_i")), ["_i"])
+    return purchasing.mark_ordered(r.open_pos(), chosen, hot).select("po_number", "ingredient", "qty_ordered", "status")
 
 
 @query("P22_recent_alerts", "SELECT alert_id, alert_type, severity, created_at FROM alert_log ORDER BY created_at DESC, alert_id LIMIT 10")

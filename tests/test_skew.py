@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from larder.operators import cleaning as cl, sales, series
-from larder.operators.skew import salted_join
+from larder.operators.skew import hot_keys, salted_join
 
 
 def plan_of(df):
@@ -56,6 +56,19 @@ def test_salted_join_equals_the_join_and_spreads_the_hot_key(spark):
     assert len(salts) == 16 and max(r["count"] for r in salts) < 300
 
 
+def test_measured_salts_copy_the_hot_keys_alone(spark):
+    fact = hot(spark, 3000).withColumn("order_id", F.when(F.col("v") % 10 != 1, F.col("order_id")))
+    lookup = fact.select("order_id").where("v < 1500").distinct().withColumn("name", F.col("order_id").cast("string"))
+    keys = hot_keys(fact, ["order_id"])
+    named = spark.range(1).select(F.sort_array(keys).alias("k")).first().k
+    assert [row.order_id for row in named] == [None, 0]  # a NULL key is spread too
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got, want = salted_join(fact, lookup, ["order_id"], how, hot=keys), fact.join(lookup, "order_id", how)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    empty = fact.limit(0)
+    assert salted_join(empty, lookup, ["order_id"], hot=hot_keys(empty, ["order_id"])).count() == 0
+
+
 def test_dwell_times_of_a_hot_entity_match_one_window(spark):
     base = F.lit("2024-01-01").cast("timestamp_ntz")
     events = spark.range(0, 5000, 1, 4).select(
