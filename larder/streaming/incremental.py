@@ -303,34 +303,48 @@ def run_aggregate(spark: SparkSession, stream: DataFrame, key: str) -> DataFrame
     return spark.read.parquet(table).select(*stream.columns)
 
 
-ALERT_STATE = T.StructType([T.StructField("alert_id", T.StringType()), T.StructField("created_at", T.TimestampType())])
+ALERT_STATE = T.StructType(
+    [
+        T.StructField("keys", T.ArrayType(T.ArrayType(T.StringType()))),
+        T.StructField("alert_ids", T.ArrayType(T.StringType())),
+        T.StructField("created_at", T.ArrayType(T.TimestampType())),
+    ]
+)
+ALERT_BUCKETS = 256
 
 
-def raised_alerts(stream: DataFrame) -> DataFrame:
+def raised_alerts(stream: DataFrame, buckets: int = ALERT_BUCKETS) -> DataFrame:
     """Alerts that open: unresolved, of a key without an open one.
 
-    The state of a key is its open alert and nothing else: a resolved row
-    removes it, so the state is as large as the list of open alerts. Rows of a
-    batch are taken in order of time, then id; batches should come in order.
+    Keys are dealt over ``buckets``, so Python is called per bucket, not per
+    key; a checkpoint keeps the number it began with. The state of a bucket is
+    the list of its open alerts and nothing else: a resolved row removes its
+    key, and a bucket without an open alert has no state. Rows of a batch are
+    taken in order of time, then id; batches should come in order.
     """
     columns = [f.name for f in stream.schema.fields]
 
-    def step(key, frames, state: GroupState):
+    def step(_, frames, state: GroupState):
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["created_at", "alert_id"], kind="stable")
-        held, opened = (state.get if state.exists else None), []
-        for at, row in enumerate(rows.itertuples(index=False)):
-            if row.resolved:
-                held = None
-            elif held is None:
-                held = (row.alert_id, row.created_at.to_pydatetime())
+        held = {}
+        if state.exists:
+            held = {tuple(key): alert for key, *alert in zip(*state.get, strict=True)}
+        opened = []
+        keys = zip(*(rows[c] for c in ALERT_KEY), strict=True)
+        for at, (key, alert_id, created_at, resolved) in enumerate(zip(keys, rows.alert_id, rows.created_at, rows.resolved, strict=True)):
+            if resolved:
+                held.pop(key, None)
+            elif key not in held:
+                held[key] = alert_id, None if pd.isna(created_at) else created_at.to_pydatetime()
                 opened.append(at)
-        if held is not None:
-            state.update(held)
+        if held:
+            state.update(([list(key) for key in held], *map(list, zip(*held.values(), strict=True))))
         elif state.exists:
             state.remove()
         yield rows.iloc[opened][columns]
 
-    return stream.groupBy(*ALERT_KEY).applyInPandasWithState(step, stream.schema, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
+    dealt = stream.withColumn("_bucket", F.pmod(F.xxhash64(*ALERT_KEY), F.lit(buckets)))
+    return dealt.groupBy("_bucket").applyInPandasWithState(step, stream.schema, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_alert_dedup(spark: SparkSession, stream: DataFrame) -> DataFrame:

@@ -84,6 +84,19 @@ def test_alerts_open_once_and_again_after_they_were_resolved(spark):
     assert len(progress) >= 6 and progress[-1].stateOperators[0].numRowsTotal == 0
 
 
+def test_alerts_call_python_per_bucket_not_per_key(spark):
+    """Three batches of 60 keys, some with empty parts; the state has an entry per bucket, the log an alert per key that opens."""
+    base, folder = dt.datetime(2024, 1, 1), scratch_path(spark, "feed")
+    schema = "alert_id string, alert_type string, sku string, outlet string, ingredient string, created_at timestamp, resolved int"
+    for n, resolved in enumerate([0, 0, 1, 0]):
+        rows_ = [(f"{n}-{k:02}", ["low", None][k % 2], "s", f"o{k}" if k else None, None, base + dt.timedelta(days=n), resolved if k < 20 else 0) for k in range(60)]
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    got = [r.alert_id for r in inc.run_alert_dedup(spark, stream(spark, folder)).collect()]
+    assert sorted(got) == [f"0-{k:02}" for k in range(60)] + [f"3-{k:02}" for k in range(20)]
+    progress = inc.drain(inc.raised_alerts(stream(spark, folder), buckets=5), lambda b, _: b.count(), scratch_path(spark, "ck"))
+    assert 0 < progress[-1].stateOperators[0].numRowsTotal <= 5
+
+
 def test_watermarked_dedup_of_an_ordered_feed(spark):
     folder, _ = landed(spark, files=1)
     out = scratch_path(spark, "dedup")
