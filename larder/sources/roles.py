@@ -21,6 +21,7 @@ from larder.sources import facts
 from larder.sources.tables import read_table
 
 FORECAST_CUT_DAYS = 30
+LINES_PER_TASK = 250_000
 DEMAND_HORIZON = 8
 
 
@@ -37,6 +38,22 @@ class Roles:
         table = self._tables[name]
         return table.select(*columns) if columns else table
 
+    @cached_property
+    def _line_parts(self) -> int | None:
+        """Partitions for a shuffle of all order lines; None where they are few enough for any choice.
+
+        Spark sizes its shuffle partitions by their compressed bytes. Lines are
+        short and compress well, so its tasks would sort and hash millions of them.
+        """
+        lines = self.t("lineitem").count()
+        if lines <= LINES_PER_TASK:
+            return None
+        return max(-(-lines // LINES_PER_TASK), self.spark.sparkContext.defaultParallelism)
+
+    def _dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """A table as long as the lines in partitions of ``key`` that hold a bounded number of them."""
+        return df if self._line_parts is None else df.repartition(self._line_parts, key)
+
     def sharing(self, *names: str) -> Roles:
         """The same roles, those named written once to the shared scratch folder and read by every use."""
         shared = copy.copy(self)
@@ -137,6 +154,8 @@ class Roles:
             lines = lines.where(F.col("l_shipdate") >= since.cast("timestamp_ntz"))
         if until is not None:
             lines = lines.where(F.col("l_shipdate") < F.date_add(until, 1).cast("timestamp_ntz"))
+        if since is None and until is None:
+            lines = self._dealt(lines, "l_orderkey")
         places = self.pos_orders().select("id", "store_name", "city", "brand_name", "order_date")
         return lines.join(places, F.col("l_orderkey") == F.col("id")).select(
             F.to_date("l_shipdate").alias("date"), "l_orderkey", "l_partkey",
