@@ -84,15 +84,16 @@ def receipt_overage(pos: DataFrame, receipts: DataFrame, since: Column, top: int
     """Ingredients received beyond the ordered quantity.
 
     A pair sum: totals per (order, ingredient) times the other side's row count,
-    so repeated lines and receipts of one order are never multiplied out.
+    so repeated lines and receipts of one order are never multiplied out. Both
+    sides meet in one grouping instead of a join, which would sort them.
     """
-    got = (
-        receipts.where(F.col("received_date") >= since)
-        .groupBy("po_number", "ingredient")
-        .agg(F.sum("qty_received").alias("r"), F.count("*").alias("nr"))
+    got = receipts.where(F.col("received_date") >= since).select(
+        "po_number", "ingredient", F.col("qty_received").alias("r"), F.lit(1).alias("nr")
     )
-    ordered = pos.groupBy("po_number", "ingredient").agg(F.sum("qty_ordered").alias("o"), F.count("*").alias("no"))
-    per_item = got.join(ordered, ["po_number", "ingredient"]).groupBy("ingredient").agg(
+    ordered = pos.select("po_number", "ingredient", F.col("qty_ordered").alias("o"), F.lit(1).alias("no"))
+    both = got.unionByName(ordered, allowMissingColumns=True).where(F.col("po_number").isNotNull() & F.col("ingredient").isNotNull())
+    per_line = both.groupBy("po_number", "ingredient").agg(F.sum("r").alias("r"), F.count("nr").alias("nr"), F.sum("o").alias("o"), F.count("no").alias("no"))
+    per_item = per_line.where((F.col("nr") > 0) & (F.col("no") > 0)).groupBy("ingredient").agg(
         F.sum(F.col("r") * F.col("no")).alias("total_received"),
         F.sum(F.col("o") * F.col("nr")).alias("total_ordered"),
     )

@@ -322,16 +322,16 @@ class Roles:
     def open_pos(self) -> DataFrame:
         lines = self.t("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus").join(
             self.t("supplier", "s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey")
-        )
-        per_line = lines.groupBy("l_orderkey", "l_partkey").agg(
+        ).select(F.col("l_orderkey").cast("string").alias("po_number"), "l_partkey", "s_name", "l_quantity", "l_linestatus")
+        # Lines meet their order and, in reports, their receipts by this number: one shuffle serves all.
+        per_line = self._dealt(lines, "po_number").groupBy("po_number", "l_partkey").agg(
             F.min("s_name").alias("vendor"),
             F.sum("l_quantity").alias("qty_ordered"),
             F.min("l_linestatus").alias("line_status"),
         )
-        return per_line.join(
-            self.t("orders", "o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")
-        ).select(
-            F.col("l_orderkey").cast("string").alias("po_number"),
+        orders = self.t("orders", "o_orderkey", "o_orderdate").select(F.col("o_orderkey").cast("string").alias("po_number"), "o_orderdate")
+        return per_line.join(orders, "po_number").select(
+            "po_number",
             F.col("l_partkey").cast("string").alias("ingredient"),
             "vendor",
             "qty_ordered",
@@ -340,7 +340,7 @@ class Roles:
         )
 
     def grn_log(self) -> DataFrame:
-        return (
+        received = (
             self.t("lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate", "l_linestatus")
             .where(F.col("l_linestatus") == "F")
             .select(
@@ -351,6 +351,7 @@ class Roles:
                 (F.col("l_quantity") + F.col("l_orderkey") % 7 - 2).alias("qty_received"),
             )
         )
+        return self._dealt(received, "po_number")
 
     def vendor_master(self) -> DataFrame:
         return self.t("part", "p_partkey", "p_size", "p_retailprice", "p_brand").select(
