@@ -303,12 +303,11 @@ class Roles:
                 "n_name", F.when(F.col("n_nationkey") % 2 == 0, F.lit(" wh")).otherwise(F.lit(" kitchen"))
             ).alias("location"),
         )
-        suppliers = self.t("supplier", "s_suppkey", "s_nationkey").join(
-            places, F.col("s_nationkey") == F.col("n_nationkey")
-        )
+        # Suppliers and places are joined one by one: Spark takes a join of both for too large to broadcast, and would shuffle the lines.
         return (
             self.t("lineitem", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
-            .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(self.t("supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(places, F.col("s_nationkey") == F.col("n_nationkey"))
             .groupBy(
                 F.to_date("l_shipdate").alias("snapshot_date"),
                 "kitchen",
