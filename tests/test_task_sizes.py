@@ -97,3 +97,12 @@ def test_stockouts_look_at_sold_pairs_only(spark):
     assert [(r.sku, r.outlet) for r in out.collect()] == [("A", "K")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("LeftSemi")
+
+
+def test_stock_shuffles_no_lines_to_reach_small_tables(spark, folder):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        plan = Roles(spark, folder).kitchen_stock()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
